@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from inkstone.functions import constants as K
 
 
+def let(value: Column, body) -> Column:
+    """Bind ``value`` once for ``body``.
+
+    An expression captured by a higher-order function is evaluated again for every element;
+    a lambda variable is not. Anything costly used inside a lambda goes through here.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
@@ -62,11 +71,12 @@ def page_markers(c: Column) -> Column:
     )
     set_marks = F.regexp_replace(c, K.PAGE_RANGE_COMMENT, "[page$1]")
     parts = F.split(set_marks, K.PAGE_BREAK_COMMENT, -1)
-    tagged = F.transform(
-        parts,
-        lambda s, i: F.when(i == 0, s).otherwise(F.concat(F.lit("[page"), (last + i).cast("string"), F.lit("]"), s)),
-    )
-    return F.array_join(tagged, "")
+
+    def tag(b: Column) -> Column:
+        return F.array_join(F.transform(b["parts"], lambda s, i: F.when(i == 0, s).otherwise(
+            F.concat(F.lit("[page"), (b["last"] + i).cast("string"), F.lit("]"), s))), "")
+
+    return let(F.struct(parts.alias("parts"), last.alias("last")), tag)
 
 
 def strip_markup(c: Column) -> Column:
@@ -124,14 +134,14 @@ def sentences(c: Column, limit: int = 18, max_len: int = 260, min_len: int = 35)
 
 
 def summarize_list(items: Column, limit: int = 10) -> Column:
-    kept = F.filter(F.coalesce(items, F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != ""))
-    shown = F.array_join(F.slice(kept, 1, limit), ", ")
-    hidden = F.size(kept) - limit
-    return (
-        F.when(F.size(kept) == 0, F.lit(K.NOTHING_LISTED))
-        .when(hidden > 0, F.concat(shown, F.lit(" " + K.MORE_PREFIX + " "), hidden.cast("string"), F.lit(K.MORE_SUFFIX)))
-        .otherwise(shown)
-    )
+    def render(kept: Column) -> Column:
+        shown = F.array_join(F.slice(kept, 1, limit), ", ")
+        hidden = F.size(kept) - limit
+        more = F.concat(shown, F.lit(" " + K.MORE_PREFIX + " "), hidden.cast("string"), F.lit(K.MORE_SUFFIX))
+        return F.when(F.size(kept) == 0, F.lit(K.NOTHING_LISTED)).when(hidden > 0, more).otherwise(shown)
+
+    given = F.coalesce(items, F.array().cast("array<string>"))
+    return let(F.filter(given, lambda x: x.isNotNull() & (x != "")), render)
 
 
 def first_sentence(c: Column, max_len: int = 200) -> Column:
@@ -266,18 +276,20 @@ def clean_evidence(c: Column) -> Column:
 
 def chunk_tokens(c: Column, size: int = 1200, overlap: int = 100) -> Column:
     """Array of (chunk_no, text, n_tokens) windows; the text is verbatim, white space included."""
-    pieces = F.regexp_extract_all(c, F.lit(r"([^ \t\n\r\f]+[ \t\n\r\f]*)"), F.lit(1))
-    n, step = F.size(pieces), size - overlap
-    return F.when(n <= 0, F.array().cast("array<struct<chunk_no:int,text:string,n_tokens:int>>")).otherwise(
-        F.transform(
-            F.sequence(F.lit(0), n - 1, F.lit(step)),
+    step = size - overlap
+
+    def windows(p: Column) -> Column:
+        n = F.size(p)
+        return F.transform(
+            F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(step))).otherwise(F.array().cast("array<int>")),
             lambda s, i: F.struct(
                 i.alias("chunk_no"),
-                F.array_join(F.slice(pieces, s + 1, size), "").alias("text"),
+                F.array_join(F.slice(p, s + 1, size), "").alias("text"),
                 F.least(F.lit(size), n - s).alias("n_tokens"),
             ),
         )
-    )
+
+    return let(F.regexp_extract_all(c, F.lit(r"([^ \t\n\r\f]+[ \t\n\r\f]*)"), F.lit(1)), windows)
 
 
 def chunk_paragraphs(c: Column, limit: int = 12000) -> Column:
@@ -339,8 +351,7 @@ def boxes_from_source(c: Column) -> Column:
     """Array of (page, x0, y0, x1, y1) in inches from ``D(page,x,y,..);D(..)``."""
     regions = F.regexp_extract_all(c, F.lit(r"D\((\d+,[\d.,]+)\)"), F.lit(1))
 
-    def one(r: Column) -> Column:
-        nums = F.transform(F.split(r, ","), lambda x: x.cast("double"))
+    def one(nums: Column) -> Column:
         xy = F.slice(nums, F.lit(2), F.size(nums) - 1)
         xs, ys = F.filter(xy, lambda v, i: i % 2 == 0), F.filter(xy, lambda v, i: i % 2 == 1)
         return F.struct(
@@ -349,7 +360,8 @@ def boxes_from_source(c: Column) -> Column:
             F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"),
         )
 
-    return F.transform(regions, one)
+    parsed = F.transform(regions, lambda r: F.transform(F.split(r, ","), lambda x: x.cast("double")))
+    return F.transform(parsed, one)
 
 
 def figure_name(c: Column) -> Column:

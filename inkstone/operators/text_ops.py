@@ -51,9 +51,9 @@ def split_pages(docs: DataFrame, marker: str = r"\[page(\d+)\]\n?") -> DataFrame
     """(doc_id, page, body): text before the first marker is dropped, a repeated page keeps its last body."""
     nums = F.regexp_extract_all("text", F.lit(marker), F.lit(1))
     bodies = F.split("text", marker, -1)
-    rows = docs.select(
-        "doc_id", F.inline(F.transform(nums, lambda n, i: F.struct(i.alias("ord"), n.cast("int").alias("page"),
-                                                                   F.get(bodies, i + 1).alias("body")))))
+    pages = X.let(F.struct(nums.alias("n"), bodies.alias("b")), lambda s: F.transform(
+        s["n"], lambda n, i: F.struct(i.alias("ord"), n.cast("int").alias("page"), F.get(s["b"], i + 1).alias("body"))))
+    rows = docs.select("doc_id", F.inline(pages))
     return rows.groupBy("doc_id", "page").agg(F.max_by("body", "ord").alias("body"))
 
 
@@ -62,11 +62,11 @@ def pagewise(docs: DataFrame, fn) -> DataFrame:
     marks = F.regexp_extract_all("text", F.lit(r"(\[page\d+\])"), F.lit(1))
     bodies = F.split("text", r"\[page\d+\]", -1)
 
-    def one(body: Column, i: Column) -> Column:
+    def one(body: Column, mark: Column) -> Column:
         done = F.when(X.strip(body) == "", F.lit("")).otherwise(fn(body))
-        return F.when(i == 0, done).otherwise(X.rstrip(F.concat(F.get(marks, i - 1), F.lit("\n"), done)))
+        return F.when(mark == "", done).otherwise(X.rstrip(F.concat(mark, F.lit("\n"), done)))
 
-    parts = F.filter(F.transform(bodies, one), lambda p: p != "")
+    parts = F.filter(F.zip_with(bodies, F.concat(F.array(F.lit("")), marks), one), lambda p: p != "")
     return docs.select("doc_id", F.array_join(parts, "\n\n").alias("text"))
 
 

@@ -252,3 +252,49 @@ def answers(t: Tables) -> DataFrame:
 view_sql("v_answer", """SELECT conv_id, turn, text || ' [Data: Reports (' || (conv_id % 25) || ', ' || ((conv_id + turn) % 30)
   || ', +more); Entities (' || (conv_id * 7 % 100) || '); Relationships (' || (conv_id * 3 % 100) || ',' || (conv_id % 100)
   || '); Sources (' || (conv_id % 1000) || ')]' AS answer FROM conversations WHERE role = 'assistant'""")
+
+# ---------------------------------------------------------------- communities and reports
+
+
+def communities(t: Tables) -> DataFrame:
+    """(community, level, parent, title): regions above nations above suppliers."""
+    r = t("region").select(F.col("r_regionkey").cast("long").alias("community"), F.lit(0).alias("level"), F.lit(-1).cast("long").alias("parent"), F.col("r_name").alias("title"))
+    n = t("nation").select((F.col("n_nationkey") + 100).cast("long").alias("community"), F.lit(1).alias("level"), F.col("n_regionkey").cast("long").alias("parent"), F.col("n_name").alias("title"))
+    s = t("supplier").select((F.col("s_suppkey") + 1000).alias("community"), F.lit(2).alias("level"), (F.col("s_nationkey") + 100).cast("long").alias("parent"), F.col("s_name").alias("title"))
+    return r.unionByName(n).unionByName(s)
+
+
+view_sql("v_community", """SELECT CAST(r_regionkey AS BIGINT) AS community, 0 AS level, CAST(-1 AS BIGINT) AS parent, r_name AS title FROM region
+  UNION ALL SELECT CAST(n_nationkey + 100 AS BIGINT), 1, CAST(n_regionkey AS BIGINT), n_name FROM nation
+  UNION ALL SELECT s_suppkey + 1000, 2, CAST(s_nationkey + 100 AS BIGINT), s_name FROM supplier""")
+
+
+def members(t: Tables) -> DataFrame:
+    """(community, level, title, degree): customers are the entities of their nation and region.
+
+    Membership stays in rows; a community may hold a third of all entities.
+    """
+    deg = t("orders").groupBy("o_custkey").agg(F.count("*").cast("int").alias("degree"))
+    c = (
+        t("customer").join(deg, F.col("c_custkey") == F.col("o_custkey"), "left")
+        .join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+        .select(F.col("c_custkey").alias("id"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("type"), F.coalesce("degree", F.lit(0)).alias("degree"),
+                (F.col("c_nationkey") + 100).cast("long").alias("n"), F.col("n_regionkey").cast("long").alias("r"))
+    )
+    both = F.array(F.struct(F.col("r").alias("community"), F.lit(0).alias("level")), F.struct(F.col("n").alias("community"), F.lit(1).alias("level")))
+    return c.select("id", "title", "type", "degree", F.inline(both))
+
+
+view_sql("v_customer", """SELECT c_custkey AS id, c_name AS title, c_mktsegment AS type, CAST(coalesce(d.n, 0) AS INTEGER) AS degree, CAST(c_nationkey + 100 AS BIGINT) AS n, CAST(n_regionkey AS BIGINT) AS r
+  FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) d ON d.o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey""")
+view_sql("v_member", """SELECT id, title, type, degree, r AS community, 0 AS level FROM v_customer UNION ALL SELECT id, title, type, degree, n, 1 FROM v_customer""")
+
+
+def reports(t: Tables) -> DataFrame:
+    """(human_readable_id, community, level, title, summary): one report per community."""
+    return communities(t).select(
+        (F.col("community") + 7).alias("human_readable_id"), "community", "level",
+        F.concat(F.lit("Report on "), "title").alias("title"), F.concat(F.lit("About "), "title", F.lit(".")).alias("summary"))
+
+
+view_sql("v_report", "SELECT community + 7 AS human_readable_id, community, level, 'Report on ' || title AS title, 'About ' || title || '.' AS summary FROM v_community")
