@@ -16,8 +16,22 @@ class Tables:
     spark: SparkSession
     root: str
 
+    # tables whose rows cost real work to parse, with the key later steps group by
+    TEXT_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+
     def __call__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        return spread(df, self.TEXT_KEYS[name]) if name in self.TEXT_KEYS else df
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-spread a scan that has fewer splits than the session has slots.
+
+    A large table already has more splits than slots and is left alone, so no shuffle is added
+    at scale; a table in a few files would otherwise run its regexes in a few tasks.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots, key) if df.rdd.getNumPartitions() < slots else df
 
 
 @dataclass
