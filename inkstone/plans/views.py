@@ -158,13 +158,14 @@ view_sql("v_section", """SELECT doc_id, idx, name, start_offset,
 def votes(t: Tables) -> DataFrame:
     """(run, room, title, ord, keep): n-run votes; ``ord`` is the order inside the run."""
     e = t("events")
+    drift = F.when(F.col("user_id") % 7 == 0, F.col("event_id") % 3).otherwise(0)
     return e.groupBy(
-        (F.col("event_id") % 3).cast("int").alias("run"), (F.col("user_id") % 10).cast("int").alias("room"),
+        (F.col("event_id") % 3).cast("int").alias("run"), ((F.col("user_id") + drift) % 10).cast("int").alias("room"),
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("title"),
     ).agg(F.min("event_id").alias("ord"), (F.max("value") > 24).alias("keep"))
 
 
-view_sql("v_vote", """SELECT CAST(event_id % 3 AS INTEGER) AS run, CAST(user_id % 10 AS INTEGER) AS room, 'u' || user_id AS title,
+view_sql("v_vote", """SELECT CAST(event_id % 3 AS INTEGER) AS run, CAST((user_id + CASE WHEN user_id % 7 = 0 THEN event_id % 3 ELSE 0 END) % 10 AS INTEGER) AS room, 'u' || user_id AS title,
   min(event_id) AS ord, max(value) > 24 AS keep FROM events GROUP BY ALL""")
 
 
@@ -298,3 +299,24 @@ def reports(t: Tables) -> DataFrame:
 
 
 view_sql("v_report", "SELECT community + 7 AS human_readable_id, community, level, 'Report on ' || title AS title, 'About ' || title || '.' AS summary FROM v_community")
+
+# ---------------------------------------------------------------- rooms with status
+
+BUDGET = 3
+
+
+def rooms(t: Tables) -> DataFrame:
+    """(doc_id, section, title, pos, pos_source, degree, rank, status): members of every section.
+
+    ``kept`` is the best ``BUDGET`` members of a section by degree; the window is one section of
+    one document.
+    """
+    from inkstone.plans.positions import ordered
+
+    w = Window.partitionBy("doc_id", "section").orderBy(F.desc("graph_degree"), "title")
+    m = ordered(t).withColumn("status", F.when(F.row_number().over(w) <= BUDGET, "kept").otherwise("demoted"))
+    return m.select("doc_id", "section", "title", "pos", "pos_source", F.col("graph_degree").alias("degree"), "rank", "status")
+
+
+view_sql("v_room", """SELECT doc_id, section, title, pos, pos_source, graph_degree AS degree, rank,
+  CASE WHEN row_number() OVER (PARTITION BY doc_id, section ORDER BY graph_degree DESC, title) <= 3 THEN 'kept' ELSE 'demoted' END AS status FROM v_member_order""")
