@@ -10,28 +10,37 @@ from inkstone.operators.ranking import full_rank, top_per_group
 
 
 def price_table(spark) -> DataFrame:
-    rows = [(m, float(i), float(o)) for m, (i, o) in K.PRICES.items()]
-    return spark.createDataFrame(rows, "model string, usd_in double, usd_out double")
+    rows = [(m, str(i), str(o)) for m, (i, o) in K.PRICES.items()]
+    df = spark.createDataFrame(rows, "model string, usd_in string, usd_out string")
+    return df.select("model", F.col("usd_in").cast("decimal(10,4)").alias("usd_in"), F.col("usd_out").cast("decimal(10,4)").alias("usd_out"))
 
 
 def with_cost(usage: DataFrame, unknown: str = "zero") -> DataFrame:
-    """Adds ``cost``; an unlisted model costs 0.0 (``zero``) or null (``null``)."""
+    """Adds ``cost`` in exact millionths of a USD; an unlisted model costs 0 (``zero``) or null (``null``).
+
+    Decimal sums do not depend on the order in which tasks finish; ``usd`` turns them into USD.
+    """
     j = usage.join(F.broadcast(price_table(usage.sparkSession)), "model", "left")  # four fixed rows
-    cost = F.col("prompt_tokens") / 1e6 * F.col("usd_in") + F.col("completion_tokens") / 1e6 * F.col("usd_out")
-    return j.withColumn("cost", F.coalesce(cost, F.lit(0.0)) if unknown == "zero" else cost).drop("usd_in", "usd_out")
+    cost = (F.col("prompt_tokens") * F.col("usd_in") + F.col("completion_tokens") * F.col("usd_out")).cast("decimal(28,4)")
+    return j.withColumn("cost", F.coalesce(cost, F.lit(0).cast("decimal(28,4)")) if unknown == "zero" else cost).drop("usd_in", "usd_out")
+
+
+def usd(micro: Column) -> Column:
+    """USD with six decimals from exact millionths."""
+    return F.round(micro, 0).cast("double") / 1e6
 
 
 def usage_by_model(usage: DataFrame) -> DataFrame:
     """Tokens, calls and cost by model plus a grand total row (null model)."""
     return with_cost(usage).rollup("model").agg(
         F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"),
-        F.count("*").alias("calls"), F.round(F.sum("cost"), 6).alias("cost"))
+        F.count("*").alias("calls"), usd(F.sum("cost")).alias("cost"))
 
 
 def usage_cost(usage: DataFrame, key: str, unknown: str) -> DataFrame:
     """Cost per key; under the ``null`` policy one unknown call makes the key's total null."""
     c = with_cost(usage, unknown).groupBy(key).agg(F.sum("cost").alias("c"), F.count_if(F.col("cost").isNull()).alias("unknown"))
-    total = F.when(F.col("unknown") > 0, None).otherwise(F.round("c", 6)) if unknown == "null" else F.round("c", 6)
+    total = F.when(F.col("unknown") > 0, None).otherwise(usd(F.col("c"))) if unknown == "null" else usd(F.col("c"))
     return c.select(key, total.alias("cost"), "unknown")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkstone.session import cut_lineage
+
 
 def top_per_group(df: DataFrame, keys: list[str], order: list, n: int, name: str = "rank") -> DataFrame:
     """Best ``n`` rows per key. The rank filter is pushed below the shuffle (window group limit),
@@ -25,8 +27,8 @@ def full_rank(df: DataFrame, keys: list[str], bucket: Column, order: list, name:
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     shift = sizes.withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     local = b.withColumn("_l", F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(*order)))
-    cond = ["_b", *keys]
-    return local.join(shift, cond).withColumn(name, (F.col("_l") + F.col("_shift")).cast("long")).drop("_b", "_l", "_shift")
+    # buckets are never null: null order values fall into their own bucket through the struct
+    return local.join(shift, ["_b", *keys]).withColumn(name, (F.col("_l") + F.col("_shift")).cast("long")).drop("_b", "_l", "_shift")
 
 
 def round_robin(df: DataFrame, keys: list[str], kind: str, degree: str, title: str, n: int) -> DataFrame:
@@ -41,24 +43,46 @@ def round_robin(df: DataFrame, keys: list[str], kind: str, degree: str, title: s
     return top_per_group(j, keys, ["_round", "_head"], n, "rank").drop("_round", "_head")
 
 
-def unique_ids(df: DataFrame, base: str, seen: Column, bucket: Column | None = None) -> DataFrame:
-    """Colliding base ids get _2, _3, .. in first-seen order.
+def unique_ids(titles: DataFrame, base: str, seen: str, bucket: Column) -> DataFrame:
+    """First-seen titles keep their base id, later ones of the same base get _2, _3, ..
 
-    A suffixed id may equal another row's own base id; those rows take the next free suffix,
-    which a second pass finds by an anti join on the ids already taken.
+    A suffixed id can equal an id another title already holds. Then the later-seen title, and
+    the later titles of its base, move one suffix on; this repeats until all ids differ.
     """
-    ranked = full_rank(df.withColumn("_seen", seen), [base], bucket if bucket is not None else F.lit(0), ["_seen"], "_n")
-    cand = F.when(F.col("_n") == 1, F.col(base)).otherwise(F.concat(F.col(base), F.lit("_"), F.col("_n").cast("string")))
-    first = ranked.withColumn("uid", cand)
-    bases = df.select(F.col(base).alias("uid")).distinct().withColumn("_taken", F.lit(True))
-    checked = first.join(bases, "uid", "left")
-    clash = F.coalesce(F.col("_taken"), F.lit(False)) & (F.col("_n") > 1)
-    # a clash moves every later member of its base one suffix further
-    moved = F.sum(clash.cast("long")).over(Window.partitionBy(base).orderBy("_n"))
-    fixed = F.when(F.col("_n") == 1, F.col(base)).otherwise(F.concat(F.col(base), F.lit("_"), (F.col("_n") + moved).cast("string")))
-    return checked.withColumn("uid", fixed).drop("_n", "_seen", "_taken")
+    out = full_rank(titles, [base], bucket, [seen], "_n")
+    uid = F.when(F.col("_n") == 1, F.col(base)).otherwise(F.concat(F.col(base), F.lit("_"), F.col("_n").cast("string")))
+    while True:
+        out = out.withColumn("uid", uid)
+        owner = out.groupBy("uid").agg(F.min(seen).alias("_first"), F.count("*").alias("_c")).where("_c > 1")
+        lost = out.join(owner, "uid").where(F.col(seen) != F.col("_first")).groupBy(base).agg(F.min("_n").alias("_from"))
+        if lost.isEmpty():
+            return out.drop("_n")
+        moved = out.join(lost, base, "left")
+        out = cut_lineage(moved.withColumn("_n", F.col("_n") + F.coalesce((F.col("_n") >= F.col("_from")).cast("int"), F.lit(0))).drop("_from", "uid"))
+
+
+def seeded_order(seed: int, *keys: Column) -> Column:
+    """A hash order that is the same on every run and in every engine with md5."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[k.cast("string") for k in keys]))
 
 
 def seeded_sample(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
-    """``n`` rows in the order of a seeded hash: the same rows on every run."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
+    """``n`` rows in seeded hash order (a distributed top-n)."""
+    return df.orderBy(seeded_order(seed, F.col(key)), key).limit(n)
+
+
+def dual_rank(members: DataFrame, room: list[str], weight: str, pos: str, tie: list[str]) -> DataFrame:
+    """Rank in room and over everything by weight desc, position asc; with the room's total weight."""
+    order = [F.desc(weight), pos, *tie]
+    slots = F.struct((-F.col(weight)).alias("w"), F.floor(F.col(pos) / 256).alias("p"))
+    r = full_rank(members, room, slots, order, "room_rank")
+    g = full_rank(r, [], slots, order, "global_rank")
+    total = members.groupBy(*room).agg(F.sum(weight).cast("long").alias("room_weight"))
+    return g.join(total, room)
+
+
+def blind_relabel(df: DataFrame, label: str, prefix: str) -> DataFrame:
+    """(label, blind): neutral ids by sorted order of the distinct labels, two-level ranked."""
+    d = df.select(label).distinct()
+    r = full_rank(d, [], F.substring(F.col(label), 1, 6), [label], "_r")
+    return r.select(label, F.concat(F.lit(prefix), F.lpad(F.col("_r").cast("string"), 6, "0")).alias("blind"))

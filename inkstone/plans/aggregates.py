@@ -33,17 +33,17 @@ def level_counts(t):
 
 
 PRICE = "(VALUES " + ", ".join(f"('{m}', {i}, {o})" for m, (i, o) in K.PRICES.items()) + ") p(model, i, o)"
-view_sql("v_cost", f"SELECT u.*, prompt_tokens / 1e6 * i + completion_tokens / 1e6 * o AS cost FROM v_usage u LEFT JOIN {PRICE} ON p.model = u.model")
+view_sql("v_cost", f"SELECT u.*, CAST(prompt_tokens AS DECIMAL(18,0)) * i + CAST(completion_tokens AS DECIMAL(18,0)) * o AS cost FROM v_usage u LEFT JOIN {PRICE} ON p.model = u.model")
 
 
 @query("usage_by_model", """SELECT model, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens, CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens,
-  count(*) AS calls, round(sum(coalesce(CAST(cost AS DOUBLE), 0)), 6) AS cost FROM v_cost GROUP BY ROLLUP (model)""")
+  count(*) AS calls, CAST(round(sum(coalesce(cost, 0)), 0) AS DOUBLE) / 1e6 AS cost FROM v_cost GROUP BY ROLLUP (model)""")
 def usage_by_model(t):
     return A.usage_by_model(V.usage(t))
 
 
-@query("usage_cost", """SELECT job_id, CASE WHEN count(*) FILTER (WHERE cost IS NULL) = 0 THEN round(sum(CAST(cost AS DOUBLE)), 6) END AS cost_strict,
-  round(sum(coalesce(CAST(cost AS DOUBLE), 0)), 6) AS cost_lenient, count(*) FILTER (WHERE cost IS NULL) AS "unknown" FROM v_cost GROUP BY job_id""")
+@query("usage_cost", """SELECT job_id, CASE WHEN count(*) FILTER (WHERE cost IS NULL) = 0 THEN CAST(round(sum(cost), 0) AS DOUBLE) / 1e6 END AS cost_strict,
+  CAST(round(sum(coalesce(cost, 0)), 0) AS DOUBLE) / 1e6 AS cost_lenient, count(*) FILTER (WHERE cost IS NULL) AS "unknown" FROM v_cost GROUP BY job_id""")
 def usage_cost(t):
     u = V.usage(t)
     strict = A.usage_cost(u, "job_id", "null").withColumnRenamed("cost", "cost_strict")
@@ -61,12 +61,12 @@ def stage_report(t):
 
 
 @query("method_summary", """SELECT stage, avg(k) AS mean_value, count(*) AS calls, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens, CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens,
-  round(sum(CAST(cost AS DOUBLE)), 6) AS cost FROM (SELECT *, prompt_tokens / 100 AS k FROM v_cost) GROUP BY ROLLUP (stage)""")
+  CAST(round(sum(cost), 0) AS DOUBLE) / 1e6 AS cost FROM (SELECT *, prompt_tokens / 100 AS k FROM v_cost) GROUP BY ROLLUP (stage)""")
 def method_summary(t):
     u = A.with_cost(V.usage(t), "null")
     return u.rollup("stage").agg(
         F.avg(F.col("prompt_tokens") / 100).alias("mean_value"), F.count("*").alias("calls"), F.sum("prompt_tokens").alias("prompt_tokens"),
-        F.sum("completion_tokens").alias("completion_tokens"), F.round(F.sum("cost"), 6).alias("cost"))
+        F.sum("completion_tokens").alias("completion_tokens"), A.usd(F.sum("cost")).alias("cost"))
 
 
 @query("trial_summary", """SELECT event_type AS profile, user_id AS question, round(avg(value), 6) AS mean_time, min(value) AS min_time, max(value) AS max_time,
