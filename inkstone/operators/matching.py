@@ -1,10 +1,16 @@
-"""Figure-to-entity matching and lookups."""
+"""Figure-to-entity matching, caption slots, layout boxes, lookups and room edges."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkstone.functions import constants as K
+from inkstone.functions import text as X
+from inkstone.functions import vectors as VEC
+from inkstone.operators.contains import contains_join
+
 
 def field_diff(a: DataFrame, b: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
     """(keys.., field, golden, other): every field that differs, rows missing on one side included."""
@@ -12,3 +18,307 @@ def field_diff(a: DataFrame, b: DataFrame, keys: list[str], fields: list[str]) -
     y = b.select(*keys, *[F.col(f).cast("string").alias(f"b_{f}") for f in fields])
     cells = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"a_{f}").alias("golden"), F.col(f"b_{f}").alias("other")) for f in fields])
     return x.join(y, keys, "full").select(*keys, F.inline(cells)).where(~F.col("golden").eqNullSafe(F.col("other")))
+
+
+# ---------------------------------------------------------------- candidates and scores
+
+def entity_pages(pages: DataFrame, entities: DataFrame) -> DataFrame:
+    """(doc_id, title, page): pages of its own document whose body holds a surface variant."""
+    variants = entities.select("doc_id", "title", F.explode(X.surface_variants(F.col("title"))).alias("variant"))
+    hits = contains_join(pages, ["doc_id", "page"], "body", variants.select("variant").distinct(), "variant")
+    return hits.join(variants, ["doc_id", "variant"]).select("doc_id", "title", "page").distinct()
+
+
+def window_candidates(figures: DataFrame, ent_pages: DataFrame, window: int = 1) -> DataFrame:
+    """(doc_id, row, title): entities seen within ``window`` pages, by exploding page offsets."""
+    near = ent_pages.select("doc_id", "title", F.explode(F.sequence(F.col("page") - window, F.col("page") + window)).alias("page"))
+    return figures.select("doc_id", "row", "page").join(near, ["doc_id", "page"]).select("doc_id", "row", "title").distinct()
+
+
+def name_match(title: Column, tokens: Column) -> Column:
+    """True when a variant equals, starts, or is started by a caption token; both of two characters or more."""
+    variants = F.filter(X.surface_variants(title), lambda v: F.length(v) >= K.MIN_NAME_LEN)
+    toks = F.filter(tokens, lambda x: F.length(x) >= K.MIN_NAME_LEN)
+    return X.let(F.struct(variants.alias("v"), toks.alias("t")), lambda b: F.exists(
+        b["v"], lambda v: F.exists(b["t"], lambda tok: F.startswith(v, tok) | F.startswith(tok, v))))
+
+
+def match_score(pairs: DataFrame) -> DataFrame:
+    """Adds score = cosine + name bonus - hub penalty; needs cap_vec, ent_vec, cap_title, title, degree, max_degree."""
+    bonus = F.when(name_match(F.col("title"), X.words(F.col("cap_title"))), K.NAME_BONUS).otherwise(0.0)
+    hub = F.when(F.col("max_degree") > 0, F.col("degree") / F.col("max_degree") * K.HUB_PENALTY).otherwise(0.0)
+    return pairs.withColumn("score", VEC.cosine(F.col("cap_vec"), F.col("ent_vec")) + bonus - hub)
+
+
+def _best(pairs: DataFrame) -> DataFrame:
+    """Best title per figure, smaller title on ties; partial aggregation, pairs are never stored."""
+    b = match_score(pairs).groupBy("doc_id", "row").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("title").alias("title"))).alias("b"))
+    return b.select("doc_id", "row", F.col("b.title").alias("match"), (-F.col("b.s")).alias("score"))
+
+
+def match_cascade(figures: DataFrame, candidates: DataFrame, nodes: DataFrame,
+                  local: float = K.SCORE_LOCAL, cascade: float = K.SCORE_CASCADE) -> DataFrame:
+    """(doc_id, row, tier, match, score): page-window pool first, then every node of the document.
+
+    Only figures the first pool did not settle reach the second pass.
+    """
+    maxd = nodes.groupBy("doc_id").agg(F.max("degree").alias("max_degree"))
+    ent = nodes.join(maxd, "doc_id")
+    named = figures.where(X.strip(F.col("caption")) != "")
+    first = _best(named.join(candidates, ["doc_id", "row"]).join(ent, ["doc_id", "title"])).where(F.col("score") >= local)
+    rest = named.join(first, ["doc_id", "row"], "left_anti")
+    second = _best(rest.join(ent, "doc_id"))
+    ok = F.col("score") >= cascade
+    tiered = (
+        first.select("doc_id", "row", F.lit("local").alias("tier"), "match", "score")
+        .unionByName(second.select("doc_id", "row", F.when(ok, "cascade").otherwise("unplaced").alias("tier"), F.when(ok, F.col("match")).alias("match"), "score")))
+    return figures.select("doc_id", "row").join(tiered, ["doc_id", "row"], "left").select(
+        "doc_id", "row", F.coalesce("tier", F.lit("unplaced")).alias("tier"), "match", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+def match_collisions(matches: DataFrame) -> DataFrame:
+    """One figure per node: best score wins, then row order; losers become unplaced collisions.
+
+    The winner is an aggregate joined back, so a popular node is not ranked in one task.
+    """
+    win = matches.where("match is not null").groupBy("doc_id", "match").agg(
+        F.min(F.struct((-F.col("score")).alias("s"), F.col("row").alias("row"))).alias("w")).select("doc_id", "match", F.col("w.row").alias("winner"))
+    lost = F.col("winner").isNotNull() & (F.col("winner") != F.col("row"))
+    return matches.join(win, ["doc_id", "match"], "left").select(
+        "doc_id", "row", F.when(lost, "collision").otherwise(F.col("tier")).alias("tier"), F.when(~lost | F.col("winner").isNull(), F.col("match")).alias("match"), "score")
+
+
+def attach_images(figures: DataFrame, settled: DataFrame) -> DataFrame:
+    """(doc_id, row, page, title, ord, reason, score): attached figures by node, unplaced with their reason."""
+    j = figures.join(settled, ["doc_id", "row"])
+    w = Window.partitionBy("doc_id", "match").orderBy(F.desc("score"), "row")  # one winner per node after collisions
+    placed = F.col("match").isNotNull()
+    return j.select(
+        "doc_id", "row", "page", F.col("match").alias("title"), F.when(placed, F.row_number().over(w)).alias("ord"),
+        F.when(placed, None).when(F.col("tier") == "collision", "collision").otherwise("no_fit").alias("reason"), F.round("score", 3).alias("score"))
+
+
+def match_diff(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose match or tier changed between two runs."""
+    a = old.select(*keys, F.col("match").alias("old_match"), F.col("tier").alias("old_tier"))
+    b = new.select(*keys, F.col("match").alias("new_match"), F.col("tier").alias("new_tier"))
+    same = F.col("old_match").eqNullSafe(F.col("new_match")) & F.col("old_tier").eqNullSafe(F.col("new_tier"))
+    return a.join(b, keys).where(~same)
+
+
+def slot_fill(figures: DataFrame, captions: DataFrame) -> DataFrame:
+    """i-th empty figure of a page takes the i-th unused caption of that page.
+
+    Captions are compared without white space against those figures already carry.
+    """
+    def bare(c):
+        return F.regexp_replace(c, r"(?U)\s+", "")
+
+    used = figures.where("caption <> ''").select("doc_id", bare(F.col("caption")).alias("norm")).distinct()
+    w = Window.partitionBy("doc_id", "page").orderBy("ord")  # the captions or figures of one page
+    pool = captions.withColumn("norm", bare(F.col("text"))).join(used, ["doc_id", "norm"], "left_anti").withColumn("rn", F.row_number().over(w)).select("doc_id", "page", "rn", "text")
+    empty = figures.where("caption = ''").withColumn("rn", F.row_number().over(w))
+    filled = empty.join(pool, ["doc_id", "page", "rn"], "left").select("doc_id", "page", "ord", F.coalesce("text", F.lit("")).alias("caption"))
+    return figures.where("caption <> ''").select("doc_id", "page", "ord", "caption").unionByName(filled)
+
+
+# ---------------------------------------------------------------- layout boxes
+
+CELL = 64
+
+
+def box_pairs(boxes: DataFrame) -> DataFrame:
+    """(image, i, j, ratio): ordered pairs of overlapping boxes with intersection / smaller area.
+
+    Boxes meet only in grid cells they share and each pair is kept in its first shared cell.
+    """
+    def cells(lo: str, hi: str) -> Column:
+        return F.sequence(F.floor(F.col(lo) / CELL), F.floor((F.greatest(F.col(hi), F.col(lo) + 1) - 1) / CELL))
+
+    b = boxes.withColumn("cx", F.explode(cells("x0", "x1"))).withColumn("cy", F.explode(cells("y0", "y1")))
+    p = b.select("image", "cx", "cy", F.struct("idx", "x0", "y0", "x1", "y1").alias("a"))
+    q = b.select("image", "cx", "cy", F.struct("idx", "x0", "y0", "x1", "y1").alias("b"))
+    lox, loy = F.greatest("a.x0", "b.x0"), F.greatest("a.y0", "b.y0")
+    w, h = F.least("a.x1", "b.x1") - lox, F.least("a.y1", "b.y1") - loy
+    j = p.join(q, ["image", "cx", "cy"]).where(
+        (F.col("a.idx") != F.col("b.idx")) & (w > 0) & (h > 0) & (F.col("cx") == F.floor(lox / CELL)) & (F.col("cy") == F.floor(loy / CELL)))
+
+    def area(s: str) -> Column:
+        return (F.col(f"{s}.x1") - F.col(f"{s}.x0")) * (F.col(f"{s}.y1") - F.col(f"{s}.y0"))
+
+    return j.select("image", "a", "b", (w * h / F.greatest(F.lit(1), F.least(area("a"), area("b")))).alias("ratio"), area("a").alias("area_a"), area("b").alias("area_b"))
+
+
+def merged_boxes(boxes: DataFrame, ratio: float = 0.5, keep: float = 0.25, side: int = 40) -> DataFrame:
+    """Rule 1: a box over two or more others and as large as each becomes its best residual band, or is dropped.
+
+    (image, idx, x0, y0, x1, y1, rule1) for every box; rule1 is kept, band or drop.
+    """
+    over = box_pairs(boxes).where(F.col("ratio") > ratio)
+    u = over.groupBy("image", F.col("a.idx").alias("idx")).agg(
+        F.count("*").alias("n"), F.every(F.col("area_a") >= F.col("area_b")).alias("largest"),
+        F.min("b.x0").alias("ux0"), F.min("b.y0").alias("uy0"), F.max("b.x1").alias("ux1"), F.max("b.y1").alias("uy1"))
+    j = boxes.join(u.where("n >= 2 and largest"), ["image", "idx"], "left")
+
+    def band(rank: int, x0, y0, x1, y1) -> Column:
+        w, h = F.col(x1) - F.col(x0), F.col(y1) - F.col(y0)
+        return F.when((w >= side) & (h >= side), F.struct((w * h).alias("area"), F.lit(-rank).alias("r"), F.col(x0).alias("x0"), F.col(y0).alias("y0"), F.col(x1).alias("x1"), F.col(y1).alias("y1")))
+
+    best = F.greatest(band(0, "x0", "uy1", "x1", "y1"), band(1, "x0", "y0", "x1", "uy0"), band(2, "ux1", "y0", "x1", "y1"), band(3, "x0", "y0", "ux0", "y1"))
+    area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
+    j = j.withColumn("band", F.when(F.col("n").isNotNull(), best))
+    rule = F.when(F.col("n").isNull(), "kept").when(F.col("band.area") >= keep * area, "band").otherwise("drop")
+    return j.withColumn("rule1", rule).select(
+        "image", "idx", *[F.when(F.col("rule1") == "band", F.col(f"band.{c}")).otherwise(F.col(c)).alias(c) for c in ("x0", "y0", "x1", "y1")], "rule1")
+
+
+def box_cleanup(boxes: DataFrame) -> DataFrame:
+    """Both rules; rule 2 drops a box that a surviving larger box covers by 80 % or more.
+
+    Only the covering pairs of an image, not its boxes, go through the ordered pass.
+    """
+    one = merged_boxes(boxes)
+    live = one.where("rule1 <> 'drop'")
+    cover = box_pairs(live).where((F.col("area_b") > F.col("area_a")) & (F.col("ratio") >= 0.8)).select("image", F.col("a.idx").alias("small"), F.col("b.idx").alias("big"))
+
+    def ordered(pdf: pd.DataFrame) -> pd.DataFrame:
+        gone: set[int] = set()
+        for small, grp in pdf.sort_values("small").groupby("small", sort=True):
+            if any(b not in gone for b in grp["big"]):
+                gone.add(small)
+        return pd.DataFrame({"image": pdf["image"].iloc[0], "idx": sorted(gone)}).astype({"idx": "int32"})
+
+    gone = cover.groupBy("image").applyInPandas(ordered, "image long, idx int")
+    return live.join(gone, ["image", "idx"], "left_anti")
+
+
+def caption_boxes(figures: DataFrame, captions: DataFrame) -> DataFrame:
+    """(image, fig, cap): nearest caption below with horizontal overlap, figures served in order.
+
+    Candidates come from an equi join and are cut by geometry first; an image holds a bounded
+    number of detected boxes, and only its surviving candidates reach the greedy pass.
+    """
+    j = figures.alias("f").join(captions.alias("c"), "image")
+    over = F.least("f.x1", "c.x1") - F.greatest("f.x0", "c.x0")
+    gap = F.col("c.y0") - F.col("f.y1")
+    tall = F.greatest(F.lit(1), F.col("f.y1") - F.col("f.y0"))
+    cand = j.where((over > 0) & (gap >= -tall * 0.5)).select(
+        "image", F.col("f.idx").alias("fig"), F.col("c.idx").alias("cap"), F.abs(gap).alias("gap"), (-over).alias("neg_over"))
+
+    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
+        used: set[int] = set()
+        rows = []
+        for fig, grp in pdf.sort_values(["fig", "gap", "neg_over", "cap"]).groupby("fig", sort=True):
+            free = grp[~grp["cap"].isin(used)]
+            if len(free):
+                cap = int(free["cap"].iloc[0])
+                used.add(cap)
+                rows.append((pdf["image"].iloc[0], int(fig), cap))
+        return pd.DataFrame(rows, columns=["image", "fig", "cap"])
+
+    return cand.groupBy("image").applyInPandas(greedy, "image long, fig int, cap int")
+
+
+def box_merge(boxes: DataFrame, gap: int) -> DataFrame:
+    """Boxes of one image merged while any two are closer than ``gap``; in list order until stable."""
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        cur = [tuple(r) for r in pdf.sort_values("idx")[["x0", "y0", "x1", "y1"]].itertuples(index=False)]
+        while True:
+            out: list[tuple] = []
+            for b in cur:
+                near = next((k for k, o in enumerate(out) if b[0] <= o[2] + gap and o[0] <= b[2] + gap and b[1] <= o[3] + gap and o[1] <= b[3] + gap), None)
+                if near is None:
+                    out.append(b)
+                else:
+                    o = out[near]
+                    out[near] = (min(b[0], o[0]), min(b[1], o[1]), max(b[2], o[2]), max(b[3], o[3]))
+            if len(out) == len(cur):
+                break
+            cur = out
+        df = pd.DataFrame(cur, columns=["x0", "y0", "x1", "y1"])
+        df.insert(0, "idx", range(len(df)))
+        df.insert(0, "image", pdf["image"].iloc[0])
+        return df
+
+    return boxes.groupBy("image").applyInPandas(merge, "image long, idx int, x0 int, y0 int, x1 int, y1 int")
+
+
+def child_figures(figures: DataFrame, gate: float = 0.10) -> DataFrame:
+    """Small figures pass; large ones drop (no box), are re-cropped (one box) or split into children.
+
+    Needs id, page, bbox (inches), page_area, crop_w, crop_h (pixels), boxes and caption.
+    """
+    x0, y0, x1, y1 = (F.col("bbox")[i] for i in range(4))
+    ratio = F.greatest(F.lit(0.0), x1 - x0) * F.greatest(F.lit(0.0), y1 - y0) / F.col("page_area")
+    n = F.size("boxes")
+    kind = F.when(ratio < gate, "pass").when(n == 0, "drop").when(n == 1, "recrop").otherwise("split")
+    lines = F.filter(F.transform(F.split("caption", "\n"), X.strip), lambda s: s != "")
+    ppi_x, ppi_y = F.col("crop_w") / F.greatest(F.lit(1e-6), x1 - x0), F.col("crop_h") / F.greatest(F.lit(1e-6), y1 - y0)
+    base = figures.select("*", kind.alias("kind"), lines.alias("lines"), ppi_x.alias("px"), ppi_y.alias("py"), x0.alias("bx"), y0.alias("by"))
+    whole = base.where("kind in ('pass', 'recrop')").select(
+        "id", "page", "kind", F.when(F.col("kind") == "recrop", "A").alias("false_positive_type"), "caption", *[F.col("bbox")[i].alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))])
+    kids = base.where("kind = 'split'").select("*", F.posexplode("boxes").alias("k", "b"))
+    per_line = F.size("lines") == F.size("boxes")
+    child = kids.select(
+        F.concat("id", F.lit("_cv_"), (F.col("k") + 1).cast("string")).alias("id"), "page", "kind", F.lit("B").alias("false_positive_type"),
+        F.when(per_line, F.get("lines", F.col("k"))).otherwise(X.strip(F.col("caption"))).alias("caption"),
+        (F.col("bx") + F.col("b")[0] / F.col("px")).alias("x0"), (F.col("by") + F.col("b")[1] / F.col("py")).alias("y0"),
+        (F.col("bx") + F.col("b")[2] / F.col("px")).alias("x1"), (F.col("by") + F.col("b")[3] / F.col("py")).alias("y1"))
+    return whole.unionByName(child)
+
+
+# ---------------------------------------------------------------- lookups and room edges
+
+def id_lookups(refs: DataFrame, names: dict[str, tuple[DataFrame, str, str, str]]) -> DataFrame:
+    """Left joins id -> name per column with a default for misses: {column: (table, id, name, default)}."""
+    out = refs
+    for col, (table, ident, name, default) in names.items():
+        t = table.select(F.col(ident).alias(col), F.col(name).alias(f"{col}_name"))
+        out = out.join(t, col, "left").withColumn(f"{col}_name", F.coalesce(f"{col}_name", F.lit(default)))
+    return out
+
+
+def duplicate_titles(entities: DataFrame, title: str) -> DataFrame:
+    return entities.groupBy(title).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def unique_title_lookup(entities: DataFrame, title: str) -> DataFrame:
+    """Entities keyed by title; a duplicate fails the job."""
+    dup = duplicate_titles(entities, title)
+    msg = F.concat(F.lit("duplicate title: "), F.col(title).cast("string"))
+    return entities.join(dup, title, "left").withColumn("_ok", F.when(F.col("n").isNotNull(), F.raise_error(msg)).otherwise(F.lit(True))).where("_ok").drop("n", "_ok")
+
+
+def orphans(entities: DataFrame, members: DataFrame, key: str) -> DataFrame:
+    return entities.join(members.select(key).distinct(), key, "left_anti")
+
+
+def nearest_centroid(rows: DataFrame, vector: str, centroids: DataFrame, label: str, max_centroids: int = 4096) -> DataFrame:
+    """Adds the label of the nearest centroid by cosine (smallest label on ties) and the similarity.
+
+    Centroids are one per room; their number is checked before they travel to every task.
+    """
+    packed = centroids.agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct(F.col(label).alias("l"), F.col("centroid").alias("c")))).alias("cs"))
+    packed = packed.select(F.when(F.col("n") > max_centroids, F.raise_error(F.lit("too many centroids to send to every task"))).otherwise(F.col("cs")).alias("cs"))
+    j = rows.withColumn("_v", VEC.normalize(F.col(vector))).join(F.broadcast(packed))
+    scored = F.transform("cs", lambda c: F.struct((-VEC.dot(c["c"], F.col("_v"))).alias("s"), c["l"].alias("l")))
+    return j.withColumn("_b", F.array_min(scored)).select(*rows.columns, F.col("_b.l").alias("home"), (-F.col("_b.s")).alias("sim"))
+
+
+def room_edges(edges: DataFrame, kept: DataFrame) -> DataFrame:
+    """Edges whose two ends are kept in the same room of their document; null weights stay."""
+    k = kept.select("doc_id", "section", "title", "ord")
+    a = k.select("doc_id", "section", F.col("title").alias("source"), F.col("ord").alias("s_ord"))
+    b = k.select("doc_id", F.col("section").alias("t_section"), F.col("title").alias("target"), F.col("ord").alias("t_ord"))
+    return edges.join(a, ["doc_id", "source"]).join(b, ["doc_id", "target"]).where("section = t_section").select(
+        "doc_id", "section", "source", "target", "weight", "s_ord", "t_ord")
+
+
+def related(edges: DataFrame, kept: DataFrame) -> DataFrame:
+    """Per kept node its neighbours in kept order; isolated nodes have none. A room keeps a bounded number."""
+    e = room_edges(edges, kept)
+    both = e.select("doc_id", F.col("source").alias("title"), F.struct(F.col("t_ord").alias("o"), F.col("target").alias("t")).alias("n")).unionByName(
+        e.select("doc_id", F.col("target").alias("title"), F.struct(F.col("s_ord").alias("o"), F.col("source").alias("t")).alias("n")))
+    n = both.groupBy("doc_id", "title").agg(F.array_sort(F.collect_set("n")).alias("ns"))
+    return kept.select("doc_id", "section", "title").join(n, ["doc_id", "title"], "left").select(
+        "doc_id", "section", "title", F.coalesce(F.array_join(F.transform("ns", lambda x: x["t"]), "|"), F.lit("")).alias("related"))
