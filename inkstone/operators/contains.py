@@ -8,20 +8,13 @@ from pyspark.sql import functions as F
 from inkstone.functions import text as X
 
 RUN = r"([\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+)"  # word runs and symbol runs
-KEY_LEN = 8
+KEY_LEN = 6
 
 
 def _runs(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(RUN), F.lit(1))
 
 
-def _pieces(run: Column) -> Column:
-    """Every substring of 1..KEY_LEN characters of a run."""
-    starts = F.sequence(F.lit(1), F.length(run))
-    return F.array_distinct(F.flatten(F.transform(starts, lambda p: F.transform(
-        F.sequence(F.lit(1), F.least(F.lit(KEY_LEN), F.length(run) - p + 1)), lambda n: F.substr(run, p, n)))))
-
-
 def contains_join(texts: DataFrame, key: list[str], text: str, titles: DataFrame, title: str) -> DataFrame:
     """(key.., title) for every text that contains the title as a substring, exactly once.
 
@@ -35,7 +28,12 @@ def contains_join(texts: DataFrame, key: list[str], text: str, titles: DataFrame
     t = titles.select(title).distinct().select(
         title, F.get(longest, F.lit(0))["r"].alias("anchor"), (F.size(longest) > 1).alias("several")).where("anchor is not null")
     t = t.withColumn("piece", F.substring("anchor", 1, KEY_LEN))
-    hit = vocab.select("run", F.explode(_pieces(F.col("run"))).alias("piece")).join(t, "piece").where(F.contains("run", "anchor"))
+    # only piece lengths some title uses (at most KEY_LEN numbers in one row) are cut from the runs
+    lens = t.agg(F.collect_set(F.length("piece")).alias("lens"))
+    sized = vocab.join(F.broadcast(lens)).select("run", F.explode("lens").alias("n")).where(F.length("run") >= F.col("n"))
+    at = sized.select("run", "n", F.explode(F.sequence(F.lit(1), F.length("run") - F.col("n") + 1)).alias("p"))
+    pieces = at.select("run", F.substr("run", F.col("p"), F.col("n")).alias("piece")).distinct()
+    hit = pieces.join(t, "piece").where(F.contains("run", "anchor"))
     hit = hit.select("run", title, "several")
     cand = runs.join(hit, "run").select(*key, title, "several").distinct()
     sure = cand.where(~F.col("several")).select(*key, title)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +9,7 @@ from inkstone.functions import constants as K
 from inkstone.functions import text as X
 from inkstone.functions import vectors as VEC
 from inkstone.operators.contains import contains_join
+from inkstone.operators.folds import fold_sorted
 
 
 def field_diff(a: DataFrame, b: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
@@ -181,14 +181,14 @@ def box_cleanup(boxes: DataFrame) -> DataFrame:
     live = one.where("rule1 <> 'drop'")
     cover = box_pairs(live).where((F.col("area_b") > F.col("area_a")) & (F.col("ratio") >= 0.8)).select("image", F.col("a.idx").alias("small"), F.col("b.idx").alias("big"))
 
-    def ordered(pdf: pd.DataFrame) -> pd.DataFrame:
+    def ordered(key, rows):
         gone: set[int] = set()
-        for small, grp in pdf.sort_values("small").groupby("small", sort=True):
-            if any(b not in gone for b in grp["big"]):
+        for _, small, big in rows:
+            if big not in gone:
                 gone.add(small)
-        return pd.DataFrame({"image": pdf["image"].iloc[0], "idx": sorted(gone)}).astype({"idx": "int32"})
+        return [(key[0], i) for i in gone]
 
-    gone = cover.groupBy("image").applyInPandas(ordered, "image long, idx int")
+    gone = fold_sorted(cover, ["image"], ["small", "big"], ordered, "image long, idx int")
     return live.join(gone, ["image", "idx"], "left_anti")
 
 
@@ -205,24 +205,23 @@ def caption_boxes(figures: DataFrame, captions: DataFrame) -> DataFrame:
     cand = j.where((over > 0) & (gap >= -tall * 0.5)).select(
         "image", F.col("f.idx").alias("fig"), F.col("c.idx").alias("cap"), F.abs(gap).alias("gap"), (-over).alias("neg_over"))
 
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        used: set[int] = set()
-        rows = []
-        for fig, grp in pdf.sort_values(["fig", "gap", "neg_over", "cap"]).groupby("fig", sort=True):
-            free = grp[~grp["cap"].isin(used)]
-            if len(free):
-                cap = int(free["cap"].iloc[0])
-                used.add(cap)
-                rows.append((pdf["image"].iloc[0], int(fig), cap))
-        return pd.DataFrame(rows, columns=["image", "fig", "cap"])
+    def greedy(key, rows):
+        caps: set[int] = set()
+        done: set[int] = set()
+        for _, fig, _gap, _over, cap in rows:
+            if fig not in done and cap not in caps:
+                done.add(fig)
+                caps.add(cap)
+                yield key[0], fig, cap
 
-    return cand.groupBy("image").applyInPandas(greedy, "image long, fig int, cap int")
+    cand = cand.select("image", "fig", "gap", "neg_over", "cap")
+    return fold_sorted(cand, ["image"], ["fig", "gap", "neg_over", "cap"], greedy, "image long, fig int, cap int")
 
 
 def box_merge(boxes: DataFrame, gap: int) -> DataFrame:
     """Boxes of one image merged while any two are closer than ``gap``; in list order until stable."""
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        cur = [tuple(r) for r in pdf.sort_values("idx")[["x0", "y0", "x1", "y1"]].itertuples(index=False)]
+    def merge(key, rows):
+        cur = [r[2:] for r in rows]
         while True:
             out: list[tuple] = []
             for b in cur:
@@ -233,14 +232,11 @@ def box_merge(boxes: DataFrame, gap: int) -> DataFrame:
                     o = out[near]
                     out[near] = (min(b[0], o[0]), min(b[1], o[1]), max(b[2], o[2]), max(b[3], o[3]))
             if len(out) == len(cur):
-                break
+                return [(key[0], i, *b) for i, b in enumerate(out)]
             cur = out
-        df = pd.DataFrame(cur, columns=["x0", "y0", "x1", "y1"])
-        df.insert(0, "idx", range(len(df)))
-        df.insert(0, "image", pdf["image"].iloc[0])
-        return df
 
-    return boxes.groupBy("image").applyInPandas(merge, "image long, idx int, x0 int, y0 int, x1 int, y1 int")
+    rows = boxes.select("image", "idx", "x0", "y0", "x1", "y1")
+    return fold_sorted(rows, ["image"], ["idx"], merge, "image long, idx int, x0 int, y0 int, x1 int, y1 int")
 
 
 def child_figures(figures: DataFrame, gate: float = 0.10) -> DataFrame:

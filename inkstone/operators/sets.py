@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkstone.operators.folds import fold_sorted
+
 EVIDENCE = ["kind", "source", "title", "topic", "text"]
 
 
@@ -48,24 +49,18 @@ def merge_plan(kept: DataFrame, min_kept: int, max_rooms: int) -> DataFrame:
     Input is one row per room (doc_id, idx, kept_n); a document's rooms are a short list, so the
     loop runs in one small frame per document and members are moved afterwards by a join.
     """
-    def plan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        rooms = [{"host": int(i), "n": int(n), "parts": [int(i)]} for i, n in zip(pdf["idx"], pdf["kept_n"])]
-        while len(rooms) > 1 and (len(rooms) > max_rooms or min(r["n"] for r in rooms) < min_kept):
-            v = min(range(len(rooms)), key=lambda k: (rooms[k]["n"], k))
-            victim = rooms.pop(v)
-            if v == 0:  # the first room joins its successor and its members come first
-                rooms[0]["parts"] = victim["parts"] + rooms[0]["parts"]
-                rooms[0]["n"] += victim["n"]
-            else:
-                rooms[v - 1]["parts"] += victim["parts"]
-                rooms[v - 1]["n"] += victim["n"]
-        rows = [(p, r["host"], o, new) for new, r in enumerate(rooms) for o, p in enumerate(r["parts"])]
-        out = pd.DataFrame(rows, columns=["idx", "host", "ord", "new_id"])
-        out.insert(0, "doc_id", pdf["doc_id"].iloc[0])
-        return out
-
-    out = kept.groupBy("doc_id").applyInPandas(plan, "doc_id long, idx int, host int, ord int, new_id int")
+    def plan(key, rows):
+        live = [{"host": idx, "n": n, "parts": [idx]} for _, idx, n in rows]
+        while len(live) > 1 and (len(live) > max_rooms or min(r["n"] for r in live) < min_kept):
+            v = min(range(len(live)), key=lambda k: (live[k]["n"], k))
+            victim = live.pop(v)
+            host = live[max(v - 1, 0)]
+            # the first room joins its successor and its members come first
+            host["parts"] = victim["parts"] + host["parts"] if v == 0 else host["parts"] + victim["parts"]
+            host["n"] += victim["n"]
+        return [(key[0], p, r["host"], o, new) for new, r in enumerate(live) for o, p in enumerate(r["parts"])]
+
+    out = fold_sorted(kept.select("doc_id", "idx", "kept_n"), ["doc_id"], ["idx"], plan, "doc_id long, idx int, host int, ord int, new_id int")
     return out.withColumn("absorbed", F.col("idx") != F.col("host"))
 
 

@@ -414,6 +414,7 @@ def ingest_parity(t):
             .unionByName(e.agg(F.max(F.size("embedding")).cast("long").alias("got")).select(L("vector_width").alias("check"), "got", L(64).cast("long").alias("want"))))
 
 
+view_sql("v_latest_job_full", "SELECT job_id, arg_max(state, event_id) AS state, arg_max(toc_ready, event_id) AS toc_ready, arg_max(rooms_ready, event_id) AS rooms_ready, arg_max(rag_ready, event_id) AS rag_ready, arg_max(ts, event_id) AS ts FROM v_job_log GROUP BY job_id")
 view_sql("v_latest_job", "SELECT job_id, arg_max(state, event_id) AS state, arg_max(toc_ready, event_id) AS toc_ready, arg_max(rooms_ready, event_id) AS rooms_ready, arg_max(rag_ready, event_id) AS rag_ready, max(ts) AS ts FROM v_job_log GROUP BY job_id")
 
 
