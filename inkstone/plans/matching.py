@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from inkstone.functions import vectors as VEC
@@ -126,14 +127,15 @@ def slot_fill(t):
 
 
 # boxes: one image per order, one box per line
-view_sql("v_box", """SELECT l_orderkey AS image, CAST(l_linenumber * 1000000 + l_partkey % 1000000 AS INTEGER) AS idx, CAST(l_partkey % 20 * 10 AS INTEGER) AS x0, CAST(l_suppkey % 10 * 10 AS INTEGER) AS y0,
+view_sql("v_box", """SELECT l_orderkey AS image, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS INTEGER) AS idx, CAST(l_partkey % 20 * 10 AS INTEGER) AS x0, CAST(l_suppkey % 10 * 10 AS INTEGER) AS y0,
   CAST(l_partkey % 20 * 10 + 20 + l_quantity * 4 AS INTEGER) AS x1, CAST(l_suppkey % 10 * 10 + 20 + l_quantity * 3 AS INTEGER) AS y1 FROM lineitem""")
 
 
 def boxes(t):
     x, y = F.col("l_partkey") % 20 * 10, F.col("l_suppkey") % 10 * 10
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")  # one order
     return t("lineitem").select(
-        F.col("l_orderkey").alias("image"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey") % 1000000).cast("int").alias("idx"), x.cast("int").alias("x0"), y.cast("int").alias("y0"),
+        F.col("l_orderkey").alias("image"), F.row_number().over(w).alias("idx"), x.cast("int").alias("x0"), y.cast("int").alias("y0"),
         (x + 20 + F.col("l_quantity") * 4).cast("int").alias("x1"), (y + 20 + F.col("l_quantity") * 3).cast("int").alias("y1"))
 
 

@@ -16,7 +16,7 @@ WINDOW_S, LIMIT = 6 * 3600.0, 2  # a scaled window: the events of a user are hou
 
 
 @query("rate_limit", f"""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events WHERE user_id NOT IN (3, 5)),
-  r AS (SELECT user_id, event_id, us, rn, us AS st, 1 AS n FROM e WHERE rn = 1 UNION ALL SELECT e.user_id, e.event_id, e.us, e.rn, CASE WHEN e.us - r.st >= {int(WINDOW_S)} * 1000000 THEN e.us ELSE r.st END, CASE WHEN e.us - r.st >= {int(WINDOW_S)} * 1000000 THEN 1 ELSE r.n + 1 END
+  r AS (SELECT user_id, event_id, us, rn, us AS st, 1 AS n FROM e WHERE rn = 1 UNION ALL SELECT e.user_id, e.event_id, e.us, e.rn, CASE WHEN e.us - r.st >= {int(WINDOW_S * 1e6)} THEN e.us ELSE r.st END, CASE WHEN e.us - r.st >= {int(WINDOW_S * 1e6)} THEN 1 ELSE r.n + 1 END
     FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1)
   SELECT user_id, event_id, st AS window_start, CAST(n AS INTEGER) AS n, n > {LIMIT} AS limited, CASE WHEN n > {LIMIT} THEN greatest(1, CAST(trunc({WINDOW_S} - (us - st) / 1e6) AS INTEGER)) END AS retry_s FROM r""")
 def rate_limit(t):
