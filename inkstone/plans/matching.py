@@ -23,13 +23,17 @@ def pages(t):
     return O.split_pages(paged(t))
 
 
-def ent_pages(t):
+def build_ent_pages(t):
     return M.entity_pages(pages(t), V.entities(t).select("doc_id", "title"))
 
 
+def ent_pages(t):
+    return t.stored("ent_pages", lambda: build_ent_pages(t))
+
+
 @query("entity_pages", "SELECT * FROM v_ent_page")
 def entity_pages(t):
-    return ent_pages(t)
+    return build_ent_pages(t)
 
 
 # a figure per page: its caption starts the page, some captions are empty; vectors come from the embeddings
@@ -40,6 +44,10 @@ view_sql("v_fig_cand", "SELECT DISTINCT f.doc_id, f.row, e.title FROM v_figure f
 
 
 def figures(t):
+    return t.stored("figures", lambda: build_figures(t))
+
+
+def build_figures(t):
     cap = F.when((F.col("doc_id") + F.col("page")) % 6 == 0, "").otherwise(F.substring("body", 1, 80))
     f = pages(t).select("doc_id", F.col("page").alias("row"), "page", cap.alias("caption"), cap.alias("cap_title"), ((F.col("doc_id") * 3 + F.col("page")) % 500).alias("vec_id"))
     return f.join(t("embeddings").select("vec_id", F.col("embedding").alias("cap_vec")), "vec_id").drop("vec_id")

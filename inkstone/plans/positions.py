@@ -42,26 +42,37 @@ def docs(t):
     return t("documents").select("doc_id", "text")
 
 
-def spans(t):
+def build_spans(t):
     return P.chunk_spans(V.chunks(t), docs(t))
 
 
-def positions(t):
+def spans(t):
+    return t.stored("spans", lambda: build_spans(t))
+
+
+def build_positions(t):
     return P.entity_positions(V.occurrences(t), V.chunks(t), docs(t), V.entities(t))
 
 
-def assigned(t):
+def positions(t):
+    return t.stored("positions", lambda: build_positions(t))
+
+
+def build_assigned(t):
     return P.assign_sections(positions(t), V.occurrences(t), spans(t), V.sections(t))
 
 
+def assigned(t):
+    return t.stored("assigned", lambda: build_assigned(t))
+
+
 def ordered(t):
-    pos = positions(t)
-    return P.order_members(P.assign_sections(pos, V.occurrences(t), spans(t), V.sections(t)), pos)
+    return P.order_members(assigned(t), positions(t))
 
 
 @query("chunk_spans", "SELECT * FROM v_span")
 def chunk_spans(t):
-    return spans(t)
+    return build_spans(t)
 
 
 @query("mention_counts", "SELECT * FROM v_count")
@@ -76,7 +87,7 @@ def first_occurrence(t):
 
 @query("entity_positions", "SELECT * FROM v_pos")
 def entity_positions(t):
-    return positions(t)
+    return build_positions(t)
 
 
 @query("chunk_spread", """SELECT n, one, many, zero, fine, unresolved, round(CAST(many AS DOUBLE) / n, 6) AS many_ratio, round(CAST(fine AS DOUBLE) / n, 6) AS fine_rate FROM (

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from inkstone.session import shared_dir
+
 
 @dataclass
 class Tables:
@@ -23,6 +26,24 @@ class Tables:
         df = self.spark.read.parquet(f"{self.root}/{name}.parquet")
         return spread(df, self.TEXT_KEYS[name]) if name in self.TEXT_KEYS else df
 
+    def stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A derived table many operators read, written once per session to the shared folder.
+
+        It plays the part of a snapshot table: later plans start from a parquet scan instead of
+        tokenising the corpus again, and a lost executor only costs a re-read.
+        """
+        app = self.spark.sparkContext.applicationId
+        key = (app, self.root, name)
+        if key not in _STORED:
+            folder = hashlib.md5(self.root.encode()).hexdigest()[:12]
+            path = f"{shared_dir(self.spark)}/tables-{app}/{folder}/{name}"
+            build().write.mode("overwrite").parquet(path)
+            _STORED[key] = path
+        return self.spark.read.parquet(_STORED[key])
+
+
+_STORED: dict[tuple[str, str, str], str] = {}
+
 
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Hash-spread a scan that has fewer splits than the session has slots.

@@ -39,6 +39,10 @@ view_sql("v_term", r"""SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\
 
 
 def mentions(t: Tables) -> DataFrame:
+    return t.stored("mentions", lambda: build_mentions(t))
+
+
+def build_mentions(t: Tables) -> DataFrame:
     """(doc_id, chunk_no, pos, title): dictionary words in chunk order (equi join on the word)."""
     toks = F.regexp_extract_all("text", F.lit(r"(\p{L}{5,})"), F.lit(1))
     words = (
@@ -62,6 +66,10 @@ view_sql("v_occ", "SELECT DISTINCT doc_id, title, chunk_no FROM v_mention")
 
 
 def edges(t: Tables) -> DataFrame:
+    return t.stored("edges", lambda: build_edges(t))
+
+
+def build_edges(t: Tables) -> DataFrame:
     """(doc_id, source, target, weight): neighbouring mentions inside a chunk, undirected.
 
     The window is one chunk (at most 120 words), so it never sees an unbounded group.
@@ -88,6 +96,10 @@ view_sql("v_graph", "SELECT source, target, sum(weight) AS weight FROM v_edge GR
 
 
 def entities(t: Tables) -> DataFrame:
+    return t.stored("entities", lambda: build_entities(t))
+
+
+def build_entities(t: Tables) -> DataFrame:
     """(doc_id, title, type, frequency, degree): one row per document entity."""
     e = edges(t)
     deg = (
@@ -126,6 +138,10 @@ view_sql("v_marker", "SELECT doc_id, line // 5 AS idx, 'sec' || (line // 5) AS n
 
 
 def sections(t: Tables) -> DataFrame:
+    return t.stored("sections", lambda: build_sections(t))
+
+
+def build_sections(t: Tables) -> DataFrame:
     """(doc_id, idx, name, start_offset, end_offset): every fifth line opens a section.
 
     The running length is summed per document over one narrow row per line.
@@ -271,6 +287,10 @@ view_sql("v_community", """SELECT CAST(r_regionkey AS BIGINT) AS community, 0 AS
 
 
 def members(t: Tables) -> DataFrame:
+    return t.stored("members", lambda: build_members(t))
+
+
+def build_members(t: Tables) -> DataFrame:
     """(community, level, title, degree): customers are the entities of their nation and region.
 
     Membership stays in rows; a community may hold a third of all entities.
@@ -306,6 +326,10 @@ BUDGET = 3
 
 
 def rooms(t: Tables) -> DataFrame:
+    return t.stored("rooms", lambda: build_rooms(t))
+
+
+def build_rooms(t: Tables) -> DataFrame:
     """(doc_id, section, title, pos, pos_source, degree, rank, status): members of every section.
 
     ``kept`` is the best ``BUDGET`` members of a section by degree; the window is one section of
