@@ -324,9 +324,9 @@ def types_line(c: Column) -> Column:
 
 
 def delimited_fields(record: Column) -> Column:
-    """Fields of one ``(a<|>b<|>c)`` record, outer parentheses and quotes removed."""
-    body = F.regexp_replace(strip(record), r"^\(|\)\z", "")
-    return F.transform(F.split(body, r"<\|>", -1), lambda x: F.regexp_replace(strip(x), r'^"+|"+\z', ""))
+    """Fields of one ``(a<|>b<|>c)`` record, outer parentheses, quotes and blanks removed."""
+    body = F.regexp_replace(record, r'(?U)^\s*\(?\s*"*|"*\s*\)?\s*\z', "")
+    return F.split(body, r'(?U)"*\s*<\|>\s*"*', -1)
 
 
 def id_list(c: Column) -> Column:

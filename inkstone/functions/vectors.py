@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from inkstone.functions.text import let
 
@@ -32,6 +35,14 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n == 0.0, F.lit(0.0)).otherwise(dot(a, b) / n)
 
 
+@F.pandas_udf(DoubleType())
+def unit_dot(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Dot product of two unit vectors per row, in Arrow batches: many pairs, wide vectors."""
+    if len(a) == 0:
+        return pd.Series([], dtype="float64")
+    return pd.Series(np.einsum("ij,ij->i", np.stack(a.to_numpy()), np.stack(b.to_numpy())))
+
+
 def mean_vectors(df, key: str, vector: str, normalize_first: bool, out: str = "centroid"):
     """Centroid per key: one partial aggregate per dimension, so a hot key never lands in one task.
 

@@ -35,19 +35,29 @@ def window_candidates(figures: DataFrame, ent_pages: DataFrame, window: int = 1)
     return figures.select("doc_id", "row", "page").join(near, ["doc_id", "page"]).select("doc_id", "row", "title").distinct()
 
 
-def name_match(title: Column, tokens: Column) -> Column:
-    """True when a variant equals, starts, or is started by a caption token; both of two characters or more."""
-    variants = F.filter(X.surface_variants(title), lambda v: F.length(v) >= K.MIN_NAME_LEN)
-    toks = F.filter(tokens, lambda x: F.length(x) >= K.MIN_NAME_LEN)
-    return X.let(F.struct(variants.alias("v"), toks.alias("t")), lambda b: F.exists(
-        b["v"], lambda v: F.exists(b["t"], lambda tok: F.startswith(v, tok) | F.startswith(tok, v))))
+def name_match(variants: Column, tokens: Column) -> Column:
+    """True when a variant equals, starts, or is started by a caption token."""
+    return F.exists(variants, lambda v: F.exists(tokens, lambda tok: F.startswith(v, tok) | F.startswith(tok, v)))
 
 
 def match_score(pairs: DataFrame) -> DataFrame:
-    """Adds score = cosine + name bonus - hub penalty; needs cap_vec, ent_vec, cap_title, title, degree, max_degree."""
-    bonus = F.when(name_match(F.col("title"), X.words(F.col("cap_title"))), K.NAME_BONUS).otherwise(0.0)
+    """Adds score = cosine + name bonus - hub penalty; needs cap_unit, ent_unit, toks, title, degree, max_degree.
+
+    Unit vectors and tokens are made once per figure or entity (``prepared``), not once per pair.
+    """
+    bonus = F.when(name_match(F.col("variants"), F.col("toks")), K.NAME_BONUS).otherwise(0.0)
     hub = F.when(F.col("max_degree") > 0, F.col("degree") / F.col("max_degree") * K.HUB_PENALTY).otherwise(0.0)
-    return pairs.withColumn("score", VEC.cosine(F.col("cap_vec"), F.col("ent_vec")) + bonus - hub)
+    return pairs.withColumn("score", VEC.unit_dot(F.col("cap_unit"), F.col("ent_unit")) + bonus - hub)
+
+
+def prepared(figures: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Figures with unit vector and tokens, nodes with unit vector, variants and their document's top degree."""
+    toks = F.filter(X.words(F.col("cap_title")), lambda x: F.length(x) >= K.MIN_NAME_LEN)
+    f = figures.select("doc_id", "row", "caption", VEC.normalize(F.col("cap_vec")).alias("cap_unit"), toks.alias("toks"))
+    variants = F.filter(X.surface_variants(F.col("title")), lambda v: F.length(v) >= K.MIN_NAME_LEN)
+    maxd = nodes.groupBy("doc_id").agg(F.max("degree").alias("max_degree"))
+    n = nodes.select("doc_id", "title", "degree", VEC.normalize(F.col("ent_vec")).alias("ent_unit"), variants.alias("variants"))
+    return f, n.join(maxd, "doc_id")
 
 
 def _best(pairs: DataFrame) -> DataFrame:
@@ -62,9 +72,7 @@ def match_cascade(figures: DataFrame, candidates: DataFrame, nodes: DataFrame,
 
     Only figures the first pool did not settle reach the second pass.
     """
-    maxd = nodes.groupBy("doc_id").agg(F.max("degree").alias("max_degree"))
-    ent = nodes.join(maxd, "doc_id")
-    named = figures.where(X.strip(F.col("caption")) != "")
+    named, ent = prepared(figures.where(X.strip(F.col("caption")) != ""), nodes)
     first = _best(named.join(candidates, ["doc_id", "row"]).join(ent, ["doc_id", "title"])).where(F.col("score") >= local)
     rest = named.join(first, ["doc_id", "row"], "left_anti")
     second = _best(rest.join(ent, "doc_id"))

@@ -73,8 +73,8 @@ view_sql("v_win_score", "SELECT s.* FROM v_all_score s SEMI JOIN v_fig_cand c ON
 
 @query("match_score", "SELECT doc_id, row, title, round(score, 6) AS score FROM v_win_score")
 def match_score(t):
-    n = nodes(t)
-    p = figures(t).join(M.window_candidates(figures(t), ent_pages(t)), ["doc_id", "row"]).join(n, ["doc_id", "title"]).join(n.groupBy("doc_id").agg(F.max("degree").alias("max_degree")), "doc_id")
+    f, n = M.prepared(figures(t), nodes(t))
+    p = f.join(M.window_candidates(figures(t), ent_pages(t)), ["doc_id", "row"]).join(n, ["doc_id", "title"])
     return M.match_score(p).select("doc_id", "row", "title", F.round("score", 6).alias("score"))
 
 
@@ -91,13 +91,17 @@ view_sql("v_settled", """SELECT doc_id, row, CASE WHEN match IS NOT NULL AND rn
   FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, match ORDER BY score DESC, row) AS rn FROM v_match)""")
 
 
-def matched(t, local=0.45, cascade=0.55):
+def matched(t):
+    return t.stored("matched", lambda: build_matched(t))
+
+
+def build_matched(t, local=0.45, cascade=0.55):
     return M.match_cascade(figures(t), M.window_candidates(figures(t), ent_pages(t)), nodes(t), local, cascade)
 
 
 @query("match_cascade", "SELECT doc_id, row, tier, match, round(score, 6) AS score FROM v_match")
 def match_cascade(t):
-    return matched(t).withColumn("score", F.round("score", 6))
+    return build_matched(t).withColumn("score", F.round("score", 6))
 
 
 @query("match_collisions", "SELECT doc_id, row, tier, match, round(score, 6) AS score FROM v_settled")
@@ -114,7 +118,7 @@ def attach_images(t):
 @query("match_diff", """SELECT a.doc_id, a.row, a.match AS old_match, a.tier AS old_tier, b.match AS new_match, b.tier AS new_tier FROM v_match a JOIN v_match_low b ON a.doc_id = b.doc_id AND a.row = b.row
   WHERE a.match IS DISTINCT FROM b.match OR a.tier <> b.tier""")
 def match_diff(t):
-    return M.match_diff(matched(t), matched(t, 0.25, 0.6), ["doc_id", "row"])
+    return M.match_diff(matched(t), build_matched(t, 0.25, 0.6), ["doc_id", "row"])
 
 
 view_sql("v_cap_line", "SELECT doc_id, line % 5 AS page, line AS ord, regexp_replace(s[1:30], '^\\s+|\\s+$', '', 'g') AS text FROM v_line")

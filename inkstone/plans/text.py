@@ -8,7 +8,7 @@ from inkstone.functions import constants as K
 from inkstone.functions import text as X
 from inkstone.operators import text_ops as O
 from inkstone.plans import views as V
-from inkstone.plans.registry import query, view_sql
+from inkstone.plans.registry import query, spread, view_sql
 
 L = F.lit
 
@@ -376,14 +376,15 @@ def record_text(t):
     part, supp = F.concat(L("part "), F.col("l_partkey").cast("string")), F.concat(L("supplier "), F.col("l_suppkey").cast("string"))
     rel = F.concat(L('("relationship"<|>'), part, L("<|>"), supp, L("<|>supplied by<|>"), F.col("l_linenumber").cast("string"), L(")"))
     bad = F.when(F.col("l_linenumber") == 3, L('##\n("entity"<|>broken)')).otherwise(L(""))
-    return t("lineitem").select("l_orderkey", "l_linenumber", F.concat(
+    return spread(t("lineitem"), "l_orderkey").select("l_orderkey", "l_linenumber", F.concat(
         ent(part, L("PART")), L("\n##\n"), ent(supp, L("SUPPLIER")), L("\n##\n"), rel, bad, L("\n<|COMPLETE|>")).alias("records"))
 
 
 def parsed_records(t):
     body = F.regexp_replace("records", r"<\|COMPLETE\|>\s*$", "")
-    recs = record_text(t).select("l_orderkey", "l_linenumber", F.posexplode(F.split(body, "##", -1)).alias("pos", "rec"))
-    return recs.withColumn("f", X.delimited_fields(F.col("rec"))).where(
+    fields = F.transform(F.split(body, "##", -1), X.delimited_fields)
+    recs = record_text(t).select("l_orderkey", "l_linenumber", F.posexplode(fields).alias("pos", "f"))
+    return recs.where(
         ((F.col("f")[0] == "entity") & (F.size("f") == 4)) | ((F.col("f")[0] == "relationship") & (F.size("f") == 5)))
 
 
