@@ -38,8 +38,8 @@ def combined_degrees(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(title, component): smallest title of each connected component.
 
-    Every round a vertex links to the smallest label around it and then to that label's label, so
-    the number of rounds grows with the logarithm of the diameter. Edges inside a settled part
+    Every round a vertex links to the smallest label around it and all link chains are flattened
+    by pointer doubling, so long paths collapse at once. Edges inside a settled part
     are rewritten to labels and removed, so the edge table shrinks each round.
     """
     live = cut_lineage(edges.where("source <> target").select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).distinct())
@@ -47,9 +47,14 @@ def components(edges: DataFrame) -> DataFrame:
     while not live.isEmpty():
         pairs = live.select(F.inline(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("m")), F.struct(F.col("b").alias("v"), F.col("a").alias("m")))))
         link = pairs.groupBy("v").agg(F.least(F.min("m"), F.col("v")).alias("m"))
-        # one pointer jump: the link of the link
-        up = link.select(F.col("v").alias("m"), F.col("m").alias("mm"))
-        link = cut_lineage(link.join(up, "m").select("v", F.col("mm").alias("root")))
+        # pointer doubling: a chain of n links is flat after log2(n) jumps
+        while True:
+            up = link.select(F.col("v").alias("m"), F.col("m").alias("root"))
+            jumped = cut_lineage(link.join(up, "m").select("v", "m", "root"))
+            link = jumped.select("v", F.col("root").alias("m"))
+            if jumped.where("m <> root").isEmpty():
+                break
+        link = jumped.select("v", "root")
         label = cut_lineage(label.join(link.select(F.col("v").alias("component"), "root"), "component", "left").select(
             "title", F.coalesce("root", "component").alias("component")))
         step = live.join(link.select(F.col("v").alias("a"), F.col("root").alias("ra")), "a").join(link.select(F.col("v").alias("b"), F.col("root").alias("rb")), "b")
