@@ -47,7 +47,8 @@ def split_oversized(features: DataFrame, labels: DataFrame, item: str, max_size:
         if not big:
             return cur
         for row in big:
-            part = features.join(cur.where(F.col("label") == row["label"]).select(item), item)
+            # the fit passes over its rows many times: give it a table, not a chain of joins
+            part = cut_lineage(features.join(cur.where(F.col("label") == row["label"]).select(item), item))
             k = max(2, -(-row["n"] // max_size))
             sub = base_cluster(part, item, k, seed).select(item, F.concat(F.lit(row["label"] + "."), F.col("label").cast("string")).alias("new"))
             if sub.select("new").distinct().count() < 2:
