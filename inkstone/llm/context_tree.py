@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from inkstone.llm.common import blocks, id_remainder, store
 
-DEPTH = 4
+DEPTH = 5
 #: A byte that UTF-8 never uses stands before and after every text.
 EDGE = b"\xff"
 BLOCK_CHARS = 16_000_000
