@@ -144,16 +144,20 @@ def _walk(rows: DataFrame, threshold: int, levels: int, trees: bool) -> DataFram
 
 
 def nodes(reps: DataFrame, threshold: int) -> DataFrame:
-    """(bucket, id, n, sketch): members of all nodes with two or more members that branch no further."""
+    """(bucket, id, n, sketch, far): members of all nodes with two or more members that branch no further.
+
+    ``far`` falls with the number of members an id meets: the centre of a group of copies shares more minwise
+    tokens with the others than they share among themselves, and is the best pivot.
+    """
     rows = store(_walk(reps.select("id", "n", "sketch", "tokens"), threshold, START, True), "nodes")
     done: list[DataFrame] = []
     for depth in range(START, DEPTH + 1):
         size = rows.groupBy("bucket").agg(F.count("*").alias("m"))
         if depth == DEPTH:
-            done.append(rows.join(size.where("m > 1").select("bucket"), "bucket", "left_semi"))
+            done.append(rows.join(size.where("m > 1"), "bucket"))
             break
         split = store(rows.join(size.where("m > 1"), "bucket"), f"sized-{depth}")
-        done.append(split.where(f"m <= {SMALL}").drop("m"))
+        done.append(split.where(f"m <= {SMALL}"))
         large = split.where(f"m > {SMALL}").drop("m")
         if large.isEmpty():
             break
@@ -162,7 +166,9 @@ def nodes(reps: DataFrame, threshold: int) -> DataFrame:
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out
+    out = store(out, "members")
+    met = out.groupBy("id").agg((-F.sum("m")).alias("far"))
+    return out.drop("m").join(met, "id").select("bucket", "id", "n", "sketch", "far")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
@@ -178,18 +184,33 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80) -> Dat
         return (F.bit_count(F.col(f"{a}.sketch").bitwiseXOR(F.col(f"{b}.sketch"))) <= SKETCH_LIMIT) & (
             100 * F.least(f"{a}.n", f"{b}.n") >= threshold * F.greatest(f"{a}.n", f"{b}.n"))
 
+    def sharp(a: str, b: str):
+        # two sets share at most what each of them shares with any other
+        needed = threshold * (F.col(f"{a}.n") + F.col(f"{b}.n"))
+        return near(a, b) & ((100 + threshold) * F.least(f"{a}.common", f"{b}.common") >= needed)
+
+    def fetched(ids: DataFrame, name: str) -> DataFrame:
+        ids = store(ids, f"{name}-ids")
+        return store(sets_of(docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi"), width).distinct(), name)
+
+    def common(ids: DataFrame) -> DataFrame:
+        """(id, common): how many items of a set occur in another set of these ids."""
+        items = fetched(ids.withColumnRenamed("id", "doc_id"), "mixed-sets").select(F.col("doc_id").alias("id"), F.explode("items").alias("item"))
+        lone = items.groupBy("item").agg(F.count("*").alias("m"), F.min("id").alias("id")).where("m = 1").groupBy("id").agg(F.count("*").alias("lone"))
+        own = reps.groupBy("id").agg(F.max("n").alias("n"), F.count("*").alias("sets"))  # an id of several rows has several sets
+        kept = F.col("n") - F.when(F.col("sets") > 1, 0).otherwise(F.coalesce("lone", F.lit(0)))
+        return own.join(ids, "id").join(lone, "id", "left").select("id", kept.alias("common"))
+
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = store(pairs, "candidates")
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        few = pairs.count() <= BROADCAST_IDS // 2
-        sets = store(sets_of(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), width).distinct(), "sets")
+        sets = fetched(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "sets")
         left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), "a")
         both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y")), "b")
         common = F.size(F.array_intersect("x", "y"))
         return both.where(100 * common >= threshold * (F.size("x") + F.size("y") - common)).select("a", "b").distinct()
 
-    label = grouped(nodes(reps, threshold), near, verify)
+    label = grouped(nodes(reps, threshold), near, sharp, verify, "far", common)
     shared = classes.where("m > 1").select("k1", "k2", "rep")
-    rows = sig.join(shared, ["k1", "k2"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("id"))
+    rows = sig.join(shared, ["k1", "k2"], "left").select("doc_id", "n", F.when(F.expr("n > 0 AND doc_id IS NOT NULL"), F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("id"))
     out = rows.join(label, "id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -15,15 +15,19 @@ from pyspark.sql import functions as F
 from inkstone.llm.common import store
 from inkstone.operators.graph import components
 
+#: A condition on two struct columns of members.
+Near = Callable[[str, str], F.Column]
 #: Rounds with one pivot a bucket before the pairs that are left are compared.
 ROUNDS = 3
 
 
-def grouped(buckets: DataFrame, near: Callable[[str, str], F.Column], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def grouped(buckets: DataFrame, near: Near, last: Near, verify: Callable[[DataFrame], DataFrame],
+            order: str = "id", refine: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(id, component) of all ids with a verified link; ``component`` is the smallest id of the group.
 
     ``near(a, b)`` is a cheap condition on the struct columns ``a`` and ``b`` of a candidate pair that holds for every
-    true link; ``verify`` keeps the true links of a table of pairs (a, b), a < b.
+    true link; ``verify`` keeps the true links of a table of pairs (a, b), a < b. The first pivot of a bucket has the smallest
+    ``order``. For the last, pairwise comparison ``refine`` may add columns to (id) rows and ``last`` is the condition.
     """
     cols = [c for c in buckets.columns if c != "bucket"]
     rows = buckets.select("bucket", F.struct(*cols).alias("x"))
@@ -40,17 +44,24 @@ def grouped(buckets: DataFrame, near: Callable[[str, str], F.Column], verify: Ca
             if mixed.isEmpty():
                 break
         if k < ROUNDS:
-            order = F.col("x.id") if k == 0 else F.xxhash64("x.id", F.lit(k))
-            pivot = mixed.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), F.col("x").alias("y"), F.col("g").alias("h"))).alias("p"))
+            first = F.col(f"x.{order}") if k == 0 else F.xxhash64("x.id", F.lit(k))
+            pivot = mixed.groupBy("bucket").agg(F.min(F.struct(first.alias("o"), F.col("x").alias("y"), F.col("g").alias("h"))).alias("p"))
             pairs = mixed.join(pivot, "bucket").where("g <> p.h").select("x", F.col("p.y").alias("y"))
         else:
+            if refine is not None:
+                more = refine(mixed.select("x.id").distinct())
+                extra = [c for c in more.columns if c != "id"]
+                mixed = mixed.join(more.withColumnRenamed("id", "i"), F.col("x.id") == F.col("i")).select(
+                    "bucket", "g", F.struct("x.*", *extra).alias("x"))
             other = mixed.select("bucket", F.col("x").alias("y"), F.col("g").alias("h"))
             pairs = mixed.join(other, "bucket").where("g < h").select("x", "y")
-        pairs = pairs.where(near("x", "y")).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+        pairs = pairs.where((near if k < ROUNDS else last)("x", "y"))
         if k == 0:
-            # one pair an id is enough at first: the smallest partner
-            pairs = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-        links = verify(pairs.distinct())
+            # one pair an id is enough at first: with the pivot that comes first of all
+            pairs = pairs.groupBy("x.id").agg(F.min(F.struct(f"y.{order}", F.col("y.id").alias("j"))).alias("q")).select("id", "q.j")
+        else:
+            pairs = pairs.select("x.id", F.col("y.id").alias("j"))
+        links = verify(pairs.select(F.least("id", "j").alias("a"), F.greatest("id", "j").alias("b")).distinct())
         edges = store(links if edges is None else edges.unionByName(links).distinct(), "links")
         label = components(edges.select(F.col("a").alias("source"), F.col("b").alias("target"))).withColumnRenamed("title", "id")
     return label
