@@ -81,8 +81,14 @@ def dual_rank(members: DataFrame, room: list[str], weight: str, pos: str, tie: l
     return g.join(total, room)
 
 
+def padded(number: Column, width: int) -> Column:
+    """A number with leading zeros; longer numbers keep all their digits."""
+    s = number.cast("string")
+    return F.concat(F.repeat(F.lit("0"), F.greatest(F.lit(0), F.lit(width) - F.length(s))), s)
+
+
 def blind_relabel(df: DataFrame, label: str, prefix: str) -> DataFrame:
     """(label, blind): neutral ids by sorted order of the distinct labels, two-level ranked."""
     d = df.select(label).distinct()
     r = full_rank(d, [], F.substring(F.col(label), 1, 6), [label], "_r")
-    return r.select(label, F.concat(F.lit(prefix), F.lpad(F.col("_r").cast("string"), 6, "0")).alias("blind"))
+    return r.select(label, F.concat(F.lit(prefix), padded(F.col("_r"), 6)).alias("blind"))

@@ -28,14 +28,13 @@ def degrees(t):
     return G.combined_degrees(V.graph(t))
 
 
-# words that stand side by side at least twice: a sparser graph with several components
-view_sql("v_strong", "SELECT source, target, weight FROM v_graph WHERE weight >= 3")
+view_sql("v_strong", "SELECT source, target, weight FROM v_graph")
 view_sql("v_two_way", "SELECT source AS v, target AS n FROM v_strong UNION ALL SELECT target, source FROM v_strong")
 view_sql("v_comp", """WITH RECURSIVE r AS (SELECT DISTINCT v AS title, v AS x FROM v_two_way UNION SELECT r.title, e.n FROM r JOIN v_two_way e ON e.v = r.x) SELECT title, min(x) AS component FROM r GROUP BY title""")
 
 
 def strong(t):
-    return V.graph(t).where("weight >= 3")
+    return V.graph(t)
 
 
 @query("largest_component", """WITH s AS (SELECT component, count(*) AS n FROM v_comp GROUP BY 1) SELECT title, component, component = (SELECT arg_min(component, (-n, component)) FROM s) AS kept FROM v_comp""")

@@ -37,9 +37,9 @@ def entity_pages(t):
 
 
 # a figure per page: its caption starts the page, some captions are empty; vectors come from the embeddings
-view_sql("v_figure", """SELECT f.*, e.embedding::DOUBLE[] AS cap_vec FROM (SELECT doc_id, page AS row, page, CASE WHEN (doc_id + page) % 6 = 0 THEN '' ELSE body[1:80] END AS caption, CASE WHEN (doc_id + page) % 6 = 0 THEN '' ELSE body[1:80] END AS cap_title,
-  (doc_id * 3 + page) % 500 AS vec_id FROM v_page) f JOIN embeddings e ON e.vec_id = f.vec_id""")
-view_sql("v_node", "SELECT n.doc_id, n.title, n.degree, e.embedding::DOUBLE[] AS ent_vec FROM v_ent n JOIN embeddings e ON e.vec_id = (length(n.title) * 31 + n.doc_id) % 500")
+view_sql("v_figure", """SELECT f.*, e.embedding::DOUBLE[] AS cap_vec FROM (SELECT doc_id, page AS row, page, CASE WHEN (doc_id + page) % 6 = 0 THEN '' ELSE string_split(body, chr(10))[1] END AS caption, CASE WHEN (doc_id + page) % 6 = 0 THEN '' ELSE string_split(body, chr(10))[1] END AS cap_title,
+  (doc_id * 3 + page) % (SELECT count(*) FROM embeddings) AS vec_id FROM v_page) f JOIN embeddings e ON e.vec_id = f.vec_id""")
+view_sql("v_node", "SELECT n.doc_id, n.title, n.degree, e.embedding::DOUBLE[] AS ent_vec FROM v_ent n JOIN embeddings e ON e.vec_id = (length(n.title) * 31 + n.doc_id) % (SELECT count(*) FROM embeddings)")
 view_sql("v_fig_cand", "SELECT DISTINCT f.doc_id, f.row, e.title FROM v_figure f JOIN v_ent_page e ON e.doc_id = f.doc_id AND abs(e.page - f.page) <= 1")
 
 
@@ -48,13 +48,14 @@ def figures(t):
 
 
 def build_figures(t):
-    cap = F.when((F.col("doc_id") + F.col("page")) % 6 == 0, "").otherwise(F.substring("body", 1, 80))
-    f = pages(t).select("doc_id", F.col("page").alias("row"), "page", cap.alias("caption"), cap.alias("cap_title"), ((F.col("doc_id") * 3 + F.col("page")) % 500).alias("vec_id"))
+    cap = F.when((F.col("doc_id") + F.col("page")) % 6 == 0, "").otherwise(F.substring_index("body", "\n", 1))
+    n = t("embeddings").count()
+    f = pages(t).select("doc_id", F.col("page").alias("row"), "page", cap.alias("caption"), cap.alias("cap_title"), ((F.col("doc_id") * 3 + F.col("page")) % n).alias("vec_id"))
     return f.join(t("embeddings").select("vec_id", F.col("embedding").alias("cap_vec")), "vec_id").drop("vec_id")
 
 
 def nodes(t):
-    n = V.entities(t).select("doc_id", "title", "degree", ((F.length("title") * 31 + F.col("doc_id")) % 500).alias("vec_id"))
+    n = V.entities(t).select("doc_id", "title", "degree", ((F.length("title") * 31 + F.col("doc_id")) % t("embeddings").count()).alias("vec_id"))
     return n.join(t("embeddings").select("vec_id", F.col("embedding").alias("ent_vec")), "vec_id").drop("vec_id")
 
 
@@ -64,7 +65,7 @@ def page_window_candidates(t):
 
 
 TOK = r"list_filter(string_split_regex(cap_title, '\s+'), lambda x: length(x) >= 2)"
-SCORE = rf"""coalesce(list_cosine_similarity(cap_vec, ent_vec), 0) + CASE WHEN len(list_filter({TOK}, lambda x: starts_with(x, title) OR starts_with(title, x))) > 0 THEN 0.5 ELSE 0 END
+SCORE = rf"""coalesce(list_cosine_similarity(cap_vec, ent_vec), 0) + CASE WHEN length(title) >= 2 AND len(list_filter({TOK}, lambda x: starts_with(x, title) OR starts_with(title, x))) > 0 THEN 0.5 ELSE 0 END
   - CASE WHEN max_degree > 0 THEN CAST(degree AS DOUBLE) / max_degree * 0.1 ELSE 0 END"""
 view_sql("v_maxd", "SELECT doc_id, max(degree) AS max_degree FROM v_node GROUP BY doc_id")
 view_sql("v_all_score", f"SELECT doc_id, row, title, caption, {SCORE} AS score FROM (SELECT f.*, n.title, n.degree, n.ent_vec, m.max_degree FROM v_figure f JOIN v_node n ON n.doc_id = f.doc_id JOIN v_maxd m ON m.doc_id = f.doc_id)")
@@ -121,7 +122,7 @@ def match_diff(t):
     return M.match_diff(matched(t), build_matched(t, 0.25, 0.6), ["doc_id", "row"])
 
 
-view_sql("v_cap_line", "SELECT doc_id, line % 5 AS page, line AS ord, regexp_replace(s[1:30], '^\\s+|\\s+$', '', 'g') AS text FROM v_line")
+view_sql("v_cap_line", "SELECT doc_id, line % 5 AS page, line AS ord, regexp_replace(s, '^\\s+|\\s+$', '', 'g') AS text FROM v_line")
 view_sql("v_fig_line", "SELECT doc_id, page, ord, CASE WHEN ord % 3 = 0 THEN replace(text, ' ', '  ') ELSE '' END AS caption FROM v_cap_line")
 
 
@@ -132,7 +133,7 @@ view_sql("v_fig_line", "SELECT doc_id, page, ord, CASE WHEN ord % 3 = 0 THEN rep
 def slot_fill(t):
     from inkstone.functions import text as X
 
-    rows = t("documents").select("doc_id", F.posexplode(F.transform(F.split("text", "\n"), lambda s: F.substring(s, 1, 30))).alias("ord", "s"))
+    rows = t("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "s"))
     caps = rows.select("doc_id", (F.col("ord") % 5).alias("page"), "ord", X.strip(F.col("s")).alias("text"))
     figs = caps.select("doc_id", "page", "ord", F.when(F.col("ord") % 3 == 0, F.replace("text", L(" "), L("  "))).otherwise("").alias("caption"))
     return M.slot_fill(figs, caps)
@@ -203,9 +204,10 @@ def child_figures(t):
 
 
 @query("id_lookups", """SELECT o_orderkey, o_custkey, coalesce(c_name, 'unknown') AS o_custkey_name, s AS supp, coalesce(s_name, 'unknown') AS supp_name, CASE WHEN s % 9 = 0 THEN NULL ELSE n END AS community, coalesce(CASE WHEN s % 9 <> 0 THEN n_name END, 'none') AS community_name
-  FROM (SELECT o_orderkey, o_custkey, o_orderkey % 150 AS s, CAST(o_orderkey % 30 AS INTEGER) AS n FROM orders) o LEFT JOIN customer ON c_custkey = o_custkey AND c_acctbal > 0 LEFT JOIN supplier ON s_suppkey = s LEFT JOIN nation ON n_nationkey = n""")
+  FROM (SELECT o_orderkey, o_custkey, o_orderkey % (SELECT count(*) * 3 // 2 FROM supplier) AS s, CAST(o_orderkey % 30 AS INTEGER) AS n FROM orders) o LEFT JOIN customer ON c_custkey = o_custkey AND c_acctbal > 0 LEFT JOIN supplier ON s_suppkey = s LEFT JOIN nation ON n_nationkey = n""")
 def id_lookups(t):
-    s, n = F.col("o_orderkey") % 150, (F.col("o_orderkey") % 30).cast("int")
+    # all suppliers and nations are looked up, and some keys that have none
+    s, n = F.col("o_orderkey") % (t("supplier").count() * 3 // 2), (F.col("o_orderkey") % 30).cast("int")
     # a negative community means none
     comm = F.when(s % 9 == 0, L(-1)).otherwise(n)
     refs = t("orders").select("o_orderkey", "o_custkey", s.alias("supp"), F.when(comm >= 0, comm).alias("community"))

@@ -137,7 +137,7 @@ def section_spans(t):
 
 
 @query("section_asof", """SELECT doc_id, title, pos, section FROM (SELECT f.doc_id, f.title, f.fine AS pos,
-  coalesce(min(CASE WHEN s.start_offset > f.fine THEN s.idx END) - 1, max(s.idx)) AS section FROM v_fine f JOIN v_res_span s ON s.doc_id = f.doc_id GROUP BY ALL)""")
+  greatest(0, coalesce(min(CASE WHEN s.start_offset > f.fine THEN s.idx END) - 1, max(s.idx))) AS section FROM v_fine f JOIN v_res_span s ON s.doc_id = f.doc_id GROUP BY ALL)""")
 def section_asof(t):
     fine = P.first_occurrence(V.occurrences(t), docs(t))
     return P.section_asof(fine.withColumnRenamed("fine", "pos"), P.section_spans(resolved(t), docs(t)))

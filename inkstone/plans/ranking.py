@@ -17,10 +17,11 @@ L = F.lit
 
 
 @query("top_per_cluster", """SELECT label, vec_id, degree, rank, size FROM (SELECT e.label, e.vec_id, p.degree, CAST(row_number() OVER (PARTITION BY e.label ORDER BY p.degree DESC, e.vec_id) AS INTEGER) AS rank,
-  count(*) OVER (PARTITION BY e.label) AS size FROM embeddings e JOIN v_part_deg p ON p.p_partkey = e.vec_id) WHERE rank <= 5""")
+  count(*) OVER (PARTITION BY e.label) AS size FROM (SELECT coalesce(x.label, -1) AS label, p.p_partkey AS vec_id FROM v_part_deg p LEFT JOIN embeddings x ON x.vec_id = p.p_partkey) e JOIN v_part_deg p ON p.p_partkey = e.vec_id) WHERE rank <= 5""")
 def top_per_cluster(t):
     p = part_degrees(t).select(F.col("p_partkey").alias("vec_id"), "degree")
-    e = t("embeddings").select("vec_id", "label").join(p, "vec_id")
+    # parts without a vector are a group of their own
+    e = p.join(t("embeddings").select("vec_id", "label"), "vec_id", "left").withColumn("label", F.coalesce("label", L(-1)))
     size = e.groupBy("label").agg(F.count("*").alias("size"))
     return RK.top_per_group(e, ["label"], [F.desc("degree"), "vec_id"], 5).join(size, "label")
 
@@ -40,7 +41,7 @@ def dual_rank(t):
     return RK.dual_rank(r, ["doc_id", "section"], "degree", "pos", ["doc_id", "title"])
 
 
-view_sql("v_export", """SELECT r.doc_id, 'room_' || lpad(CAST(r.section AS VARCHAR), 2, '0') AS room_id, r.section AS room_index, s.name, r.title, CAST(r.sequence AS INTEGER) AS sequence, r.pos AS source_offset,
+view_sql("v_export", """SELECT r.doc_id, 'room_' || lpad(CAST(r.section AS VARCHAR), CAST(greatest(2, length(CAST(r.section AS VARCHAR))) AS INTEGER), '0') AS room_id, r.section AS room_index, s.name, r.title, CAST(r.sequence AS INTEGER) AS sequence, r.pos AS source_offset,
   CASE WHEN pos_source = 0 THEN 'fine' ELSE 'fallback' END AS offset_confidence, CAST(row_number() OVER (PARTITION BY r.doc_id, r.section ORDER BY r.pos, r.sequence) AS INTEGER) AS export_rank
   FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, section ORDER BY degree DESC, title) AS sequence FROM v_room WHERE status = 'kept') r JOIN v_section s ON s.doc_id = r.doc_id AND s.idx = r.section""")
 
@@ -52,7 +53,7 @@ def exported(t):
     kept = kept.withColumn("export_rank", F.row_number().over(w.orderBy("pos", "sequence")))
     names = V.sections(t).select("doc_id", F.col("idx").alias("section"), "name")
     return kept.join(names, ["doc_id", "section"]).select(
-        "doc_id", F.concat(L("room_"), F.lpad(F.col("section").cast("string"), 2, "0")).alias("room_id"), F.col("section").alias("room_index"), "name", "title", "sequence",
+        "doc_id", F.concat(L("room_"), RK.padded(F.col("section"), 2)).alias("room_id"), F.col("section").alias("room_index"), "name", "title", "sequence",
         F.col("pos").alias("source_offset"), F.when(F.col("pos_source") == 0, "fine").otherwise("fallback").alias("offset_confidence"), "export_rank")
 
 
@@ -118,7 +119,7 @@ def sorted_sample(t):
     return a.withColumn("how", L("sorted")).unionByName(RK.seeded_sample(p, 60, 42, "p_partkey").withColumn("how", L("seeded")))
 
 
-@query("blind_relabel", """WITH d AS (SELECT DISTINCT title FROM v_room), b AS (SELECT title, 'item_' || lpad(CAST(row_number() OVER (ORDER BY title) AS VARCHAR), 6, '0') AS blind FROM d)
+@query("blind_relabel", """WITH d AS (SELECT DISTINCT title FROM v_room), b AS (SELECT title, 'item_' || lpad(n, CAST(greatest(6, length(n)) AS INTEGER), '0') AS blind FROM (SELECT title, CAST(row_number() OVER (ORDER BY title) AS VARCHAR) AS n FROM d))
   SELECT r.doc_id, r.section, r.title, b.blind FROM v_room r JOIN b ON b.title = r.title""")
 def blind_relabel(t):
     r = V.rooms(t).select("doc_id", "section", "title")

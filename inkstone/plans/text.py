@@ -183,7 +183,7 @@ def summarize_list(t):
 PART = "(으로|에서|에게|까지|부터|라고|은|는|이|가|을|를|의|에|로|와|과|도|만)$"
 
 
-@query("tokenize_topic", rf"""WITH q AS (SELECT conv_id, turn, string_split_regex({S("regexp_replace(lower(replace(question, ' d', '는 설명 d')), '[^\p{L}\p{N}\p{M}_\s]', ' ', 'g')")}, '\s+') AS a FROM v_question),
+@query("tokenize_topic", rf"""WITH q AS (SELECT conv_id, turn, string_split_regex({S(r"regexp_replace(lower(replace(question, ' d', '는 설명 d')), '[^\p{L}\p{N}\p{M}_\s]', ' ', 'g')")}, '\s+') AS a FROM v_question),
   e AS (SELECT conv_id, turn, flatten(list_transform(a, lambda x: CASE WHEN regexp_replace(x, '{PART}', '') NOT IN ('', x) THEN [x, regexp_replace(x, '{PART}', '')] ELSE [x] END)) AS a FROM q),
   u AS (SELECT conv_id, turn, unnest(a) AS token, unnest(range(len(a))) AS i FROM e)
   SELECT conv_id, turn, token, CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY min(i)) - 1 AS INTEGER) AS pos FROM u
@@ -358,12 +358,12 @@ def hide_columns(t):
     return quiz.drop(*K.ANSWER_FIELDS)
 
 
-@query("types_line_parse", """WITH s AS (SELECT doc_id, list_filter(string_split(replace(text, chr(10), ' '), ' ')[1:doc_id % 40], lambda x: regexp_matches(x, '^[A-Za-z]+$')) AS a FROM documents)
+@query("types_line_parse", """WITH s AS (SELECT doc_id, list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda x: regexp_matches(x, '^[A-Za-z]+$')) AS a FROM documents)
   SELECT doc_id, CASE WHEN len(a) BETWEEN 3 AND 30 THEN array_to_string(a, ',') ELSE 'person,organization,location,event,concept,method,artifact,work,role,measure' END AS types,
   CASE WHEN len(a) BETWEEN 3 AND 30 THEN 'discover' ELSE 'fallback' END AS source FROM s""")
 def types_line_parse(t):
-    first = F.slice(F.split(F.replace("text", L("\n"), L(" ")), " "), L(1), (F.col("doc_id") % 40).cast("int"))
-    listed = F.array_join(F.filter(first, lambda x: x.rlike("^[A-Za-z]+$")), " , ")
+    words = F.split(F.replace("text", L("\n"), L(" ")), " ")
+    listed = F.array_join(F.filter(words, lambda x: x.rlike("^[A-Za-z]+$")), " , ")
     prompt = F.concat(L("Extract.\nOne of the following types: ["), listed, L("]\nEnd."))
     return t("documents").select("doc_id", X.types_line(prompt).alias("r")).select(
         "doc_id", F.array_join("r.types", ",").alias("types"), "r.source")

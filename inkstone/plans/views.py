@@ -29,13 +29,13 @@ view_sql("v_chunk", r"""SELECT doc_id, CAST(s // 110 AS INTEGER) AS chunk_no, ar
 
 
 def terms(t: Tables) -> DataFrame:
-    """Distinct lower-case words of at least five letters: the entity dictionary."""
+    """Distinct lower-case words: the entity dictionary."""
     return t("benchmark").select(
-        F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{5,})"), F.lit(1))).alias("title")
+        F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("title")
     ).distinct()
 
 
-view_sql("v_term", r"""SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\p{L}{5,}')) AS title FROM benchmark""")
+view_sql("v_term", r"""SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\p{L}+')) AS title FROM benchmark""")
 
 
 def mentions(t: Tables) -> DataFrame:
@@ -44,7 +44,7 @@ def mentions(t: Tables) -> DataFrame:
 
 def build_mentions(t: Tables) -> DataFrame:
     """(doc_id, chunk_no, pos, title): dictionary words in chunk order (equi join on the word)."""
-    toks = F.regexp_extract_all("text", F.lit(r"(\p{L}{5,})"), F.lit(1))
+    toks = F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))
     words = (
         chunks(t).select("doc_id", "chunk_no", toks.alias("w"))
         .select("doc_id", "chunk_no", F.posexplode("w").alias("pos", "title"))
@@ -53,7 +53,7 @@ def build_mentions(t: Tables) -> DataFrame:
 
 
 view_sql("v_tok", r"""SELECT doc_id, chunk_no, unnest(w) AS title, CAST(unnest(range(len(w))) AS INTEGER) AS pos FROM
-  (SELECT doc_id, chunk_no, regexp_extract_all(text, '\p{L}{5,}') AS w FROM v_chunk)""")
+  (SELECT doc_id, chunk_no, regexp_extract_all(lower(text), '\p{L}+') AS w FROM v_chunk)""")
 view_sql("v_mention", "SELECT doc_id, chunk_no, pos, title FROM v_tok SEMI JOIN v_term USING (title)")
 
 
@@ -128,13 +128,13 @@ def markers(t: Tables) -> DataFrame:
     return lines.where(F.col("line") % 5 == 0).select(
         "doc_id", (F.col("line") / 5).cast("int").alias("idx"),
         F.concat(F.lit("sec"), (F.col("line") / 5).cast("int").cast("string")).alias("name"),
-        F.substring("s", 1, 12).alias("start_marker"),
+        F.col("s").alias("start_marker"),
     )
 
 
 view_sql("v_line", r"""SELECT doc_id, CAST(unnest(range(len(l))) AS INTEGER) AS line, unnest(l) AS s FROM
   (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)""")
-view_sql("v_marker", "SELECT doc_id, line // 5 AS idx, 'sec' || (line // 5) AS name, s[1:12] AS start_marker FROM v_line WHERE line % 5 = 0")
+view_sql("v_marker", "SELECT doc_id, line // 5 AS idx, 'sec' || (line // 5) AS name, s AS start_marker FROM v_line WHERE line % 5 = 0")
 
 
 def sections(t: Tables) -> DataFrame:
@@ -257,18 +257,18 @@ def answers(t: Tables) -> DataFrame:
     """(conv_id, turn, answer): assistant turns with citation tags appended."""
     c, n = F.col("conv_id"), F.col("turn")
     tag = F.concat(
-        F.lit(" [Data: Reports ("), (c % 25).cast("string"), F.lit(", "), ((c + n) % 30).cast("string"),
-        F.lit(", +more); Entities ("), (c * 7 % 100).cast("string"), F.lit("); Relationships ("),
-        (c * 3 % 100).cast("string"), F.lit(","), (c % 100).cast("string"), F.lit("); Sources ("),
-        (c % 1000).cast("string"), F.lit(")]"),
+        F.lit(" [Data: Reports ("), c.cast("string"), F.lit(", "), (c + n).cast("string"),
+        F.lit(", +more); Entities ("), (c * 7).cast("string"), F.lit("); Relationships ("),
+        (c * 3).cast("string"), F.lit(","), c.cast("string"), F.lit("); Sources ("),
+        c.cast("string"), F.lit(")]"),
     )
     return t("conversations").where(F.col("role") == "assistant").select(
         "conv_id", "turn", F.concat("text", tag).alias("answer"))
 
 
-view_sql("v_answer", """SELECT conv_id, turn, text || ' [Data: Reports (' || (conv_id % 25) || ', ' || ((conv_id + turn) % 30)
-  || ', +more); Entities (' || (conv_id * 7 % 100) || '); Relationships (' || (conv_id * 3 % 100) || ',' || (conv_id % 100)
-  || '); Sources (' || (conv_id % 1000) || ')]' AS answer FROM conversations WHERE role = 'assistant'""")
+view_sql("v_answer", """SELECT conv_id, turn, text || ' [Data: Reports (' || conv_id || ', ' || (conv_id + turn)
+  || ', +more); Entities (' || (conv_id * 7) || '); Relationships (' || (conv_id * 3) || ',' || conv_id
+  || '); Sources (' || conv_id || ')]' AS answer FROM conversations WHERE role = 'assistant'""")
 
 # ---------------------------------------------------------------- communities and reports
 
