@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -41,6 +43,18 @@ def halves(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordB
     yield from halves(batch.slice(mid), column, most)
 
 
+@contextlib.contextmanager
+def no_collection():
+    """Without Python's cycle collector: tables of strings and ids hold no cycles, but each pass would walk them all."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def id_remainder(column: str, of: int) -> Column:
     """crc32 of the id as text modulo ``of``; a null id counts as an empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % of

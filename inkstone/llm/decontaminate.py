@@ -110,10 +110,13 @@ class Index:
         wide = self.edits[piece] + 1
         band = np.floor_divide(diagonal, wide)
         # a band starts every k + 1 diagonals and is 2k + 1 wide: each hit falls in up to two
-        two = np.stack([np.concatenate([piece, piece]), np.concatenate([band, band - 1])], 1)
-        keys, count = np.unique(two, axis=0, return_counts=True)
-        keys = keys[count >= self.need[keys[:, 0]]]
-        return np.stack([keys[:, 0], keys[:, 1] * (self.edits[keys[:, 0]] + 1)], 1)
+        # piece and band in one number: bands lie between -2**32 and 2**32
+        one = (piece << 33) + band + (1 << 32)
+        keys, count = np.unique(np.concatenate([one, one - 1]), return_counts=True)
+        piece, band = keys >> 33, (keys & (1 << 33) - 1) - (1 << 32)
+        enough = count >= self.need[piece]
+        piece, band = piece[enough], band[enough]
+        return np.stack([piece, band * (self.edits[piece] + 1)], 1)
 
     def items(self, text: str | None) -> list[int]:
         """Ids of the items of which a piece stands in the text."""

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkstone.llm.common import slices
+from inkstone.llm.common import no_collection, slices
 
 MARK = "▁"
 CACHE = 500_000
@@ -116,7 +116,8 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = table(path)
         for b in slices(batches):
-            rows = t.rows([x or "" for x in b.column("text").to_pylist()])
+            with no_collection():
+                rows = t.rows([x or "" for x in b.column("text").to_pylist()])
             n = [sum(len(c[0]) for c in row) for row in rows]
             ids = [sha(",".join([c[1] for c in row])) for row in rows]
             # the marker in front of the first chunk is the one the library adds and takes away

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkstone.llm.common import slices
+from inkstone.llm.common import no_collection, slices
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, deltas binary"
 #: A prefix count that falls by more than a byte can say is stored as this mark and a 4-byte number.
@@ -277,7 +277,8 @@ def prefix_table(docs: DataFrame, path: str) -> DataFrame:
         c = counter(path)
         for b in slices(batches, chars=4_000_000):
             texts = [t or "" for t in b.column("text").to_pylist()]
-            got = c.texts(texts)
+            with no_collection():
+                got = c.texts(texts)
             yield pa.RecordBatch.from_arrays([
                 b.column("doc_id"), pa.array([len(t.encode()) for t in texts], pa.int64()),
                 pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.binary())],

@@ -11,9 +11,11 @@ repeated rows are documents of their own; an empty table gives an empty folder w
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkstone.llm.common import slices
+from inkstone.llm.common import no_collection, slices
+from inkstone.llm.token_counts import byte_alphabet
 from inkstone.session import shared_dir
 
 BLOCK = 128
@@ -29,6 +32,9 @@ PERCENTILE = 90
 #: Ids of a segment; a longer document is a segment of its own.
 SEGMENT = 1 << 18
 CACHE = 500_000
+#: Words that need no normalisation but lower case, and the parts the vocabulary's pattern cuts them in.
+PLAIN = re.compile(r"[\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 FORMAT = "part int, first long, doc_ids array<long>, lengths array<long>, starts binary, payload binary"
 HEAD = struct.Struct("<IBBB")  # minimum, width, exceptions, values
 
@@ -103,25 +109,50 @@ def decode_blocks(payload: bytes, starts: bytes) -> np.ndarray:
 
 
 class WordIds:
-    """Ids of whole words of one vocabulary file; white space separates them and has no ids itself."""
+    """Ids of whole words of one vocabulary file; white space separates them and has no ids itself.
+
+    Words of Latin letters, digits and ASCII marks are cut here, as the file's pattern does, and each distinct part goes
+    to the model once; all other words go through the whole library.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
+        self.model = self.lib.model
         self.known: dict[str, bytes] = {"": b""}
+        self.parts: dict[str, bytes] = {}
+        self.letters = {b: c for c, b in byte_alphabet().items()}
+
+    def part(self, part: str) -> bytes:
+        ids = self.parts.get(part)
+        if ids is None:
+            mapped = part if part.isascii() else "".join([self.letters[b] for b in part.encode()])
+            ids = self.parts[part] = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+        return ids
+
+    def learn(self, new: set[str]) -> None:
+        if len(self.parts) > CACHE:
+            self.parts.clear()
+        whole = []
+        for w in new:
+            if PLAIN.fullmatch(w) and "<|" not in w:
+                low = w.lower()
+                self.known[w] = self.part(low) if low.isalpha() else b"".join([self.part(p) for p in PARTS.findall(low)])
+            else:
+                whole.append(w)
+        for at in range(0, len(whole), 20_000):
+            some = whole[at:at + 20_000]
+            for w, e in zip(some, self.lib.encode_batch_fast(some, add_special_tokens=False)):
+                self.known[w] = array("I", e.ids).tobytes()
 
     def texts(self, texts: list[str], end: int) -> list[bytes]:
         cut = [t.replace("\n", " ").split(" ") for t in texts]
-        new = [w for w in {w for row in cut for w in row} if w not in self.known]
-        if len(self.known) + len(new) > CACHE:
+        words = set().union(*cut)
+        if len(self.known) + len(words) > CACHE:
             self.known = {"": b""}
-            new = [w for w in {w for row in cut for w in row} if w]
-        for at in range(0, len(new), 20_000):
-            part = new[at:at + 20_000]
-            for w, e in zip(part, self.lib.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-        get, tail = self.known.__getitem__, np.array([end], "<u4").tobytes()
+        self.learn({w for w in words if w not in self.known})
+        get, tail = self.known.__getitem__, array("I", [end]).tobytes()
         return [b"".join(map(get, row)) + tail for row in cut]
 
 
@@ -151,7 +182,9 @@ def write(docs: DataFrame, vocabulary: str, end: int, folder: str) -> None:
                 names=["part", "first", "doc_ids", "lengths", "starts", "payload"])
 
         for b in slices(batches):
-            for doc, data in zip(b.column("doc_id").to_pylist(), w.texts([t or "" for t in b.column("text").to_pylist()], end)):
+            with no_collection():
+                encoded = w.texts([t or "" for t in b.column("text").to_pylist()], end)
+            for doc, data in zip(b.column("doc_id").to_pylist(), encoded):
                 if buffers and held + len(data) // 4 > SEGMENT:
                     yield segment()
                     first, ids, buffers, held = first + held, [], [], 0
