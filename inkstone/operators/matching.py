@@ -10,6 +10,8 @@ from inkstone.functions import text as X
 from inkstone.functions import vectors as VEC
 from inkstone.operators.contains import contains_join
 from inkstone.operators.folds import fold_sorted
+from inkstone.operators.graph import components
+from inkstone.session import cut_lineage
 
 
 def field_diff(a: DataFrame, b: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
@@ -226,25 +228,28 @@ def caption_boxes(figures: DataFrame, captions: DataFrame) -> DataFrame:
     return fold_sorted(cand, ["image"], ["fig", "gap", "neg_over", "cap"], greedy, "image long, fig int, cap int")
 
 
-def box_merge(boxes: DataFrame, gap: int) -> DataFrame:
-    """Boxes of one image merged while any two are closer than ``gap``; in list order until stable."""
-    def merge(key, rows):
-        cur = [r[2:] for r in rows]
-        while True:
-            out: list[tuple] = []
-            for b in cur:
-                near = next((k for k, o in enumerate(out) if b[0] <= o[2] + gap and o[0] <= b[2] + gap and b[1] <= o[3] + gap and o[1] <= b[3] + gap), None)
-                if near is None:
-                    out.append(b)
-                else:
-                    o = out[near]
-                    out[near] = (min(b[0], o[0]), min(b[1], o[1]), max(b[2], o[2]), max(b[3], o[3]))
-            if len(out) == len(cur):
-                return [(key[0], i, *b) for i, b in enumerate(out)]
-            cur = out
-
-    rows = boxes.select("image", "idx", "x0", "y0", "x1", "y1")
-    return fold_sorted(rows, ["image"], ["idx"], merge, "image long, idx int, x0 int, y0 int, x1 int, y1 int")
+def box_merge(boxes: DataFrame, gap: int, cell: int = 512) -> DataFrame:
+    """(image, idx, x0, y0, x1, y1): unions of the boxes of an image, no two of them within ``gap`` of each other.
+
+    Boxes within the gap are the edges of a graph; its connected parts become their bounding boxes, which may
+    come near others, so this repeats until no edge is left. Any order of merging ends in these boxes. Candidates share
+    a strip of ``cell`` pixels. Boxes are numbered by their first member.
+    """
+    sides = ["x0", "y0", "x1", "y1"]
+    cur = cut_lineage(boxes.select(F.struct("image", "idx").alias("k"), *sides))
+    while True:
+        strips = cur.withColumn("strip", F.explode(F.sequence(F.floor(F.col("x0") / cell), F.floor((F.col("x1") + gap) / cell))))
+        a, b = strips.alias("a"), strips.alias("b")
+        apart = F.greatest(F.col("a.x0") - F.col("b.x1"), F.col("b.x0") - F.col("a.x1"), F.col("a.y0") - F.col("b.y1"), F.col("b.y0") - F.col("a.y1"))
+        near = a.join(b, (F.col("a.k.image") == F.col("b.k.image")) & (F.col("a.strip") == F.col("b.strip")) & (F.col("a.k") < F.col("b.k")) & (apart <= gap))
+        edges = cut_lineage(near.select(F.col("a.k").alias("source"), F.col("b.k").alias("target")).distinct())
+        if edges.isEmpty():
+            break
+        part = components(edges).select(F.col("title").alias("k"), "component")
+        cur = cut_lineage(cur.join(part, "k", "left").groupBy(F.coalesce("component", "k").alias("k")).agg(
+            F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")))
+    place = F.row_number().over(Window.partitionBy("k.image").orderBy("k.idx")) - 1  # boxes of one image
+    return cur.withColumn("place", place).select("k.image", F.col("place").alias("idx"), *sides)
 
 
 def child_figures(figures: DataFrame, gate: float = 0.10) -> DataFrame:

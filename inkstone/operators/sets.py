@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from heapq import heapify, heappop, heappush
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,21 +46,38 @@ def filter_listed(listed: DataFrame, inputs: DataFrame, keys: list[str], title:
 
 
 def merge_plan(kept: DataFrame, min_kept: int, max_rooms: int) -> DataFrame:
-    """(doc_id, idx, host, ord, new_id, absorbed): smallest-first merging of rooms, per document.
+    """(doc_id, idx, host, ord, new_id, absorbed): the room that every room of a document ends in.
 
-    Input is one row per room (doc_id, idx, kept_n); a document's rooms are a short list, so the
-    loop runs in one small frame per document and members are moved afterwards by a join.
+    Input is one row per room (doc_id, idx, kept_n). Only neighbours join, so what is left of a document is a list of
+    intervals of its rooms: members keep reading order and only the host has to be remembered. The smallest interval
+    comes from a heap and its neighbours from links, n log n for n rooms.
     """
     def plan(key, rows):
-        live = [{"host": idx, "n": n, "parts": [idx]} for _, idx, n in rows]
-        while len(live) > 1 and (len(live) > max_rooms or min(r["n"] for r in live) < min_kept):
-            v = min(range(len(live)), key=lambda k: (live[k]["n"], k))
-            victim = live.pop(v)
-            host = live[max(v - 1, 0)]
-            # the first room joins its successor and its members come first
-            host["parts"] = victim["parts"] + host["parts"] if v == 0 else host["parts"] + victim["parts"]
-            host["n"] += victim["n"]
-        return [(key[0], p, r["host"], o, new) for new, r in enumerate(live) for o, p in enumerate(r["parts"])]
+        rooms = [r[1] for r in rows]
+        end = len(rooms)
+        size, host = [r[2] for r in rows], list(rooms)
+        before, after = list(range(-1, end - 1)), list(range(1, end + 1))  # heads of the neighbouring intervals
+        small = [(n, i) for i, n in enumerate(size)]
+        heapify(small)
+        left = end
+        while left > 1 and (left > max_rooms or small[0][0] < min_kept):
+            n, i = heappop(small)
+            if size[i] != n:  # has grown or gone since
+                continue
+            head = before[i] if before[i] >= 0 else i
+            tail = after[head]
+            if head == i:
+                host[head] = host[tail]
+            size[head], size[tail] = size[head] + size[tail], None
+            after[head] = after[tail]
+            if after[tail] < end:
+                before[after[tail]] = head
+            heappush(small, (size[head], head))
+            left -= 1
+            while left > 1 and size[small[0][1]] != small[0][0]:
+                heappop(small)
+        heads = [i for i in range(end) if size[i] is not None]
+        return [(key[0], rooms[p], host[h], p - h, new) for new, h in enumerate(heads) for p in range(h, after[h])]
 
     out = fold_sorted(kept.select("doc_id", "idx", "kept_n"), ["doc_id"], ["idx"], plan, "doc_id long, idx int, host int, ord int, new_id int")
     return out.withColumn("absorbed", F.col("idx") != F.col("host"))

@@ -167,3 +167,21 @@ def test_route(spark):
     q = spark.createDataFrame([("전체 비교", 1, 0.0, 0.0), ("전체", 1, 0.9, 0.0), ("전체", 0, 0.9, 0.0), ("x", 0, 0.0, 0.05), ("x", 0, 0.03, 0.0)], "q string, n int, l double, g double")
     got = [(r["mode"], r["confidence"]) for r in RT.route(q, "q", "n", "l", "g").collect()]
     assert got == [("local", "ambiguous"), ("global", "clear"), ("global", "clear"), ("global", "clear"), ("basic", "clear")]
+
+
+def test_ids_are_padded_and_never_cut(spark):
+    df = spark.createDataFrame([(7, 7), (10, 99), (100, 999_999), (101, 1_000_000), (1000, 12_345_678)], "section int, rank int")
+    got = df.select(RK.padded(F.col("section"), 2).alias("s"), RK.padded(F.col("rank"), 6).alias("r")).collect()
+    assert [r.s for r in got] == ["07", "10", "100", "101", "1000"]
+    assert [r.r for r in got] == ["000007", "000099", "999999", "1000000", "12345678"]
+
+
+def test_unknown_member_titles_count_nowhere(spark):
+    def table(rows, schema):
+        return spark.createDataFrame(rows, schema)
+
+    cites = table([(1, "reports", 5)], "q int, kind string, num long")
+    ents = table([(1, "a", 3), (2, "b", 2)], "hr long, title string, degree int")
+    members = table([(5, "a", 3), (5, "b", 2), (5, "ghost", 9)], "community long, title string, degree int")
+    got = RT.provenance(cites, ["q"], ents, table([], "hr long, source string, target string"), table([], "hr long, title string"), table([(5, 5)], "hr long, community long"), members).collect()
+    assert [(r.rank, r.title, r.entities_total) for r in sorted(got)] == [(1, "a", 2), (2, "b", 2)]
