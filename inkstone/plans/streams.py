@@ -58,6 +58,13 @@ def usage_stream(t):
     return US.run_to_table(totals, "complete", f"{path}/out", f"{path}/state")
 
 
+@query("job_upsert_stream", "SELECT * FROM v_latest_job_full")
+def job_upsert_stream(t):
+    path = scratch(t, "job-table")
+    newest = US.upsert_stream(V.job_log(StreamTables(t.spark, t.root)), f"{path}/table", f"{path}/state", ["job_id"], "event_id")
+    return t.spark.read.parquet(newest).drop("event_id")
+
+
 @query("session_expiry", "SELECT event_id, user_id FROM events WHERE epoch_us(ts) >= (SELECT max(epoch_us(ts)) FROM events) - 7::BIGINT * 24 * 3600 * 1000000")
 def session_expiry(t):
     s = t("events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))

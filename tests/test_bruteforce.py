@@ -205,6 +205,22 @@ def test_upsert_stream(spark, tmp_path):
     assert {r["job_id"]: r["state"] for r in out.collect()} == {1: "s2", 10: "x", 11: "x", 12: "x"}
 
 
+def test_upsert_stream_keeps_its_table_after_a_restart(spark, tmp_path):
+    src = str(tmp_path / "in")
+
+    def run(rows):
+        if rows:
+            spark.createDataFrame(rows, "job_id long, v long, state string").coalesce(1).write.mode("append").parquet(src)
+        s = spark.readStream.schema("job_id long, v long, state string").option("maxFilesPerTrigger", 1).parquet(src)
+        out = US.upsert_stream(s, str(tmp_path / "t"), str(tmp_path / "c"), ["job_id"], "v")
+        return {r["job_id"]: r["state"] for r in spark.read.parquet(out).collect()}
+
+    assert run([(1, 5, "new"), (2, 1, "a")]) == {1: "new", 2: "a"}
+    assert run([(1, 4, "late"), (3, 1, "b")]) == {1: "new", 2: "a", 3: "b"}
+    assert run([]) == {1: "new", 2: "a", 3: "b"}
+    assert run([(2, 2, "c")]) == {1: "new", 2: "c", 3: "b"}
+
+
 def _features(spark, n=120, dim=6):
     rng = np.random.default_rng(9)
     centers = rng.normal(size=(5, dim)) * 4
