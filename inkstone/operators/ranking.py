@@ -31,6 +31,22 @@ def full_rank(df: DataFrame, keys: list[str], bucket: Column, order: list, name:
     return local.join(shift, ["_b", *keys]).withColumn(name, (F.col("_l") + F.col("_shift")).cast("long")).drop("_b", "_l", "_shift")
 
 
+def global_rank(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
+    """``row_number`` over the whole table without one task for all rows.
+
+    Rows are dealt by ranges of ``order`` and sorted inside their range; a row's place there plus the sizes of the
+    ranges before it is its rank. Only one count per range meets in one task. Places are stored before they are counted,
+    because a lost task might draw the ranges anew.
+    """
+    at = F.monotonically_increasing_id()  # range number above 33 bits of place
+    placed = cut_lineage(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", at))
+    placed = placed.withColumn("_range", F.shiftright("_at", 33))
+    sizes = placed.groupBy("_range").agg(F.count("*").alias("_n"))
+    shift = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_shift"))
+    place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1).cast("long"))
+    return placed.join(F.broadcast(shift), "_range").withColumn(name, place + F.col("_shift") + 1).drop("_at", "_range", "_shift")  # a row per range
+
+
 def round_robin(df: DataFrame, keys: list[str], kind: str, degree: str, title: str, n: int) -> DataFrame:
     """First ``n`` per key taking one of each kind per round, kinds in order of their best member.
 
@@ -76,7 +92,7 @@ def dual_rank(members: DataFrame, room: list[str], weight: str, pos: str, tie: l
     order = [F.desc(weight), pos, *tie]
     slots = F.struct((-F.col(weight)).alias("w"), F.floor(F.col(pos) / 256).alias("p"))
     r = full_rank(members, room, slots, order, "room_rank")
-    g = full_rank(r, [], slots, order, "global_rank")
+    g = global_rank(r, order, "global_rank")
     total = members.groupBy(*room).agg(F.sum(weight).cast("long").alias("room_weight"))
     return g.join(total, room)
 
@@ -88,7 +104,6 @@ def padded(number: Column, width: int) -> Column:
 
 
 def blind_relabel(df: DataFrame, label: str, prefix: str) -> DataFrame:
-    """(label, blind): neutral ids by sorted order of the distinct labels, two-level ranked."""
-    d = df.select(label).distinct()
-    r = full_rank(d, [], F.substring(F.col(label), 1, 6), [label], "_r")
+    """(label, blind): neutral ids by sorted order of the distinct labels."""
+    r = global_rank(df.select(label).distinct(), [label], "_r")
     return r.select(label, F.concat(F.lit(prefix), padded(F.col("_r"), 6)).alias("blind"))

@@ -29,13 +29,13 @@ view_sql("v_chunk", r"""SELECT doc_id, CAST(s // 110 AS INTEGER) AS chunk_no, ar
 
 
 def terms(t: Tables) -> DataFrame:
-    """Distinct lower-case words: the entity dictionary."""
+    """Distinct words as they are written: the entity dictionary."""
     return t("benchmark").select(
-        F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("title")
+        F.explode(F.regexp_extract_all("text", F.lit(r"(\p{L}+)"), F.lit(1))).alias("title")
     ).distinct()
 
 
-view_sql("v_term", r"""SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\p{L}+')) AS title FROM benchmark""")
+view_sql("v_term", r"""SELECT DISTINCT unnest(regexp_extract_all(text, '\p{L}+')) AS title FROM benchmark""")
 
 
 def mentions(t: Tables) -> DataFrame:
@@ -44,7 +44,7 @@ def mentions(t: Tables) -> DataFrame:
 
 def build_mentions(t: Tables) -> DataFrame:
     """(doc_id, chunk_no, pos, title): dictionary words in chunk order (equi join on the word)."""
-    toks = F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))
+    toks = F.regexp_extract_all("text", F.lit(r"(\p{L}+)"), F.lit(1))
     words = (
         chunks(t).select("doc_id", "chunk_no", toks.alias("w"))
         .select("doc_id", "chunk_no", F.posexplode("w").alias("pos", "title"))
@@ -53,7 +53,7 @@ def build_mentions(t: Tables) -> DataFrame:
 
 
 view_sql("v_tok", r"""SELECT doc_id, chunk_no, unnest(w) AS title, CAST(unnest(range(len(w))) AS INTEGER) AS pos FROM
-  (SELECT doc_id, chunk_no, regexp_extract_all(lower(text), '\p{L}+') AS w FROM v_chunk)""")
+  (SELECT doc_id, chunk_no, regexp_extract_all(text, '\p{L}+') AS w FROM v_chunk)""")
 view_sql("v_mention", "SELECT doc_id, chunk_no, pos, title FROM v_tok SEMI JOIN v_term USING (title)")
 
 
