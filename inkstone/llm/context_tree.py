@@ -29,7 +29,7 @@ from inkstone.llm.common import blocks, id_remainder, store
 DEPTH = 5
 #: A byte that UTF-8 never uses stands before and after every text.
 EDGE = b"\xff"
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 32_000_000
 PIECE_BYTES = 2_000_000
 END_WORD = -1
 HALF = math.log(0.5)
@@ -149,6 +149,8 @@ class Tree:
         heap = np.stack([(1 << j) | (x >> 8 - j) for j in range(8)])
         out = np.full(bit.shape, 0.5) if p is None else p
         for d in sorted(self.nodes, reverse=True):
+            if not len(self.nodes[d]):  # nothing learned at all: 1/2 stays
+                continue
             want = (keys >> 8 * (DEPTH + 1 - d) << 8)[None, :] | heap
             at, hit = find(self.nodes[d], want)
             n0, n1 = np.where(hit, self.n0[d][at], 0.0), np.where(hit, self.n1[d][at], 0.0)
