@@ -18,7 +18,7 @@ from inkstone.operators.graph import components
 #: A condition on two struct columns of members.
 Near = Callable[[str, str], F.Column]
 #: Rounds with one pivot a bucket before the pairs that are left are compared.
-ROUNDS = 3
+ROUNDS = 2
 
 
 def grouped(buckets: DataFrame, near: Near, last: Near, verify: Callable[[DataFrame], DataFrame],
