@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstone.llm import (
-    chosen_path, context_tree, decontaminate, fuzzy_lines, hd_language, kneser_ney, piece_table, quality_rules, token_counts, token_files,
+    chosen_path, context_tree, cover_tree, decontaminate, dual_tree, fuzzy_lines, hd_language, kneser_ney, pareto_mix, piece_table, quality_rules,
+    token_counts, token_files,
 )
 from inkstone.llm.common import documents
 
@@ -67,11 +68,27 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_lines_dropped", F.sha2("text", 256).alias("text_sha256"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")
+    rows = cover_tree.candidates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id"), label, F.col("embedding"))
+    return cover_tree.hard_negatives(rows, F.col("id") % 50 == 0)
+
+
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pareto_mix.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dual_tree.rank(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_quality_rules, op2_quality_classifier, op3_benchmark_decontamination, op4_token_counts, op5_minhash_near_dedup,
-    op6_token_id_output, op7_language_id, op8_lm_scoring, op9_sentencepiece, op10_line_dedup)}
+    op6_token_id_output, op7_language_id, op8_lm_scoring, op9_sentencepiece, op10_line_dedup,
+    op11_hard_negatives, op12_source_mix, op13_lexical_search)}
 
 WORD = r"[^ \t\n\x0B\f\r]+"
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 SQL: dict[str, str] = {
     "op1_quality_rules": rf"""
@@ -101,4 +118,54 @@ l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
 r(a, b) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
 c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
 SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept FROM s JOIN c ON s.doc_id = c.a""",
+    "op11_hard_negatives": """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+      FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+a AS (SELECT DISTINCT vec_id, label, v FROM e WHERE vec_id % 50 = 0),
+s AS (SELECT row_number() OVER () AS r, a.vec_id AS anchor_id, a.label AS own, a.v AS av, e.vec_id, e.label, list_dot_product(a.v, e.v)::BIGINT AS score
+      FROM a, e WHERE a.vec_id <> e.vec_id),
+p AS (SELECT * FROM s WHERE label = own QUALIFY row_number() OVER (PARTITION BY anchor_id, own, av ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT p.r, p.anchor_id, p.vec_id AS positive_id, p.score AS positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+        row_number() OVER (PARTITION BY p.r ORDER BY s.score DESC, s.vec_id) AS rank
+      FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.own = p.own AND s.av = p.av AND s.label <> s.own
+      WHERE 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3""",
+    "op12_source_mix": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size,
+        (('0x' || substr(md5('mix-1|' || coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w FROM d GROUP BY source),
+c AS (SELECT *, 2 * source_size / w AS bar, sum(w) OVER () AS wt, 1.5::DOUBLE * sum(source_size) OVER () AS t,
+        coalesce(sum(2::DOUBLE * source_size) OVER o, 0) AS cut, coalesce(sum(w) OVER o, 0) AS gone FROM s
+      WINDOW o AS (ORDER BY 2 * source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT min_by((t - cut) / (wt - gone), bar) FILTER (bar >= (t - cut) / (wt - gone)) AS level FROM c),
+g AS (SELECT source, source_size, least(w * level, 2::DOUBLE * source_size) AS target FROM c, l),
+k AS (SELECT source, 1::DOUBLE / (1::BIGINT << ((length(bin(size)) - 1) // 4)::BIGINT) AS lean, sum(size)::DOUBLE AS words FROM d WHERE size > 0 GROUP BY ALL),
+h AS (SELECT k.*, target, coalesce(sum(2 * words) OVER o, 0) AS cut, coalesce(sum(lean * words) OVER o, 0) AS gone, sum(lean * words) OVER (PARTITION BY k.source) AS wt
+      FROM k JOIN g ON k.source IS NOT DISTINCT FROM g.source WINDOW o AS (PARTITION BY k.source ORDER BY lean DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+v AS (SELECT source, min_by((target - cut) / (wt - gone), 2 / lean) FILTER (2 / lean >= (target - cut) / (wt - gone)) AS level FROM h GROUP BY source),
+e AS (SELECT h.source, h.lean, least(h.lean * v.level, 2::DOUBLE) AS e FROM h JOIN v ON h.source IS NOT DISTINCT FROM v.source),
+x AS (SELECT d.*, floor(e)::BIGINT AS whole, e - floor(e) AS p FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source AND size > 0
+        AND e.lean = 1::DOUBLE / (1::BIGINT << ((length(bin(size)) - 1) // 4)::BIGINT)),
+q AS (SELECT x.*, u * (1 - p) / (u * (1 - p) + (1 - u) * p) AS z FROM x WHERE p > 0),
+r0 AS (SELECT x.source, any_value(target) - sum(whole * size) AS rest FROM x JOIN g ON x.source IS NOT DISTINCT FROM g.source GROUP BY x.source),
+q1 AS (SELECT q.*, rest, sum(size) OVER (PARTITION BY q.source ORDER BY z, doc_id, size ROWS UNBOUNDED PRECEDING) <= rest AS fits FROM q JOIN r0 ON q.source IS NOT DISTINCT FROM r0.source),
+r1 AS (SELECT source, any_value(rest) - coalesce(sum(size) FILTER (fits), 0) AS rest FROM q1 GROUP BY source),
+q2 AS (SELECT q1.* EXCLUDE (rest, fits), r1.rest, size <= r1.rest AND sum(CASE WHEN size <= r1.rest THEN size ELSE 0 END) OVER (PARTITION BY q1.source ORDER BY z, doc_id, size ROWS UNBOUNDED PRECEDING) <= r1.rest AS fits
+       FROM q1 JOIN r1 ON q1.source IS NOT DISTINCT FROM r1.source WHERE NOT fits),
+r2 AS (SELECT source, any_value(rest) - coalesce(sum(size) FILTER (fits), 0) AS rest FROM q2 GROUP BY source),
+q3 AS (SELECT q2.r FROM q2 JOIN r2 ON q2.source IS NOT DISTINCT FROM r2.source WHERE NOT fits AND abs(r2.rest - size) < r2.rest
+       QUALIFY row_number() OVER (PARTITION BY q2.source ORDER BY abs(r2.rest - size), z, q2.r) = 1),
+y AS (SELECT r FROM q1 WHERE fits UNION ALL SELECT r FROM q2 WHERE fits UNION ALL SELECT r FROM q3)
+SELECT d.doc_id, d.size, g.source_size, g.target, (coalesce(x.whole, 0) + (y.r IS NOT NULL)::BIGINT) * d.size AS taken, coalesce(x.whole, 0) + (y.r IS NOT NULL)::BIGINT AS copies
+FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source LEFT JOIN x ON d.r = x.r LEFT JOIN y ON d.r = y.r""",
+    "op13_lexical_search": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{TERM}') AS t FROM documents WHERE text IS NOT NULL),
+i AS (SELECT row_number() OVER () AS i, item_id, t FROM (SELECT DISTINCT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{TERM}') AS t, text FROM benchmark WHERE text IS NOT NULL)),
+n AS (SELECT count(*) AS n, sum(len(t))::BIGINT AS l FROM d WHERE len(t) > 0),
+f AS (SELECT r, any_value(doc_id) AS doc_id, t, count(*) AS tf, any_value(m) AS m FROM (SELECT r, doc_id, unnest(d.t) AS t, 75 + (25 * len(d.t) * n.n) // n.l AS m FROM d, n) GROUP BY r, t),
+w AS (SELECT t, floor(1000 * ln((2 * any_value(n.n) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM f, n GROUP BY t),
+b AS (SELECT i, any_value(item_id) AS item_id, t, count(*) AS q FROM (SELECT i, item_id, unnest(i.t) AS t FROM i) GROUP BY i, t),
+s AS (SELECT b.i, any_value(b.item_id) AS item_id, f.r, any_value(f.doc_id) AS doc_id, sum(q * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+      FROM b JOIN w USING (t) JOIN f USING (t) GROUP BY b.i, f.r)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0) WHERE rank <= 20""",
 }
