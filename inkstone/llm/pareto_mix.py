@@ -4,9 +4,10 @@ A source gets a share of the budget by its weight, at most ``most`` times its ow
 other sources by weight until none is above. Inside a source a document's expected copies fall with the length of its
 text (half for sixteen times the words, ``lean``), which steadies the sum, and are at most ``most`` too. The whole part
 of them is allotted for certain. The rest is an unequal-probability sample: documents are ranked by their random odds
-over their inclusion odds, and the sample's size is fixed in words, the rest of the source's target. It takes the
-longest run of ranks that fits, then such a run among the documents that still fit, and at last the one document that
-comes nearest if that comes nearer than none.
+over their inclusion odds, and the sample's size is fixed in words, the rest of the source's target. The long documents
+of a source are a sample of their own, of the words they may expect; the level of the short ones is then set by what
+is left, their ranks run as far as it allows, once more among all documents that still fit, and at last the one
+document that comes nearest is taken if that is nearer than none.
 
 Runs are found without a source in one task: ranks are cut into buckets, words summed by bucket, and rows compared
 only in the bucket where a run ends. Random numbers come from a digest of id and text, so reruns agree.
@@ -28,6 +29,7 @@ from inkstone.operators.ranking import global_rank
 
 WEIGHTS = (5, 2, 1)  # of the sources in order, repeating
 BUCKET_ROWS = 4096  # documents of a bucket of ranks, about
+LONG = 64  # a document longer than its source's target over this is ranked among the long ones
 SOURCES = 100_000  # rows of the table of sources up to which it is broadcast
 SEED = "mix-1"
 
@@ -95,6 +97,33 @@ def runs(rows: DataFrame, rest: DataFrame, buckets: int, sources: int) -> DataFr
     return whole.unionByName(part)
 
 
+def nearest(rows: DataFrame, rest: DataFrame, sources: int) -> DataFrame:
+    """The row number of the one document of each source that comes nearest to its ``rest``, if nearer than none or if one ``must``."""
+    return rows.join(small(rest, sources), "key").where("must OR abs(rest - size) < rest").groupBy("key").agg(
+        F.min(F.struct(F.expr("abs(rest - size)").alias("off"), "v", "row")).alias("x")).select(F.col("x.row").alias("row"))
+
+
+def words_of(rows: DataFrame, got: DataFrame) -> DataFrame:
+    return rows.join(got, "row").groupBy("key").agg(F.sum("size").alias("used"))
+
+
+def odds(rows: DataFrame, totals: DataFrame, most: int, part: str) -> DataFrame:
+    """The documents of ``part`` with their certain copies ``whole``, inclusion probability ``p`` and rank value ``v``.
+
+    Expected copies of the documents that ``totals`` is for are ``lean`` times a level that makes the words of each
+    source add up to its total: of all documents for the long ones, which are judged against all, else of ``part``.
+    ``v`` orders like the random odds over the inclusion odds and lies in (0, 1).
+    """
+    basis = rows if part == "long" else rows.where(part)
+    lengths = basis.groupBy("key", "lean").agg(F.sum("size").alias("words")).join(totals, "key")
+    level = fill(lengths.select("key", "lean", (F.col("lean") * F.col("words")).alias("weight"), (most * F.col("words").cast("double")).alias("cap"), "total"), ["key"])
+    copies = store(level.select("key", "lean", F.when(F.col("capped"), float(most)).otherwise(F.col("lean") * F.col("level")).alias("e")), "copies")
+    x, y = "u * (1 - p)", "(1 - u) * p"
+    return store(rows.where(part).join(small(copies, copies.count()), ["key", "lean"])
+                 .select("row", "doc_id", "key", "size", "u", "long", F.floor("e").alias("whole"), (F.col("e") - F.floor("e")).alias("p"))
+                 .withColumn("v", F.when(F.col("p") > 0, F.expr(f"{x} / ({x} + {y})"))), "drawn")
+
+
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, budget: float = 1.5, most: int = 2) -> DataFrame:
     """(doc_id, size, source_size, target, taken, copies, source) of every document; ``taken`` is ``copies`` times ``size``."""
     sizes = store(words(docs), "sizes")
@@ -102,30 +131,38 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, budget: float = 1.5,
     goal = store(targets(sizes, weights, budget, most), "targets")
     sources = goal.count()
 
-    lengths = sizes.where("size > 0").groupBy("key", F.expr(LEAN).alias("lean")).agg(F.sum("size").alias("words")).join(small(goal, sources), "key")
-    level = fill(lengths.select("key", "lean", (F.col("lean") * F.col("words")).alias("weight"), (most * F.col("words").cast("double")).alias("cap"), F.col("target").alias("total")), ["key"])
-    copies = store(level.select("key", "lean", F.when(F.col("capped"), float(most)).otherwise(F.col("lean") * F.col("level")).alias("e")), "copies")
-    x, y = "u * (1 - p)", "(1 - u) * p"
-    drawn = store(
-        sizes.where("size > 0").withColumn("lean", F.expr(LEAN)).join(small(copies, copies.count()), ["key", "lean"])
-        .select("row", "doc_id", "key", "size", "u", F.floor("e").alias("whole"), (F.col("e") - F.floor("e")).alias("p"))
-        .withColumn("v", F.when(F.col("p") > 0, F.expr(f"{x} / ({x} + {y})"))), "drawn")
-
-    # what the certain copies leave of the target
-    given = drawn.groupBy("key").agg(F.sum(F.expr("whole * size")).alias("given"))
-    rest = store(goal.join(given, "key").select("key", (F.col("target") - F.col("given")).alias("rest")), "rest")
-    left, buckets, picked = drawn.where("p > 0"), max(16, -(-count // BUCKET_ROWS)), None
-    for again in (False, True):  # the whole order of ranks, then what is left of it and still fits
-        fit = left.join(small(rest.withColumnRenamed("rest", "room"), sources), "key").where("size <= room").drop("room") if again else left
-        got = store(runs(fit, rest, buckets, sources), "picked")
-        picked = picked.unionByName(got) if again else got
-        used = drawn.join(got, "row").groupBy("key").agg(F.sum("size").alias("used"))
-        rest = store(rest.join(used, "key", "left").select("key", F.expr("rest - coalesce(used, 0)").alias("rest")), "rest")
+    buckets = max(16, -(-count // BUCKET_ROWS))
+    rows = sizes.where("size > 0").withColumn("lean", F.expr(LEAN)).join(small(goal, sources), "key").withColumn("long", F.col("size") * LONG > F.col("target"))
+    rows = store(rows.select("row", "doc_id", "key", "lean", "size", "u", "long", "target"), "rows")
+    drawn = odds(rows, rows.select("key", F.col("target").alias("total")).distinct(), most, "long")
+
+    # long documents first: as many words as they may expect, or as the short ones can't give
+    per = rows.groupBy("key").agg(F.max("target").alias("target"), F.sum(F.when(~F.col("long"), F.col("size")).otherwise(0)).alias("short"))
+    given = drawn.groupBy("key").agg(F.sum(F.expr("whole * size")).alias("given"), F.sum(F.expr("p * size")).alias("share"))
+    per = store(per.join(given, "key", "left").fillna(0, ["given", "share"]).withColumn("need", F.expr(f"target - given - {most} * short")).withColumn("want", F.expr("greatest(share, need)")), "per")
+    open_long = drawn.where("p > 0")
+    first = store(runs(open_long, per.select("key", F.col("want").alias("rest")), buckets, sources), "first")
+    after = per.join(words_of(drawn, first), "key", "left").select("key", F.expr("want - coalesce(used, 0)").alias("rest"), F.expr("need - coalesce(used, 0) > 0").alias("must"))
+    picked = [store(first.unionByName(nearest(open_long.join(first, "row", "left_anti"), after, sources)), "picked")]
+
+    # then the level of the short ones is set anew by what is left of the target
+    rest = store(per.join(words_of(drawn, picked[0]), "key", "left").withColumn("rest", F.expr("target - given - coalesce(used, 0)")), "rest")
+    short = odds(rows, rest.select("key", F.expr(f"least(greatest(rest, 0D), {most}D * short)").alias("total")), most, "NOT long")
+    given = short.groupBy("key").agg(F.sum(F.expr("whole * size")).alias("more"))
+    rest = store(rest.join(given, "key", "left").select("key", F.expr("rest - coalesce(more, 0)").alias("rest")), "rest")
+    left = store(short.where("p > 0").unionByName(open_long.join(picked[0], "row", "left_anti")), "left")
+    for step in ("short", "fit", "nearest"):
+        if step == "nearest":
+            got = nearest(left, rest.withColumn("must", F.lit(False)), sources)
+        else:
+            room = left.join(small(rest.withColumnRenamed("rest", "room"), sources), "key").where("size <= room").drop("room")
+            got = runs(left.where("NOT long") if step == "short" else room, rest, buckets, sources)
+        got = store(got, "picked")
+        picked.append(got)
+        rest = store(rest.join(words_of(left, got), "key", "left").select("key", F.expr("rest - coalesce(used, 0)").alias("rest")), "rest")
         left = store(left.join(got, "row", "left_anti"), "left")
-    nearest = left.join(small(rest, sources), "key").where("abs(rest - size) < rest").groupBy("key").agg(
-        F.min(F.struct(F.expr("abs(rest - size)").alias("off"), "v", "row")).alias("x")).select(F.col("x.row").alias("row"))
-    picked = store(picked.unionByName(nearest), "picked").select("row", F.lit(1).alias("extra"))
-    many = drawn.select("row", "whole").join(picked, "row", "left").select("row", (F.col("whole") + F.coalesce("extra", F.lit(0))).alias("n"))
+    chosen = picked[0].unionByName(picked[1]).unionByName(picked[2]).unionByName(picked[3]).select("row", F.lit(1).alias("extra"))
+    many = drawn.unionByName(short).select("row", "whole").join(chosen, "row", "left").select("row", (F.col("whole") + F.coalesce("extra", F.lit(0))).alias("n"))
     return sizes.join(many, "row", "left").join(small(goal, sources), "key").select(
         "doc_id", "size", "source_size", "target", (F.coalesce("n", F.lit(0)) * F.col("size")).cast("long").alias("taken"),
         F.coalesce("n", F.lit(0)).cast("long").alias("copies"), "source")

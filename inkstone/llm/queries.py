@@ -144,20 +144,35 @@ h AS (SELECT k.*, target, coalesce(sum(2 * words) OVER o, 0) AS cut, coalesce(su
       FROM k JOIN g ON k.source IS NOT DISTINCT FROM g.source WINDOW o AS (PARTITION BY k.source ORDER BY lean DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 v AS (SELECT source, min_by((target - cut) / (wt - gone), 2 / lean) FILTER (2 / lean >= (target - cut) / (wt - gone)) AS level FROM h GROUP BY source),
 e AS (SELECT h.source, h.lean, least(h.lean * v.level, 2::DOUBLE) AS e FROM h JOIN v ON h.source IS NOT DISTINCT FROM v.source),
-x AS (SELECT d.*, floor(e)::BIGINT AS whole, e - floor(e) AS p FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source AND size > 0
-        AND e.lean = 1::DOUBLE / (1::BIGINT << ((length(bin(size)) - 1) // 4)::BIGINT)),
+f AS (SELECT d.*, 1::DOUBLE / (1::BIGINT << ((length(bin(size)) - 1) // 4)::BIGINT) AS lean, target, 64 * size > target AS long FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source WHERE size > 0),
+x AS (SELECT f.*, floor(e)::BIGINT AS whole, e - floor(e) AS p FROM f JOIN e ON f.source IS NOT DISTINCT FROM e.source AND e.lean = f.lean WHERE long),
 q AS (SELECT x.*, u * (1 - p) / (u * (1 - p) + (1 - u) * p) AS z FROM x WHERE p > 0),
-r0 AS (SELECT x.source, any_value(target) - sum(whole * size) AS rest FROM x JOIN g ON x.source IS NOT DISTINCT FROM g.source GROUP BY x.source),
-q1 AS (SELECT q.*, rest, sum(size) OVER (PARTITION BY q.source ORDER BY z, doc_id, size ROWS UNBOUNDED PRECEDING) <= rest AS fits FROM q JOIN r0 ON q.source IS NOT DISTINCT FROM r0.source),
-r1 AS (SELECT source, any_value(rest) - coalesce(sum(size) FILTER (fits), 0) AS rest FROM q1 GROUP BY source),
-q2 AS (SELECT q1.* EXCLUDE (rest, fits), r1.rest, size <= r1.rest AND sum(CASE WHEN size <= r1.rest THEN size ELSE 0 END) OVER (PARTITION BY q1.source ORDER BY z, doc_id, size ROWS UNBOUNDED PRECEDING) <= r1.rest AS fits
-       FROM q1 JOIN r1 ON q1.source IS NOT DISTINCT FROM r1.source WHERE NOT fits),
-r2 AS (SELECT source, any_value(rest) - coalesce(sum(size) FILTER (fits), 0) AS rest FROM q2 GROUP BY source),
-q3 AS (SELECT q2.r FROM q2 JOIN r2 ON q2.source IS NOT DISTINCT FROM r2.source WHERE NOT fits AND abs(r2.rest - size) < r2.rest
-       QUALIFY row_number() OVER (PARTITION BY q2.source ORDER BY abs(r2.rest - size), z, q2.r) = 1),
-y AS (SELECT r FROM q1 WHERE fits UNION ALL SELECT r FROM q2 WHERE fits UNION ALL SELECT r FROM q3)
-SELECT d.doc_id, d.size, g.source_size, g.target, (coalesce(x.whole, 0) + (y.r IS NOT NULL)::BIGINT) * d.size AS taken, coalesce(x.whole, 0) + (y.r IS NOT NULL)::BIGINT AS copies
-FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source LEFT JOIN x ON d.r = x.r LEFT JOIN y ON d.r = y.r""",
+n0 AS (SELECT source, any_value(target) AS target, sum(CASE WHEN long THEN 0 ELSE size END) AS short FROM f GROUP BY source),
+n1 AS (SELECT n0.source, n0.target, short, coalesce(any_value(h.given), 0) AS given, coalesce(any_value(h.share), 0) AS share FROM n0 LEFT JOIN
+       (SELECT source, sum(whole * size) AS given, sum(p * size) AS share FROM x GROUP BY source) h ON h.source IS NOT DISTINCT FROM n0.source GROUP BY n0.source, n0.target, short),
+n2 AS (SELECT *, target - given - 2 * short AS need, greatest(share, target - given - 2 * short) AS want FROM n1),
+a1 AS (SELECT q.*, want, need, sum(size) OVER (PARTITION BY q.source ORDER BY z, doc_id, size ROWS UNBOUNDED PRECEDING) <= want AS fits FROM q JOIN n2 ON q.source IS NOT DISTINCT FROM n2.source),
+a2 AS (SELECT *, want - coalesce(sum(size) FILTER (fits) OVER (PARTITION BY source), 0) AS rest, need - coalesce(sum(size) FILTER (fits) OVER (PARTITION BY source), 0) > 0 AS must FROM a1),
+a3 AS (SELECT r, source, size FROM a2 WHERE fits UNION ALL SELECT r, source, size FROM (SELECT * FROM a2 WHERE NOT fits AND (must OR abs(rest - size) < rest)
+       QUALIFY row_number() OVER (PARTITION BY source ORDER BY abs(rest - size), z, r) = 1)),
+n3 AS (SELECT n2.source, n2.short, any_value(target) - any_value(given) - coalesce(sum(a3.size), 0) AS rest FROM n2 LEFT JOIN a3 ON a3.source IS NOT DISTINCT FROM n2.source GROUP BY n2.source, n2.short),
+k2 AS (SELECT f.source, lean, sum(size)::DOUBLE AS words, least(greatest(any_value(rest), 0), 2::DOUBLE * any_value(short)) AS total FROM f JOIN n3 ON f.source IS NOT DISTINCT FROM n3.source WHERE NOT long GROUP BY f.source, lean),
+h2 AS (SELECT *, coalesce(sum(2 * words) OVER o, 0) AS cut, coalesce(sum(lean * words) OVER o, 0) AS gone, sum(lean * words) OVER (PARTITION BY source) AS wt
+       FROM k2 WINDOW o AS (PARTITION BY source ORDER BY lean DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+v2 AS (SELECT source, coalesce(min_by((total - cut) / (wt - gone), 2 / lean) FILTER (2 / lean >= (total - cut) / (wt - gone)), max(2 / lean)) AS level FROM h2 GROUP BY source),
+x2 AS (SELECT f.*, floor(least(f.lean * level, 2::DOUBLE))::BIGINT AS whole, least(f.lean * level, 2::DOUBLE) - floor(least(f.lean * level, 2::DOUBLE)) AS p FROM f JOIN v2 ON f.source IS NOT DISTINCT FROM v2.source WHERE NOT long),
+q2 AS (SELECT x2.*, u * (1 - p) / (u * (1 - p) + (1 - u) * p) AS z FROM x2 WHERE p > 0),
+n4 AS (SELECT n3.source, any_value(rest) - coalesce(sum(whole * size), 0) AS rest FROM n3 LEFT JOIN x2 ON x2.source IS NOT DISTINCT FROM n3.source GROUP BY n3.source),
+b0 AS (SELECT r, doc_id, source, size, long, z FROM q2 UNION ALL SELECT r, doc_id, source, size, long, z FROM q WHERE r NOT IN (SELECT r FROM a3)),
+b1 AS (SELECT b0.*, rest, NOT long AND sum(CASE WHEN long THEN 0 ELSE size END) OVER (PARTITION BY b0.source ORDER BY z, doc_id, size ROWS UNBOUNDED PRECEDING) <= rest AS fits FROM b0 JOIN n4 ON b0.source IS NOT DISTINCT FROM n4.source),
+c0 AS (SELECT * EXCLUDE (rest), rest - coalesce(sum(size) FILTER (fits) OVER (PARTITION BY source), 0) AS rest FROM b1),
+c1 AS (SELECT * EXCLUDE (fits), size <= rest AND sum(CASE WHEN size <= rest THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY z, doc_id, size ROWS UNBOUNDED PRECEDING) <= rest AS fits FROM c0 WHERE NOT fits),
+e0 AS (SELECT * EXCLUDE (rest), rest - coalesce(sum(size) FILTER (fits) OVER (PARTITION BY source), 0) AS rest FROM c1),
+e1 AS (SELECT r FROM e0 WHERE NOT fits AND abs(rest - size) < rest QUALIFY row_number() OVER (PARTITION BY source ORDER BY abs(rest - size), z, r) = 1),
+w AS (SELECT r, whole FROM x UNION ALL SELECT r, whole FROM x2),
+y AS (SELECT r FROM a3 UNION ALL SELECT r FROM b1 WHERE fits UNION ALL SELECT r FROM c1 WHERE fits UNION ALL SELECT r FROM e1)
+SELECT d.doc_id, d.size, g.source_size, g.target, (coalesce(w.whole, 0) + (y.r IS NOT NULL)::BIGINT) * d.size AS taken, coalesce(w.whole, 0) + (y.r IS NOT NULL)::BIGINT AS copies
+FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source LEFT JOIN w ON d.r = w.r LEFT JOIN y ON d.r = y.r""",
     "op13_lexical_search": rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{TERM}') AS t FROM documents WHERE text IS NOT NULL),
 i AS (SELECT row_number() OVER () AS i, item_id, t FROM (SELECT DISTINCT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{TERM}') AS t, text FROM benchmark WHERE text IS NOT NULL)),
