@@ -17,6 +17,9 @@ CAPTION_REGIONS = (
 )
 RUNNING_FOOTER = r"\s*\d{1,3}\s*[ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩⅪⅫIVXWvwx]+\s*\.\s*[가-힣][가-힣\s·]*$"
 
+# ---- rows of a match report, eight columns
+MATCH_ROW = r"^\| (\d+) \| (.+?) \| (\d+) \| `(.+?)` \| (.+?) \| (.+?) \| ([0-9.\-]+) \| (.+?) \|$"
+
 # ---- list summary wording
 NOTHING_LISTED = "없음"
 MORE_PREFIX = "외"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkstone.functions import constants as K
@@ -183,11 +183,17 @@ def tie_clusters(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("n_values"))
 
 
-def offset_stats(ordered: DataFrame) -> DataFrame:
-    """Fine, fallback and unresolved counts with shares."""
-    return ordered.agg(
+def offset_stats(ordered: DataFrame, room: list[str]) -> DataFrame:
+    """Fine, fallback and unresolved counts with shares, and the rooms whose kept members don't ascend by position."""
+    kept = F.col("status") == "kept"
+    before = F.lag("pos").over(Window.partitionBy(*room, "status").orderBy("rank"))  # the members of one room
+    falls = kept & (before > F.col("pos"))
+    rows = ordered.withColumn("falls", F.coalesce(falls, F.lit(False)))
+    bad = F.count_distinct(F.when(F.col("falls"), F.struct(*room)))
+    return rows.agg(
         F.count("*").alias("n"), F.count_if(F.col("pos_source") == 0).alias("fine"), F.count_if(F.col("pos_source") != 0).alias("fallback"),
-        F.count_if(F.col("pos_source") == 2).alias("unresolved")).withColumn("fine_share", F.round(F.col("fine") / F.col("n"), 4))
+        F.count_if(F.col("pos_source") == 2).alias("unresolved"), bad.alias("unsorted_rooms")).withColumn("fine_share", F.round(F.col("fine") / F.col("n"), 4)).withColumn(
+        "sorted", F.col("unsorted_rooms") == 0)
 
 
 def readiness(status: DataFrame) -> DataFrame:

@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.clustering import BisectingKMeans, KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
+from pyspark.ml.clustering import BisectingKMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,31 +30,48 @@ def base_cluster(features: DataFrame, item: str, k: int, seed: int = 42) -> Data
     return model.transform(features).select(item, F.col("label").cast("int").alias("label"))
 
 
+FAN, LLOYD = 16, 10  # parts a cluster is cut into at once, rounds of assignment at most
+
+
 def split_oversized(features: DataFrame, labels: DataFrame, item: str, max_size: int, seed: int = 42) -> DataFrame:
-    """Clusters above ``max_size`` are clustered again with fan-out ceil(size / max) until all fit.
+    """Clusters above ``max_size`` are cut into ceil(size / max) parts, at most ``FAN`` at once, until all fit.
 
-    A split that makes no progress (coinciding vectors) is left as it is. Each round refits only
-    the rows of oversized clusters; the loop reads one size per oversized cluster.
+    All oversized clusters are refined together: the first centres are items drawn by hash, each item takes the nearest
+    centre of its own cluster, and the centres become means, until no item changes. A cluster that does not fall apart
+    (coinciding vectors) is marked and left. A round is a fixed number of jobs, however many clusters it cuts.
     """
     if max_size < 2:
         raise ValueError("max_size must be at least 2")
-    cur = cut_lineage(labels.select(item, F.col("label").cast("string").alias("label")))
-    stuck: list[str] = []
+    units = features.select(item, "unit")
+    cur = cut_lineage(labels.select(item, F.col("label").cast("string").alias("label"), F.lit(False).alias("whole")))
     while True:
-        sizes = cur.groupBy("label").agg(F.count("*").alias("n"))
-        big = sizes.where((F.col("n") > max_size) & ~F.col("label").isin(stuck)).orderBy("label").limit(64).collect()  # labels and sizes only
-        if not big:
-            return cur
-        for row in big:
-            # the fit passes over its rows many times: give it a table, not a chain of joins
-            part = cut_lineage(features.join(cur.where(F.col("label") == row["label"]).select(item), item))
-            k = max(2, -(-row["n"] // max_size))
-            sub = base_cluster(part, item, k, seed).select(item, F.concat(F.lit(row["label"] + "."), F.col("label").cast("string")).alias("new"))
-            if sub.select("new").distinct().count() < 2:
-                stuck.append(row["label"])
-                continue
-            cur = cur.join(sub, item, "left").select(item, F.coalesce("new", "label").alias("label"))
-        cur = cut_lineage(cur)
+        size = cur.groupBy("label").agg(F.count("*").alias("n"), F.bool_and("whole").alias("whole"))
+        big = cut_lineage(size.where((F.col("n") > max_size) & ~F.col("whole")).select(
+            "label", F.least(F.lit(FAN), F.greatest(F.lit(2), F.ceil(F.col("n") / max_size))).cast("int").alias("k")))
+        if big.isEmpty():
+            return cur.select(item, "label")
+        rows = cut_lineage(units.join(cur.join(_small(big), "label").select(item, "label", "k"), item))
+        drawn = F.xxhash64(F.lit(seed), F.col(item))
+        first = rows.groupBy("label", F.pmod(drawn, F.col("k")).alias("sub")).agg(F.min_by("unit", F.struct(drawn, F.col(item))).alias("centre"))
+        part = None
+        for _ in range(LLOYD):
+            centres = first.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("sub", "centre"))).alias("cs"))  # at most FAN
+            near = F.array_min(F.transform("cs", lambda c: F.struct((-VEC.dot(c["centre"], F.col("unit"))).alias("s"), c["sub"].alias("sub"))))["sub"]
+            new = cut_lineage(rows.join(_small(centres), "label").select(item, "label", "unit", near.alias("sub")))
+            if part is not None and new.join(part.select(item, F.col("sub").alias("was")), item).where("sub <> was").isEmpty():
+                break
+            part = new
+            long = part.select("label", "sub", F.posexplode("unit").alias("pos", "x")).groupBy("label", "sub", "pos").agg(F.sum("x").alias("x"))
+            first = long.groupBy("label", "sub").agg(VEC.normalize(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"])).alias("centre"))
+        parts = part.groupBy("label").agg(F.count_distinct("sub").alias("parts"))
+        cut = part.join(_small(parts), "label").select(
+            item, F.when(F.col("parts") > 1, F.concat("label", F.lit("."), F.col("sub").cast("string"))).otherwise(F.col("label")).alias("new"), (F.col("parts") == 1).alias("stuck"))
+        cur = cut_lineage(cur.join(cut, item, "left").select(item, F.coalesce("new", "label").alias("label"), (F.col("whole") | F.coalesce("stuck", F.lit(False))).alias("whole")))
+
+
+def _small(table: DataFrame) -> DataFrame:
+    """Broadcast while it is a short table of clusters, joined by shuffle beyond that."""
+    return F.broadcast(table) if table.count() <= MAX_CLUSTERS else table
 
 
 def centroids(features: DataFrame, labels: DataFrame, item: str) -> DataFrame:
@@ -131,11 +147,22 @@ def fold_unassigned(cent: DataFrame, mapping: DataFrame) -> DataFrame:
     return fold_sorted(j, ["g"], ["label"], fold, "label string, grp int")
 
 
-def quality(features: DataFrame, labelings: dict[str, DataFrame], item: str) -> DataFrame:
-    """(method, silhouette) by cosine for every labeling."""
-    ev = ClusteringEvaluator(featuresCol="features", predictionCol="label", distanceMeasure="cosine")
-    rows = [(name, float(ev.evaluate(features.join(lab.select(item, F.col("label").cast("double").alias("label")), item)))) for name, lab in labelings.items()]
-    return features.sparkSession.createDataFrame(rows, "method string, silhouette double")
+def quality(features: DataFrame, labelings: DataFrame, item: str) -> DataFrame:
+    """(method, clusters, silhouette): mean silhouette by cosine distance of every labeling (method, item, label).
+
+    A row's mean distance to a cluster follows from the cluster's vector sum, so no two rows ever meet; all methods are
+    one aggregate. A row alone in its cluster counts 0, as does every row of a method with one cluster.
+    """
+    rows = features.select(item, "unit").join(labelings.select("method", item, F.col("label").cast("string").alias("label")), item)
+    long = rows.select("method", "label", F.posexplode("unit").alias("pos", "x")).groupBy("method", "label", "pos").agg(F.sum("x").alias("x"), F.count("*").alias("n"))
+    sums = cut_lineage(long.groupBy("method", "label").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("total")))
+    met = rows.join(_small(sums.select("method", F.col("label").alias("c"), "n", "total")), "method")
+    mean = 1 - VEC.dot(F.col("unit"), F.col("total")) / F.col("n")
+    own = F.col("c") == F.col("label")
+    per = met.groupBy("method", item).agg(
+        F.max(F.when(own, F.col("n"))).alias("n"), F.max(F.when(own & (F.col("n") > 1), mean * F.col("n") / (F.col("n") - 1))).alias("a"), F.min(F.when(~own, mean)).alias("b"))
+    s = F.when((F.col("n") == 1) | F.col("b").isNull() | (F.greatest("a", "b") == 0), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
+    return per.groupBy("method").agg(F.avg(s).alias("silhouette")).join(sums.groupBy("method").agg(F.count("*").alias("clusters")), "method").select("method", "clusters", "silhouette")
 
 
 def k_sweep(labelings: DataFrame, max_size: int, max_k: int) -> DataFrame:
@@ -152,8 +179,3 @@ def degree_precut(entities: DataFrame, n: int, degree: str, title: str) -> DataF
     """Entities without the ``n`` best connected ones (a distributed top-n and an anti join)."""
     top = entities.orderBy(F.desc(degree), title).limit(n).select(title)
     return entities.join(top, title, "left_anti")
-
-
-def kmeans_labels(features: DataFrame, item: str, k: int, seed: int = 42) -> DataFrame:
-    model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="label").fit(features)
-    return model.transform(features).select(item, F.col("label").cast("int").alias("label"))

@@ -1,41 +1,75 @@
-"""Which texts contain which titles, without comparing every text with every title."""
+"""Which texts contain which titles: every text is run once over an automaton of all titles.
+
+Titles are dealt into shards of a bounded number of characters; a shard's automaton is built in each task, so what is
+sent never grows with the dictionary. Texts stay where they are read: no text, word or piece of one is shuffled.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+from collections.abc import Iterator
+
+import ahocorasick
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkstone.functions import text as X
+SHARD_CHARS = 2_000_000  # characters of the titles of an automaton
+SLICE_BYTES = 4_000_000  # of text that Python holds at once
+
+_BUILT: dict[str, ahocorasick.Automaton] = {}
+
 
-RUN = r"([\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+)"  # word runs and symbol runs
-KEY_LEN = 6
+def title_shards(titles: DataFrame, title: str) -> Iterator[list[str]]:
+    """The distinct titles that are not empty, in sorted lists of about ``SHARD_CHARS`` characters."""
+    t = titles.select(F.col(title).alias("t")).where("t <> ''").distinct()
+    chars = t.agg(F.sum(F.length("t"))).first()[0] or 0
+    shards = -(-int(chars) // SHARD_CHARS)
+    for s in range(shards):
+        yield sorted(r["t"] for r in t.where(F.pmod(F.xxhash64("t"), F.lit(shards)) == s).toLocalIterator())
 
 
-def _runs(c: Column) -> Column:
-    return F.regexp_extract_all(c, F.lit(RUN), F.lit(1))
+def automaton(patterns: list[str]) -> ahocorasick.Automaton:
+    """The automaton of ``patterns``; its values are their places in the list. A worker keeps the last one it built."""
+    key = hashlib.md5("\0".join(patterns).encode("utf-8", "surrogatepass")).hexdigest()
+    if key not in _BUILT:
+        made = ahocorasick.Automaton()
+        for i, p in enumerate(patterns):
+            made.add_word(p, i)
+        made.make_automaton()
+        _BUILT.clear()
+        _BUILT[key] = made
+    return _BUILT[key]
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices whose texts have about ``SLICE_BYTES`` together, one longer text alone."""
+    for b in batches:
+        sizes = np.array([0 if x is None else x for x in pa.compute.binary_length(b.column(column)).to_pylist()], np.int64)
+        at = 0
+        while at < b.num_rows:
+            step = max(1, int(np.searchsorted(np.cumsum(sizes[at:]), SLICE_BYTES, side="right")))
+            yield b.slice(at, step)
+            at += step
 
 
 def contains_join(texts: DataFrame, key: list[str], text: str, titles: DataFrame, title: str) -> DataFrame:
-    """(key.., title) for every text that contains the title as a substring, exactly once.
-
-    Each distinct run of the corpus is matched once: its pieces meet the first characters of each
-    title's longest run in an equi join, then whole runs are checked. A title of one run needs
-    nothing more; others are verified on the texts that hold their anchor run.
-    """
-    runs = texts.select(*key, F.explode(F.array_distinct(_runs(F.col(text)))).alias("run"))
-    vocab = runs.select("run").distinct()
-    longest = F.array_sort(F.transform(_runs(F.col(title)), lambda r: F.struct((-F.length(r)).alias("l"), r.alias("r"))))
-    t = titles.select(title).distinct().select(
-        title, F.get(longest, F.lit(0))["r"].alias("anchor"), (F.size(longest) > 1).alias("several")).where("anchor is not null")
-    t = t.withColumn("piece", F.substring("anchor", 1, KEY_LEN))
-    # only piece lengths some title uses (at most KEY_LEN numbers in one row) are cut from the runs
-    lens = t.agg(F.collect_set(F.length("piece")).alias("lens"))
-    sized = vocab.join(F.broadcast(lens)).select("run", F.explode("lens").alias("n")).where(F.length("run") >= F.col("n"))
-    at = sized.select("run", "n", F.explode(F.sequence(F.lit(1), F.length("run") - F.col("n") + 1)).alias("p"))
-    pieces = at.select("run", F.substr("run", F.col("p"), F.col("n")).alias("piece")).distinct()
-    hit = pieces.join(t, "piece").where(F.contains("run", "anchor"))
-    hit = hit.select("run", title, "several")
-    cand = runs.join(hit, "run").select(*key, title, "several").distinct()
-    sure = cand.where(~F.col("several")).select(*key, title)
-    check = cand.where("several").join(texts.select(*key, F.col(text).alias("_t")), key).where(F.contains("_t", F.col(title))).select(*key, title)
-    return sure.unionByName(check)
+    """(key.., title) for every text that contains the title as a substring, exactly once for each row of ``texts``."""
+    rows = texts.select(*key, F.col(text).cast("string").alias("_text"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*key).schema)
+    out = None
+    for patterns in title_shards(titles, title):
+
+        def scan(batches: Iterator[pa.RecordBatch], patterns=patterns) -> Iterator[pa.RecordBatch]:
+            made, names = automaton(patterns), pa.array(patterns, pa.string())
+            for b in text_slices(batches, "_text"):
+                hits = [sorted({i for _, i in made.iter(s)}) if s else [] for s in b.column("_text").to_pylist()]
+                sizes = [len(h) for h in hits]
+                rows = pa.array(np.repeat(np.arange(b.num_rows), sizes))
+                found = pa.array([i for h in hits for i in h], pa.int64())
+                yield pa.RecordBatch.from_arrays([*(b.column(k).take(rows) for k in key), names.take(found)], names=[*key, title])
+
+        found = rows.mapInArrow(scan, f"{kinds}, `{title}` string")
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else rows.select(*key, F.col("_text").alias(title)).limit(0)

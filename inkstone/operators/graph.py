@@ -70,44 +70,120 @@ def largest_component(edges: DataFrame) -> DataFrame:
     return c.join(F.broadcast(best)).select("title", "component", (F.col("component") == F.col("best")).alias("kept"))  # one row
 
 
-def propagate(edges: DataFrame, rounds: int) -> DataFrame:
-    """(title, label) after rounds of weighted label propagation, smallest label on ties.
+EPS = 1e-12  # of modularity: less is rounding
 
-    Every second vertex (by hash) moves in a round, which keeps two-sided parts from swapping
-    labels for ever. Neighbour votes are partial sums, so a hub is no single task.
-    """
-    und = cut_lineage(both_ways(edges, "weight"))
-    lab = und.select(F.col("v").alias("title")).distinct().withColumn("label", F.col("title"))
-    for r in range(rounds):
-        seen = und.join(lab.select(F.col("title").alias("nbr"), "label"), "nbr").groupBy("v", "label").agg(F.sum("weight").alias("w"))
-        best = seen.groupBy("v").agg(F.min(F.struct((-F.col("w")).alias("w"), F.col("label").alias("label"))).alias("b")).select(
-            F.col("v").alias("title"), F.col("b.label").alias("new"))
-        moves = F.pmod(F.xxhash64("title"), F.lit(2)) == r % 2
-        lab = cut_lineage(lab.join(best, "title", "left").select("title", F.when(moves & F.col("new").isNotNull(), F.col("new")).otherwise(F.col("label")).alias("label")))
-    return lab
+
+def _quality(und: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(part, q): modularity of each part's labels. ``nodes`` (part, v, label, k, own): degree and weight of self-loops."""
+    ends = und.join(nodes.select("part", F.col("v").alias("nbr"), F.col("label").alias("c")), ["part", "nbr"]).join(
+        nodes.select("part", "v", "label"), ["part", "v"])
+    inner = ends.where("c = label").groupBy("part").agg(F.sum("weight").alias("w"))
+    tot = nodes.groupBy("part", "label").agg(F.sum("k").alias("t"), F.sum("own").alias("o"))
+    per = tot.groupBy("part").agg(F.sum("t").alias("m2"), F.sum(F.col("t") * F.col("t")).alias("t2"), F.sum("o").alias("o"))
+    return per.join(inner, "part", "left").select(
+        "part", ((F.coalesce("w", F.lit(0.0)) + F.col("o")) / F.col("m2") - F.col("t2") / (F.col("m2") * F.col("m2"))).alias("q"))
 
 
-def community_labels(edges: DataFrame, max_size: int, rounds: int = 6, levels: int = 3) -> DataFrame:
-    """(title, level, label): communities; oversized ones are propagated again on their inner edges.
+def improving_moves(und: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(part, v, new, gain): for each vertex the neighbouring community it gains most modularity by joining, if any.
 
-    A part that does not get smaller stays as it is. Labels of a level extend the parent's label.
+    Neighbour weights are partial sums, so a hub is no single task. Smaller labels win ties.
+    """
+    link = und.join(nodes.select("part", F.col("v").alias("nbr"), F.col("label").alias("c")), ["part", "nbr"]).groupBy("part", "v", "c").agg(F.sum("weight").alias("w"))
+    tot = nodes.groupBy("part", "label").agg(F.sum("k").alias("t"))
+    m2 = tot.groupBy("part").agg(F.sum("t").alias("m2"))
+    own = nodes.join(tot, ["part", "label"]).join(m2, "part").select("part", "v", "label", "k", "t", "m2")
+    j = link.join(own, ["part", "v"]).join(tot.select("part", F.col("label").alias("c"), F.col("t").alias("tc")), ["part", "c"])
+    there = F.col("c") == F.col("label")
+    to = F.col("w") - F.col("k") * F.col("tc") / F.col("m2")
+    stay = F.coalesce(F.max(F.when(there, F.col("w"))), F.lit(0.0)) - F.any_value("k") * (F.any_value("t") - F.any_value("k")) / F.any_value("m2")
+    best = j.groupBy("part", "v").agg(F.min(F.when(~there, F.struct((-to).alias("s"), F.col("c").alias("c")))).alias("b"), stay.alias("stay"), F.any_value("m2").alias("m2"))
+    gain = 2 * (-F.col("b.s") - F.col("stay")) / F.col("m2")
+    return best.where("b IS NOT NULL").select("part", "v", F.col("b.c").alias("new"), gain.alias("gain")).where(F.col("gain") > EPS)
+
+
+def _settle(und: DataFrame, nodes: DataFrame) -> tuple[DataFrame, bool]:
+    """Moves vertices until no move gains; the nodes with their labels, and whether any moved.
+
+    Vertices move together, a share of them by hash; a part keeps its moves only if they raised its modularity, else
+    its share falls, at last to its single best move. So modularity rises in every kept round and the loop ends.
+    """
+    moved = False
+    state = cut_lineage(_quality(und, nodes).withColumn("share", F.lit(0.5)).withColumn("ended", F.lit(False)))
+    turn = 0
+    while True:
+        open_parts = state.where("NOT ended").select("part", "share")
+        cand = cut_lineage(improving_moves(und.join(open_parts.select("part"), "part", "left_semi"), nodes))
+        if cand.isEmpty():
+            return nodes, moved
+        turn += 1
+        first = cand.groupBy("part").agg(F.min(F.struct((-F.col("gain")).alias("g"), F.col("v").alias("v"))).alias("b")).select("part", F.col("b.v").alias("best"))
+        luck = F.pmod(F.xxhash64("v", F.lit(turn)), F.lit(1 << 20)) / float(1 << 20)
+        chosen = cand.join(open_parts, "part").join(first, "part").where((F.col("v") == F.col("best")) | (luck < F.col("share"))).select("part", "v", "new")
+        trial = cut_lineage(nodes.join(chosen, ["part", "v"], "left").withColumn("label", F.coalesce("new", "label")).drop("new"))
+        after = _quality(und, trial).withColumnRenamed("q", "q1").join(cand.select("part").distinct().withColumn("tried", F.lit(True)), "part", "left")
+        s = state.join(after, "part").withColumn("up", F.col("q1") > F.col("q") + EPS)
+        state = cut_lineage(s.select(
+            "part", F.when(F.col("up"), F.col("q1")).otherwise(F.col("q")).alias("q"),
+            F.when(F.col("up"), F.least(F.lit(0.5), F.col("share") * 2 + 0.01)).when(F.col("share") < 0.001, 0.0).otherwise(F.col("share") / 4).alias("share"),
+            (F.col("ended") | F.col("tried").isNull() | (~F.col("up") & (F.col("share") == 0.0))).alias("ended"), "up"))
+        up = state.where("up").select("part")
+        if not up.isEmpty():
+            moved = True
+            nodes = cut_lineage(trial.join(up, "part", "left_semi").unionByName(nodes.join(up, "part", "left_anti")))
+        state = state.drop("up")
+
+
+def communities(edges: DataFrame) -> DataFrame:
+    """(part, v, label): communities of each part's graph at which neither a vertex nor a whole community gains by moving.
+
+    ``edges`` (part, source, target, weight). Vertices move to a neighbour's community while that raises modularity;
+    then communities are contracted to vertices that move in the same way; both repeat until nothing moves.
+    """
+    e = edges.where("source <> target").groupBy("part", F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).agg(F.sum("weight").alias("weight"))
+    und = cut_lineage(e.select("part", F.inline(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("nbr"), "weight"), F.struct(F.col("b").alias("v"), F.col("a").alias("nbr"), "weight")))))
+    nodes = cut_lineage(und.groupBy("part", "v").agg(F.sum("weight").alias("k")).select("part", "v", F.col("v").alias("label"), "k", F.lit(0.0).alias("own")))
+    while True:
+        nodes, _ = _settle(und, nodes)
+        ends = und.join(nodes.select("part", "v", "label"), ["part", "v"]).join(nodes.select("part", F.col("v").alias("nbr"), F.col("label").alias("c")), ["part", "nbr"])
+        between = ends.groupBy("part", "label", "c").agg(F.sum("weight").alias("weight"))
+        merged = cut_lineage(between.where("label <> c").select("part", F.col("label").alias("v"), F.col("c").alias("nbr"), "weight"))
+        inner = between.where("label = c").select("part", F.col("label").alias("v"), F.col("weight").alias("own"))
+        above = cut_lineage(nodes.groupBy("part", F.col("label").alias("v")).agg(F.sum("k").alias("k")).join(inner, ["part", "v"], "left").select(
+            "part", "v", F.col("v").alias("label"), "k", F.coalesce("own", F.lit(0.0)).alias("own")))
+        above, moved = _settle(merged, above)
+        if not moved:
+            return nodes.select("part", "v", "label")
+        nodes = cut_lineage(nodes.join(above.select("part", F.col("v").alias("label"), F.col("label").alias("up")), ["part", "label"]).select(
+            "part", "v", F.col("up").alias("label"), "k", "own"))
+
+
+def community_labels(edges: DataFrame, max_size: int) -> DataFrame:
+    """(title, level, label): communities by modularity; those above ``max_size`` are divided on their inner edges.
+
+    All of a level's oversized communities are divided together, until every one fits or none of them can be divided:
+    a part whose best division is itself stays. Labels of a level extend the parent's label.
     """
-    level = 0
-    lab = propagate(edges, rounds).select("title", F.lit(level).alias("level"), "label")
-    out, cur = lab, lab
-    while level + 1 < levels:
+    level, out = 0, None
+    cur = communities(edges.select(F.lit("").alias("part"), "source", "target", "weight")).select(F.col("v").alias("title"), "label")
+    while True:
+        cur = cut_lineage(cur)
+        rows = cur.withColumn("level", F.lit(level)).select("title", "level", "label")
+        out = rows if out is None else out.unionByName(rows)
         big = cur.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") > max_size).select("label")
-        inside = cur.join(big, "label")
-        inner = edges.join(inside.select(F.col("title").alias("source"), F.col("label").alias("p")), "source").join(
-            inside.select(F.col("title").alias("target"), F.col("label").alias("q")), "target").where("p = q").select("source", "target", "weight")
+        inside = cut_lineage(cur.join(big, "label"))
+        inner = edges.join(inside.select(F.col("title").alias("source"), F.col("label").alias("part")), "source").join(
+            inside.select(F.col("title").alias("target"), F.col("label").alias("q")), "target").where("part = q AND source <> target").select("part", "source", "target", "weight")
         inner = cut_lineage(inner)
         if inner.isEmpty():
-            break
+            return out
+        sub = cut_lineage(communities(inner))
+        several = sub.groupBy("part").agg(F.count_distinct("label").alias("n")).where("n > 1").select("part")
+        sub = sub.join(several, "part", "left_semi")
+        if sub.isEmpty():
+            return out
         level += 1
-        sub = propagate(inner, rounds).join(inside.select("title", F.col("label").alias("parent")), "title")
-        cur = cut_lineage(sub.select("title", F.lit(level).alias("level"), F.concat("parent", F.lit("/"), "label").alias("label")))
-        out = out.unionByName(cur)
-    return out
+        cur = sub.select(F.col("v").alias("title"), F.concat("part", F.lit("/"), "label").alias("label"))
 
 
 def hierarchy(communities: DataFrame) -> DataFrame:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkstone.functions import constants as K
 from inkstone.functions import text as X
 from inkstone.functions import vectors as VEC
+from inkstone.operators.blocked import matrix, product
 from inkstone.operators.contains import contains_join
 from inkstone.operators.folds import fold_sorted
 from inkstone.operators.graph import components
@@ -62,26 +67,76 @@ def prepared(figures: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame
     return f, n.join(maxd, "doc_id")
 
 
-def _best(pairs: DataFrame) -> DataFrame:
-    """Best title per figure, smaller title on ties; partial aggregation, pairs are never stored."""
-    b = match_score(pairs).groupBy("doc_id", "row").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("title").alias("title"))).alias("b"))
-    return b.select("doc_id", "row", F.col("b.title").alias("match"), (-F.col("b.s")).alias("score"))
+MATCHES = "doc_id long, row int, tier string, match string, score double"
+
+
+def _starts(tokens: list[str], ranked: list[tuple[str, int]], names: list[str], known: set[str], owners: dict[str, list[int]]) -> set[int]:
+    """Nodes with a variant that a token starts or that starts a token; ``ranked`` are (variant, node) in order of ``names``."""
+    out: set[int] = set()
+    for tok in tokens:
+        at = bisect_left(names, tok)
+        while at < len(names) and names[at].startswith(tok):
+            out.add(ranked[at][1])
+            at += 1
+        for end in range(K.MIN_NAME_LEN, len(tok)):
+            if tok[:end] in known:
+                out.update(owners[tok[:end]])
+    return out
+
+
+def _settle(figures: pa.Table, nodes: pa.Table, local: float, cascade: float) -> pa.Table:
+    """The figures of one document against its nodes: one matrix product for a block of figures, the best node of each."""
+    titles = nodes.column("title").to_pylist()
+    order = sorted(range(len(titles)), key=titles.__getitem__)  # ties go to the smaller title
+    nodes, titles = nodes.take(pa.array(order, pa.int64())), [titles[i] for i in order]
+    vectors = matrix(nodes.column("ent_vec"))
+    degree = nodes.column("degree").to_numpy().astype(np.float64)
+    top = degree.max(initial=0.0)
+    hub = degree / top * K.HUB_PENALTY if top > 0 else np.zeros(len(titles))
+    place = {t: i for i, t in enumerate(titles)}
+    owners: dict[str, list[int]] = {}
+    for i, vs in enumerate(nodes.column("variants").to_pylist()):
+        for v in vs:
+            owners.setdefault(v, []).append(i)
+    ranked = sorted((v, i) for v, who in owners.items() for i in who)
+    names = [v for v, _ in ranked]
+    out = []
+    for at in range(0, figures.num_rows, FIGURES):
+        part = figures.slice(at, FIGURES)
+        cosine = product(matrix(part.column("cap_vec")), vectors)
+        for i, (row, toks, wanted) in enumerate(zip(*(part.column(c).to_pylist() for c in ("row", "toks", "wanted")))):
+            score = cosine[i] - hub
+            bonus = np.array(sorted(_starts(toks, ranked, names, owners.keys(), owners)), np.int64)
+            score[bonus] = cosine[i][bonus] + K.NAME_BONUS - hub[bonus]
+            near = np.array(sorted(place[w] for w in wanted or () if w in place), np.int64)
+            best = near[score[near].argmax()] if len(near) else None
+            tier = "local" if best is not None and score[best] >= local else None
+            if tier is None and len(score):
+                best = score.argmax()
+                tier = "cascade" if score[best] >= cascade else "unplaced"
+            if tier:
+                out.append((row, tier, None if tier == "unplaced" else titles[best], float(score[best])))
+    doc = figures.column("doc_id")[0].as_py() if figures.num_rows else None
+    columns = list(zip(*out)) or [()] * 4
+    return pa.table([pa.array([doc] * len(out), pa.int64()), *(pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.string(), pa.string(), pa.float64())))],
+                    names=["doc_id", "row", "tier", "match", "score"])
+
+
+FIGURES = 512  # figures of a document multiplied at once
 
 
 def match_cascade(figures: DataFrame, candidates: DataFrame, nodes: DataFrame,
                   local: float = K.SCORE_LOCAL, cascade: float = K.SCORE_CASCADE) -> DataFrame:
     """(doc_id, row, tier, match, score): page-window pool first, then every node of the document.
 
-    Only figures the first pool did not settle reach the second pass.
+    A figure meets the nodes of its own document in blocked matrix products; no pair of figure and node is a row.
     """
-    named, ent = prepared(figures.where(X.strip(F.col("caption")) != ""), nodes)
-    first = _best(named.join(candidates, ["doc_id", "row"]).join(ent, ["doc_id", "title"])).where(F.col("score") >= local)
-    rest = named.join(first, ["doc_id", "row"], "left_anti")
-    second = _best(rest.join(ent, "doc_id"))
-    ok = F.col("score") >= cascade
-    tiered = (
-        first.select("doc_id", "row", F.lit("local").alias("tier"), "match", "score")
-        .unionByName(second.select("doc_id", "row", F.when(ok, "cascade").otherwise("unplaced").alias("tier"), F.when(ok, F.col("match")).alias("match"), "score")))
+    toks = F.filter(X.words(F.col("cap_title")), lambda x: F.length(x) >= K.MIN_NAME_LEN)
+    pool = candidates.groupBy("doc_id", "row").agg(F.collect_set("title").alias("wanted"))  # titles of a few pages
+    f = figures.where(X.strip(F.col("caption")) != "").select("doc_id", "row", "cap_vec", toks.alias("toks")).join(pool, ["doc_id", "row"], "left")
+    variants = F.filter(X.surface_variants(F.col("title")), lambda v: F.length(v) >= K.MIN_NAME_LEN)
+    n = nodes.select("doc_id", "title", "degree", "ent_vec", variants.alias("variants"))
+    tiered = f.groupBy("doc_id").cogroup(n.groupBy("doc_id")).applyInArrow(lambda a, b: _settle(a, b, local, cascade), MATCHES)
     return figures.select("doc_id", "row").join(tiered, ["doc_id", "row"], "left").select(
         "doc_id", "row", F.coalesce("tier", F.lit("unplaced")).alias("tier"), "match", F.coalesce("score", F.lit(0.0)).alias("score"))
 
@@ -202,30 +257,29 @@ def box_cleanup(boxes: DataFrame) -> DataFrame:
     return live.join(gone, ["image", "idx"], "left_anti")
 
 
-def caption_boxes(figures: DataFrame, captions: DataFrame) -> DataFrame:
-    """(image, fig, cap): nearest caption below with horizontal overlap, figures served in order.
+def caption_boxes(figures: DataFrame, captions: DataFrame, cell: int = 512) -> DataFrame:
+    """(image, fig, cap): nearest caption below with horizontal overlap, figures served in order, a caption given once.
 
-    Candidates come from an equi join and are cut by geometry first; an image holds a bounded
-    number of detected boxes, and only its surviving candidates reach the greedy pass.
+    Boxes meet only in strips of ``cell`` pixels they share, a pair in the first of them. In each round every figure
+    takes its best caption left if no earlier figure that is still open has that caption among its own: so it gets what
+    it would get in its turn. The first open figure of an image always can, and far more do in one round.
     """
-    j = figures.alias("f").join(captions.alias("c"), "image")
-    over = F.least("f.x1", "c.x1") - F.greatest("f.x0", "c.x0")
-    gap = F.col("c.y0") - F.col("f.y1")
-    tall = F.greatest(F.lit(1), F.col("f.y1") - F.col("f.y0"))
-    cand = j.where((over > 0) & (gap >= -tall * 0.5)).select(
-        "image", F.col("f.idx").alias("fig"), F.col("c.idx").alias("cap"), F.abs(gap).alias("gap"), (-over).alias("neg_over"))
-
-    def greedy(key, rows):
-        caps: set[int] = set()
-        done: set[int] = set()
-        for _, fig, _gap, _over, cap in rows:
-            if fig not in done and cap not in caps:
-                done.add(fig)
-                caps.add(cap)
-                yield key[0], fig, cap
+    def strips(df: DataFrame, name: str) -> DataFrame:
+        return df.select("image", F.struct("idx", "x0", "y0", "x1", "y1").alias(name), F.explode(F.sequence(F.floor(F.col("x0") / cell), F.floor(F.greatest("x0", "x1") / cell))).alias("strip"))
 
-    cand = cand.select("image", "fig", "gap", "neg_over", "cap")
-    return fold_sorted(cand, ["image"], ["fig", "gap", "neg_over", "cap"], greedy, "image long, fig int, cap int")
+    left = F.greatest("f.x0", "c.x0")
+    over, gap = F.least("f.x1", "c.x1") - left, F.col("c.y0") - F.col("f.y1")
+    tall = F.greatest(F.lit(1), F.col("f.y1") - F.col("f.y0"))
+    met = strips(figures, "f").join(strips(captions, "c"), ["image", "strip"]).where((over > 0) & (gap >= -tall * 0.5) & (F.col("strip") == F.floor(left / cell)))
+    live = cut_lineage(met.select("image", F.col("f.idx").alias("fig"), F.col("c.idx").alias("cap"), F.struct(F.abs(gap).alias("gap"), (-over).alias("neg_over"), F.col("c.idx").alias("cap")).alias("choice")))
+    out = live.select("image", "fig", "cap").limit(0)
+    while not live.isEmpty():
+        best = live.groupBy("image", "fig").agg(F.min("choice")["cap"].alias("cap"))
+        first = live.groupBy("image", "cap").agg(F.min("fig").alias("first"))
+        won = cut_lineage(best.join(first, ["image", "cap"]).where(F.col("fig") == F.col("first")).select("image", "fig", "cap"))
+        out = out.unionByName(won)
+        live = cut_lineage(live.join(won.select("image", "fig"), ["image", "fig"], "left_anti").join(won.select("image", "cap"), ["image", "cap"], "left_anti"))
+    return out
 
 
 def box_merge(boxes: DataFrame, gap: int, cell: int = 512) -> DataFrame:
@@ -302,18 +356,6 @@ def orphans(entities: DataFrame, members: DataFrame, key: str) -> DataFrame:
     return entities.join(members.select(key).distinct(), key, "left_anti")
 
 
-def nearest_centroid(rows: DataFrame, vector: str, centroids: DataFrame, label: str, max_centroids: int = 4096) -> DataFrame:
-    """Adds the label of the nearest centroid by cosine (smallest label on ties) and the similarity.
-
-    Centroids are one per room; their number is checked before they travel to every task.
-    """
-    packed = centroids.agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct(F.col(label).alias("l"), F.col("centroid").alias("c")))).alias("cs"))
-    packed = packed.select(F.when(F.col("n") > max_centroids, F.raise_error(F.lit("too many centroids to send to every task"))).otherwise(F.col("cs")).alias("cs"))
-    j = rows.withColumn("_v", VEC.normalize(F.col(vector))).join(F.broadcast(packed))
-    scored = F.transform("cs", lambda c: F.struct((-VEC.dot(c["c"], F.col("_v"))).alias("s"), c["l"].alias("l")))
-    return j.withColumn("_b", F.array_min(scored)).select(*rows.columns, F.col("_b.l").alias("home"), (-F.col("_b.s")).alias("sim"))
-
-
 def room_edges(edges: DataFrame, kept: DataFrame) -> DataFrame:
     """Edges whose two ends are kept in the same room of their document; null weights stay."""
     k = kept.select("doc_id", "section", "title", "ord")

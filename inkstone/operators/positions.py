@@ -5,61 +5,165 @@ Every operator is keyed by ``doc_id``. Groups are the rows of one document, boun
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkstone.functions import text as X
+from inkstone.operators.contains import automaton, text_slices, title_shards
 
 MAX_POS = 10**9
 
 
-def chunk_spans(chunks: DataFrame, docs: DataFrame) -> DataFrame:
+def chunk_spans(docs: DataFrame, chunks: Column) -> DataFrame:
     """(doc_id, chunk_no, cs, ce): located by the first 100, then 50 characters; -1 when absent.
 
-    Only a chunk's head and length travel to the join, never its whole text.
+    ``chunks`` is an expression over a row of ``docs``, an array of (chunk_no, text): each document is placed in its
+    own row, so neither it nor a chunk's text is joined or copied.
     """
-    heads = chunks.select(
-        "doc_id", "chunk_no", X.strip(F.substring("text", 1, 100)).alias("h100"),
-        X.strip(F.substring("text", 1, 50)).alias("h50"), F.length("text").alias("len"))
-    j = heads.join(docs.select("doc_id", F.col("text").alias("doc")), "doc_id")
-    first = X.find(F.col("doc"), F.col("h100"))
-    cs = F.when(first >= 0, first).otherwise(X.find(F.col("doc"), F.col("h50")))
-    return j.select("doc_id", "chunk_no", cs.alias("cs"), "len").select(
+    def place(c: Column) -> Column:
+        h100, h50 = X.strip(F.substring(c["text"], 1, 100)), X.strip(F.substring(c["text"], 1, 50))
+        cs = X.let(X.find(F.col("text"), h100), lambda at: F.when(at >= 0, at).otherwise(X.find(F.col("text"), h50)))
+        return F.struct(c["chunk_no"].alias("chunk_no"), cs.cast("int").alias("cs"), F.length(c["text"]).alias("len"))
+
+    return docs.select("doc_id", F.inline(F.transform(chunks, place))).select(
         "doc_id", "chunk_no", "cs", F.when(F.col("cs") >= 0, F.col("cs") + F.col("len")).otherwise(-1).alias("ce"))
 
 
-def mention_counts(occ: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(doc_id, title, chunk_no, cnt): non-overlapping hits summed over surface variants."""
-    j = occ.join(chunks.select("doc_id", "chunk_no", "text"), ["doc_id", "chunk_no"])
-    per_variant = F.transform(X.surface_variants(F.col("title")), lambda v: (
-        (F.length(F.col("text")) - F.length(F.replace(F.col("text"), v, F.lit("")))) / F.length(v)).cast("int"))
-    total = F.aggregate(per_variant, F.lit(0), lambda a, x: a + x)
-    return j.select("doc_id", "title", "chunk_no", total.alias("cnt"))
+def letters() -> np.ndarray:
+    if not _LETTER:
+        _LETTER.append(np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000))
+    return _LETTER[0]
+
+
+_LETTER: list[np.ndarray] = []
+BLANKS = np.array([9, 10, 12, 13, 32], np.uint32)  # between tokens
 
 
-def first_occurrence(ents: DataFrame, docs: DataFrame) -> DataFrame:
-    """(doc_id, title, fine): smallest offset of any surface variant, -1 when none occurs."""
-    j = ents.select("doc_id", "title").distinct().join(docs.select("doc_id", "text"), "doc_id")
-    hits = F.filter(F.transform(X.surface_variants(F.col("title")), lambda v: F.instr(F.col("text"), v) - 1), lambda p: p >= 0)
-    return j.select("doc_id", "title", F.coalesce(F.array_min(hits), F.lit(-1)).alias("fine"))
+def windows(codes: np.ndarray, size: int, overlap: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end offsets of a text's token windows; a token keeps the blanks after it."""
+    blank = np.isin(codes, BLANKS)
+    tokens = np.flatnonzero(~blank & np.r_[True, blank[:-1]]) if len(codes) else np.empty(0, np.int64)
+    first = np.arange(0, len(tokens), size - overlap)
+    edges = np.r_[tokens, len(codes)]
+    return tokens[first], edges[np.minimum(first + size, len(tokens))]
 
 
-def entity_positions(occ: DataFrame, chunks: DataFrame, docs: DataFrame, degrees: DataFrame | None = None) -> DataFrame:
-    """First, modal, centroid and fine position per entity, with the fallbacks between them."""
-    spans = chunk_spans(chunks, docs).select("doc_id", "chunk_no", "cs")
-    hit = mention_counts(occ, chunks).join(spans, ["doc_id", "chunk_no"], "left")
+def disjoint(start: np.ndarray, length: int) -> int:
+    """How many hits of one pattern ``length`` long don't overlap, taken from the left; ``start`` is sorted."""
+    n, free = 0, -1
+    for s in start.tolist():
+        if s >= free:
+            n, free = n + 1, s + length
+    return n
+
+
+def postings(docs: DataFrame, titles: DataFrame, size: int, overlap: int) -> DataFrame:
+    """(doc_id, title, chunk_no, at, cnt, fine): the positional index of the titles over token windows.
+
+    A row for each chunk that has a surface variant of the title as a word. ``at`` is where the first such word starts
+    in the document, ``cnt`` the non-overlapping hits in the chunk summed over the variants, as words or inside words,
+    ``fine`` the first offset of any variant in the document. Every text is scanned once for each shard of titles by an
+    automaton of all variants; only whole numbers leave the scan.
+    """
+    listed = titles.select("title").distinct().withColumn("v", F.explode(X.surface_variants(F.col("title"))))
+    out = None
+    for names in title_shards(listed, "title"):
+        pairs = titles.sparkSession.createDataFrame([(n,) for n in names], "title string").select(
+            "title", F.explode(X.surface_variants(F.col("title"))).alias("v")).toLocalIterator()
+        place = {n: i for i, n in enumerate(names)}
+        owners: dict[str, list[int]] = {}
+        for r in pairs:
+            owners.setdefault(r["v"], []).append(place[r["title"]])
+        patterns = sorted(owners)
+        found = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
+            _scan(names, patterns, [owners[p] for p in patterns], size, overlap), POSTINGS)
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else docs.sparkSession.createDataFrame([], POSTINGS)
+
+
+POSTINGS = "doc_id long, title string, chunk_no int, at int, cnt int, fine int"
+
+
+def _scan(names: list[str], patterns: list[str], owners: list[list[int]], size: int, overlap: int):
+    lengths = np.array([len(p) for p in patterns], np.int64)
+    many = np.array([len(o) for o in owners], np.int64)
+    first, owner = np.concatenate([[0], np.cumsum(many)])[:-1], np.array([o for os in owners for o in os], np.int64)
+
+    def one(text: str, made) -> tuple[np.ndarray, ...]:
+        """(title, chunk, at, cnt, fine) of a text."""
+        hits = np.fromiter((end * len(patterns) + i for end, i in made.iter(text)), np.int64)
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        end, pattern = hits // len(patterns) + 1, hits % len(patterns)
+        start = end - lengths[pattern]
+        row = np.repeat(np.arange(len(hits)), many[pattern])  # a hit for each title the variant belongs to
+        title = owner[first[pattern[row]] + np.arange(len(row)) - np.repeat(np.cumsum(many[pattern]) - many[pattern], many[pattern])]
+        fine = np.full(len(names), len(text), np.int64)
+        np.minimum.at(fine, title, start[row])
+        letter = np.r_[letters()[codes], False]
+        word = ~((letter[start - 1] & (start > 0)) | letter[end])
+        opens, closes = windows(codes, size, overlap)
+        low, high = np.searchsorted(closes, end), np.searchsorted(opens, start, side="right")  # chunks that hold the whole hit
+        inside = np.maximum(0, high - low)[row]
+        at = np.repeat(np.arange(len(row)), inside)
+        chunk = low[row][at] + np.arange(len(at)) - np.repeat(np.cumsum(inside) - inside, inside)
+        title, hit = title[at], row[at]
+        group, back = np.unique(title * len(opens) + chunk, return_inverse=True) if len(at) else (np.empty(0, np.int64), np.empty(0, np.int64))
+        head = np.full(len(group), len(text), np.int64)
+        seen = word[hit]
+        np.minimum.at(head, back[seen], start[hit][seen])
+        keep = head < len(text)
+        use = keep[back]
+        back, pattern, begin = back[use], pattern[hit][use], start[hit][use]
+        order = np.lexsort((begin, pattern, back))
+        back, pattern, begin = back[order], pattern[order], begin[order]
+        count = np.bincount(back, minlength=len(group))
+        new = np.r_[True, (back[1:] != back[:-1]) | (pattern[1:] != pattern[:-1])] if len(back) else np.empty(0, bool)
+        close = ~new & (np.r_[0, np.diff(begin)] < lengths[pattern]) if len(back) else new
+        runs = np.cumsum(new) - 1
+        edges = np.r_[np.flatnonzero(new), len(back)]
+        for r in np.unique(runs[close]):  # only a variant that overlaps itself is counted one by one
+            part = begin[edges[r]:edges[r + 1]]
+            count[back[edges[r]]] -= len(part) - disjoint(part, int(lengths[pattern[edges[r]]]))
+        title, chunk = group[keep] // max(1, len(opens)), group[keep] % max(1, len(opens))
+        return title, chunk, head[keep], count[keep], fine[title]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, table = automaton(patterns), pa.array(names, pa.string())
+        for b in text_slices(batches, "text"):
+            got = [one(t, made) if t else (np.empty(0, np.int64),) * 5 for t in b.column("text").to_pylist()]
+            rows = pa.array(np.repeat(np.arange(b.num_rows), [len(g[0]) for g in got]))
+            title, *numbers = (np.concatenate(x) for x in zip(*got))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(rows), table.take(pa.array(title)), *(pa.array(x.astype(np.int32)) for x in numbers)],
+                                             names=["doc_id", "title", "chunk_no", "at", "cnt", "fine"])
+
+    return run
+
+
+def first_occurrence(index: DataFrame) -> DataFrame:
+    """(doc_id, title, fine): smallest offset of any surface variant of a title the document lists."""
+    return index.groupBy("doc_id", "title").agg(F.min("fine").alias("fine"))
+
+
+def entity_positions(index: DataFrame, spans: DataFrame, degrees: DataFrame | None = None) -> DataFrame:
+    """First, modal, centroid and fine position per entity, with the fallbacks between them.
+
+    ``index`` as ``postings`` gives it. The centroid has two decimals, halves up, found from whole numbers.
+    """
+    hit = index.join(spans.select("doc_id", "chunk_no", "cs"), ["doc_id", "chunk_no"], "left")
     found = F.col("cs") >= 0
     cs, cnt = F.when(found, F.col("cs")), F.when(found, F.col("cnt"))
     g = hit.groupBy("doc_id", "title").agg(
-        F.count("*").cast("int").alias("n_text_units"),
-        F.min(cs).alias("pos_first"), F.max(cnt).alias("max_cnt"),
-        F.min(F.when(found, F.struct(-F.col("cnt"), F.col("cs").alias("cs")))).alias("best"),
-        F.sum(cnt * cs).alias("wsum"), F.sum(cnt).alias("w"), F.avg(cs).alias("mean"))
+        F.count("*").cast("int").alias("n_text_units"), F.min("fine").alias("fine"),
+        F.min(cs).alias("pos_first"), F.min(F.when(found, F.struct(-F.col("cnt"), F.col("cs").alias("cs")))).alias("best"),
+        F.sum(cnt * cs.cast("long")).alias("wsum"), F.sum(cnt).alias("w"))
     m = g.select(
-        "doc_id", "title", "n_text_units", F.coalesce("pos_first", F.lit(-1)).alias("pos_first"),
-        F.when(F.col("max_cnt") > 0, F.col("best.cs")).otherwise(F.coalesce("pos_first", F.lit(-1))).alias("pos_mode"),
-        F.round(F.when(F.col("max_cnt") > 0, F.col("wsum") / F.col("w")).otherwise(F.coalesce("mean", F.lit(-1.0))), 2).alias("pos_centroid"))
-    m = m.join(first_occurrence(occ, docs), ["doc_id", "title"])
+        "doc_id", "title", "n_text_units", "fine", F.coalesce("pos_first", F.lit(-1)).alias("pos_first"), F.coalesce("best.cs", F.lit(-1)).alias("pos_mode"),
+        F.coalesce(F.expr("((200 * wsum + w) div (2 * w)) / 100D"), F.lit(-1.0)).alias("pos_centroid"))
     if degrees is not None:
         m = m.join(degrees.select("doc_id", "title", "degree"), ["doc_id", "title"], "left")
     else:
@@ -71,33 +175,47 @@ def entity_positions(occ: DataFrame, chunks: DataFrame, docs: DataFrame, degrees
         F.coalesce("degree", F.lit(0)).alias("graph_degree"))
 
 
+RESOLVED = "doc_id long, idx int, name string, start_marker string, start_offset int, strategy string, hits int"
+
+
+def _resolve(markers: pa.Table, docs: pa.Table) -> pa.Table:
+    """The markers of one document in order: one scan finds where all of them occur, then each takes its next place."""
+    rows = markers.sort_by("idx").to_pydict()
+    known = sorted({m for c in ("marker", "bare") for m in rows[c] if m})
+    out: list[tuple] = []
+    for doc, text in zip(docs.column("doc_id").to_pylist(), docs.column("text").to_pylist()):
+        places: dict[str, list[int]] = {m: [] for m in known}
+        if known and text:
+            for end, i in automaton(known).iter(text):
+                places[known[i]].append(end + 1 - len(known[i]))
+
+        def after(marker: str, prev: int) -> int:
+            at = places.get(marker, [])
+            i = bisect_right(at, prev)
+            return at[i] if i < len(at) else -1
+
+        prev = -1
+        for idx, name, marker, bare in zip(rows["idx"], rows["name"], rows["marker"], rows["bare"]):
+            exact, loose = after(marker, prev), after(bare, prev)
+            if idx == 0:
+                at, how = 0, "forced_zero"
+            else:
+                at, how = (exact, "exact") if exact >= 0 else (loose, "stripped") if loose >= 0 else (-1, "unresolved")
+            prev = at if at >= 0 else prev
+            out.append((doc, idx, name, marker, at, how, disjoint(np.array(places.get(marker, []), np.int64), len(marker))))
+    return pa.table([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 7, (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32()))],
+                    names=["doc_id", "idx", "name", "start_marker", "start_offset", "strategy", "hits"])
+
+
 def resolve_markers(markers: DataFrame, docs: DataFrame) -> DataFrame:
     """Ordered fold per document: each marker is sought strictly after the previous resolved offset.
 
-    (doc_id, idx, name, start_marker, start_offset, strategy, hits). A document's table of
-    contents is one array, so the fold is a SQL aggregate inside its row.
+    (doc_id, idx, name, start_marker, start_offset, strategy, hits). A document meets its own markers once; a single
+    scan of its text finds all their places, so the work grows with the text and not with text times markers.
     """
-    toc = markers.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", "name", "start_marker"))).alias("toc"))
-    j = toc.join(docs.select("doc_id", "text"), "doc_id")
-    row = "struct<idx:int,name:string,start_marker:string,start_offset:int,strategy:string,hits:int>"
-    start = F.struct(F.lit(-1).alias("prev"), F.array().cast(f"array<{row}>").alias("done"))
-
-    def step(acc: Column, sec: Column) -> Column:
-        marker = F.regexp_replace(sec["start_marker"], r"\n+\z", "")
-        bare = X.strip(marker)
-        at = F.greatest(F.lit(0), acc["prev"] + 1) + 1
-        exact = F.when(marker == "", -1).otherwise(F.call_function("locate", marker, F.col("text"), at) - 1)
-        loose = F.when(bare == "", -1).otherwise(F.call_function("locate", bare, F.col("text"), at) - 1)
-        found = F.when(exact >= 0, exact).otherwise(loose)
-        first = sec["idx"] == 0
-        how = (F.when(first, "forced_zero").when(exact >= 0, "exact").when(loose >= 0, "stripped").otherwise("unresolved"))
-        off = F.when(first, 0).otherwise(found).cast("int")
-        out = F.struct(
-            sec["idx"].alias("idx"), X.strip(sec["name"]).alias("name"), marker.alias("start_marker"), off.alias("start_offset"),
-            how.alias("strategy"), X.count_of(F.col("text"), marker).alias("hits"))
-        return F.struct(F.when(off >= 0, off).otherwise(acc["prev"]).alias("prev"), F.concat(acc["done"], F.array(out)).alias("done"))
-
-    return j.select("doc_id", F.inline(F.aggregate("toc", start, step, lambda a: a["done"])))
+    marker = F.regexp_replace("start_marker", r"\n+\z", "")
+    m = markers.select("doc_id", "idx", X.strip(F.col("name")).alias("name"), marker.alias("marker"), X.strip(marker).alias("bare"))
+    return m.groupBy("doc_id").cogroup(docs.select("doc_id", "text").groupBy("doc_id")).applyInArrow(_resolve, RESOLVED)
 
 
 def section_spans(resolved: DataFrame, docs: DataFrame) -> DataFrame:
@@ -108,11 +226,13 @@ def section_spans(resolved: DataFrame, docs: DataFrame) -> DataFrame:
     s = s.withColumn("nxt", F.lead("start_offset").over(w)).withColumn("end_offset", F.coalesce("nxt", F.col("n_text")))
     ok = F.col("start_offset") >= 0
     step_ok = F.when(ok & (F.col("nxt") >= 0), F.col("start_offset") < F.col("nxt"))
+    again = ok & (F.col("start_offset") == F.lag("start_offset").over(Window.partitionBy("doc_id").orderBy("start_offset", "idx")))
+    s = s.withColumn("again", F.coalesce(again, F.lit(False)))
     return s.select(
         "doc_id", "idx", "name", "start_offset", "end_offset",
         F.when(ok, F.greatest(F.lit(0), F.col("end_offset") - F.col("start_offset"))).otherwise(0).alias("length_chars"),
         F.coalesce(F.every(step_ok).over(whole), F.lit(True)).alias("monotonic"),
-        (F.size(F.collect_set(F.when(ok, F.col("start_offset"))).over(whole)) == F.count(F.when(ok, 1)).over(whole)).alias("distinct"))
+        (~F.bool_or("again").over(whole)).alias("distinct"))
 
 
 def section_asof(points: DataFrame, sections: DataFrame, pos: str = "pos") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkstone.operators.folds import fold_sorted
+from inkstone.operators.ranking import full_rank
 
 EVIDENCE = ["kind", "source", "title", "topic", "text"]
 
@@ -93,13 +94,49 @@ def absorb_rooms(rooms: DataFrame, sections: DataFrame, min_kept: int, max_rooms
     return j.select("doc_id", "new_id", "host", "section", "title", "status", F.row_number().over(w).alias("rank"))
 
 
-def absorb_empty(sizes: DataFrame) -> DataFrame:
-    """(doc_id, idx, host): older rule, rooms without kept members join the next non-empty room, else the previous."""
-    w = Window.partitionBy("doc_id").orderBy("idx")
+def absorb_empty(rooms: DataFrame, sections: DataFrame) -> DataFrame:
+    """(doc_id, kind, new_id, ord, idx, title, n): older rule, rooms without kept members join the next room that has some, else the previous.
+
+    Rooms left are numbered anew. ``kept`` and ``demoted`` rows are members, a host's own demoted ones before those it
+    takes over, in order of their rooms; an ``absorbed`` row names a room that went and counts its demoted members. A
+    document without any kept member stays as it is.
+    """
+    n = rooms.groupBy("doc_id", F.col("section").alias("idx")).agg(
+        F.count_if(F.col("status") == "kept").alias("kept_n"), F.count_if(F.col("status") == "demoted").alias("demoted_n"))
+    s = sections.select("doc_id", "idx", "name").join(n, ["doc_id", "idx"], "left").fillna(0, ["kept_n", "demoted_n"])
+    w = Window.partitionBy("doc_id").orderBy("idx")  # the rooms of one document
     live = F.when(F.col("kept_n") > 0, F.col("idx"))
     nxt = F.first(live, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
     prv = F.last(live, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return sizes.select("doc_id", "idx", F.coalesce(nxt, prv, F.col("idx")).alias("host"))
+    s = s.withColumn("host", F.coalesce(nxt, prv, F.col("idx")))
+    stays = F.col("host") == F.col("idx")
+    s = s.withColumn("own_id", F.sum(stays.cast("int")).over(w) - 1)
+    s = s.withColumn("new_id", F.max(F.when(stays, F.col("own_id"))).over(Window.partitionBy("doc_id", "host")).cast("int"))
+    member = rooms.select("doc_id", F.col("section").alias("idx"), "title", "status", "rank").join(s.select("doc_id", "idx", "host", "new_id"), ["doc_id", "idx"])
+    rows = member.select("doc_id", F.col("status").alias("kind"), "new_id", "idx", "title", F.lit(None).cast("long").alias("n"), (~stays).alias("moved"), "rank").unionByName(
+        s.where(~stays).select("doc_id", F.lit("absorbed").alias("kind"), "new_id", "idx", F.col("name").alias("title"), F.col("demoted_n").alias("n"), F.lit(True).alias("moved"), F.lit(0).alias("rank")))
+    order = Window.partitionBy("doc_id", "new_id", "kind").orderBy("moved", "idx", "rank", "title")
+    return rows.select("doc_id", "kind", "new_id", F.row_number().over(order).alias("ord"), "idx", "title", "n")
+
+
+def frozen_input(entities: DataFrame, members: DataFrame, reports: DataFrame) -> DataFrame:
+    """(kind, id, ord, title, type, n, detail): everything a frozen grouping task is given, as rows.
+
+    ``entity`` rows are all entities with degree and description; ``community`` rows their reports with size and
+    summary; ``member`` rows every member of every community in entity order; ``uncovered`` rows the titles no
+    community has. entities(id, title, type, degree, description), members(community, id), reports(community, title, summary).
+    """
+    known = members.join(entities.select("id", "title"), "id")
+    size = members.groupBy("community").agg(F.count("*").alias("n"))
+    none = F.lit(None)
+    rows = entities.select(F.lit("entity").alias("kind"), "id", none.cast("long").alias("ord"), "title", "type", F.col("degree").cast("long").alias("n"), F.col("description").alias("detail"))
+    rows = rows.unionByName(reports.join(size, "community").select(
+        F.lit("community").alias("kind"), F.col("community").alias("id"), none.cast("long").alias("ord"), "title", none.cast("string").alias("type"), "n", F.col("summary").alias("detail")))
+    ranked = full_rank(known, ["community"], F.floor(F.col("id") / 100_000), ["id"], "ord")
+    rows = rows.unionByName(ranked.select(F.lit("member").alias("kind"), F.col("community").alias("id"), "ord", "title", none.cast("string").alias("type"), none.cast("long").alias("n"), none.cast("string").alias("detail")))
+    bare = entities.select("title").distinct().join(known.select("title").distinct(), "title", "left_anti")
+    return rows.unionByName(bare.select(F.lit("uncovered").alias("kind"), none.cast("long").alias("id"), none.cast("long").alias("ord"), "title", none.cast("string").alias("type"),
+                                        none.cast("long").alias("n"), none.cast("string").alias("detail")))
 
 
 def room_spec(rooms: DataFrame, sections: DataFrame) -> DataFrame:

@@ -43,14 +43,22 @@ def fold_unassigned(t):
     return lab.join(plan, "label")
 
 
-@query("cluster_quality")
+@query("cluster_quality", """WITH u AS (SELECT vec_id, label, unnest(range(len(v))) AS i, unnest(v) / greatest(sqrt(list_dot_product(v, v)), 1e-12) AS x FROM (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings)),
+  l AS (SELECT vec_id, 'given' AS method, label::VARCHAR AS label FROM embeddings UNION ALL SELECT vec_id, 'paired', (label // 2)::VARCHAR FROM embeddings
+    UNION ALL SELECT vec_id, 'dealt', (vec_id % 8)::VARCHAR FROM embeddings UNION ALL SELECT vec_id, 'lone', CASE WHEN vec_id = 7 THEN 'alone' ELSE (label % 3)::VARCHAR END FROM embeddings),
+  c AS (SELECT method, l.label, i, sum(x) AS x, count(*) AS n FROM l JOIN u USING (vec_id) GROUP BY ALL),
+  d AS (SELECT l.method, l.vec_id, l.label = c.label AS own, any_value(n) AS n, 1 - sum(u.x * c.x) / any_value(n) AS m FROM l JOIN u USING (vec_id) JOIN c ON c.method = l.method AND c.i = u.i GROUP BY l.method, l.vec_id, l.label, c.label),
+  p AS (SELECT method, vec_id, max(n) FILTER (own) AS n, max(m * n / (n - 1)) FILTER (own AND n > 1) AS a, min(m) FILTER (NOT own) AS b FROM d GROUP BY method, vec_id),
+  q AS (SELECT method, avg(CASE WHEN n = 1 OR b IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END) AS s FROM p GROUP BY method)
+  SELECT method, (SELECT count(DISTINCT label) FROM c WHERE c.method = q.method) AS clusters, round(s, 6) AS silhouette, method = (SELECT arg_max(method, s) FROM q) AS is_best FROM q""")
 def cluster_quality(t):
-    f = features(t)
-    labs = {f"kmeans_{k}": C.kmeans_labels(f, "vec_id", k) for k in (4, 8)}
-    labs["given_10"] = given(t)
-    q = C.quality(f, labs, "vec_id")
+    label, vec = F.col("label"), F.col("vec_id")
+    ways = {"given": label.cast("string"), "paired": F.floor(label / 2).cast("string"), "dealt": (vec % 8).cast("string"),
+            "lone": F.when(vec == 7, "alone").otherwise((label % 3).cast("string"))}
+    labelings = t("embeddings").select("vec_id", F.inline(F.array(*[F.struct(L(k).alias("method"), v.alias("label")) for k, v in ways.items()])))
+    q = C.quality(features(t), labelings, "vec_id")
     best = q.agg(F.max_by("method", "silhouette").alias("best"))
-    return q.join(F.broadcast(best)).select("method", "silhouette", (F.col("method") == F.col("best")).alias("is_best"))  # one row
+    return q.join(F.broadcast(best)).select("method", "clusters", F.round("silhouette", 6).alias("silhouette"), (F.col("method") == F.col("best")).alias("is_best"))  # one row
 
 
 @query("k_sweep", """WITH s AS (SELECT k, (label * 7 + vec_id % 3) % k AS label, count(*) AS n FROM embeddings, range(2, 11) r(k) GROUP BY ALL),

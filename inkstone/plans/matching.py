@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from inkstone.functions import vectors as VEC
+from inkstone.operators import blocked as B
 from inkstone.operators import matching as M
 from inkstone.operators import text_ops as O
 from inkstone.plans import views as V
@@ -172,7 +173,14 @@ def box_cleanup(t):
     return M.box_cleanup(boxes(t))
 
 
-@query("caption_box_match")
+view_sql("v_cap_choice", """SELECT f.image, f.idx AS fig, list(c.idx ORDER BY abs(c.y1 + 5 - f.y1), greatest(f.x0, c.x0) - least(f.x1, c.x1), c.idx) FILTER (c.idx IS NOT NULL) AS caps
+  FROM v_box f LEFT JOIN v_box c ON c.image = f.image AND c.idx % 2 = 0 AND least(f.x1, c.x1) > greatest(f.x0, c.x0) AND c.y1 + 5 - f.y1 >= -0.5 * greatest(1, f.y1 - f.y0) GROUP BY f.image, f.idx""")
+
+
+@query("caption_box_match", """WITH RECURSIVE r AS (SELECT DISTINCT image, 0 AS fig, CAST(NULL AS INTEGER) AS cap, CAST([] AS INTEGER[]) AS used FROM v_box
+  UNION ALL SELECT n.image, n.fig, n.cap, CASE WHEN n.cap IS NULL THEN n.used ELSE list_append(n.used, n.cap) END FROM (
+    SELECT p.image, p.fig, r.used, list_filter(coalesce(p.caps, []), lambda x: NOT list_contains(r.used, x))[1] AS cap FROM r JOIN v_cap_choice p ON p.image = r.image AND p.fig = r.fig + 1) n)
+  SELECT image, fig, cap FROM r WHERE cap IS NOT NULL""")
 def caption_box_match(t):
     b = boxes(t)
     caps = b.where(F.col("idx") % 2 == 0).select("image", "idx", "x0", (F.col("y1") + 5).alias("y0"), "x1", (F.col("y1") + 25).alias("y1"))
@@ -246,7 +254,7 @@ def orphan_home(t):
     home = None
     for flag in (False, True):
         c = VEC.mean_vectors(e.where(F.col("vec_id") % 10 != 0), "label", "embedding", flag)
-        one = M.nearest_centroid(e.where(F.col("vec_id") % 10 == 0).select("vec_id", "embedding"), "embedding", c, "label").select(
+        one = B.nearest(e.where(F.col("vec_id") % 10 == 0).select("vec_id", "embedding"), "embedding", c, "label").select(
             "vec_id", L(flag).alias("normalize_first"), "home", F.round("sim", 6).alias("sim"))
         home = one if home is None else home.unionByName(one)
     return home

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from inkstone.functions import text as X
 from inkstone.operators import positions as P
 from inkstone.plans import views as V
 from inkstone.plans.registry import query, view_sql
@@ -26,8 +27,7 @@ view_sql("v_pos", """SELECT m.doc_id, m.title, n_text_units, pos_first, pos_mode
   fine >= 0 AS fine_matched, n_text_units AS weight_count, coalesce(g.degree, 0) AS graph_degree FROM (
   SELECT doc_id, title, CAST(count(*) AS INTEGER) AS n_text_units, coalesce(min(cs) FILTER (WHERE cs >= 0), -1) AS pos_first,
     coalesce(arg_min(cs, (-cnt, cs)) FILTER (WHERE cs >= 0), -1) AS pos_mode,
-    round(CASE WHEN max(cnt) FILTER (WHERE cs >= 0) > 0 THEN CAST(sum(cnt * cs) FILTER (WHERE cs >= 0) AS DOUBLE) / sum(cnt) FILTER (WHERE cs >= 0)
-      ELSE coalesce(avg(cs) FILTER (WHERE cs >= 0), -1) END, 2) AS pos_centroid
+    coalesce(CAST((200 * sum(cnt * cs) FILTER (WHERE cs >= 0) + sum(cnt) FILTER (WHERE cs >= 0)) // (2 * sum(cnt) FILTER (WHERE cs >= 0)) AS DOUBLE) / 100, -1) AS pos_centroid
   FROM v_count JOIN v_span USING (doc_id, chunk_no) GROUP BY doc_id, title) m
   JOIN v_fine f ON f.doc_id = m.doc_id AND f.title = m.title LEFT JOIN v_deg g ON g.doc_id = m.doc_id AND g.title = m.title""")
 view_sql("v_over", """SELECT c.doc_id, c.chunk_no, s.idx AS section, least(ce, end_offset) - greatest(cs, start_offset) AS overlap
@@ -43,7 +43,15 @@ def docs(t):
 
 
 def build_spans(t):
-    return P.chunk_spans(V.chunks(t), docs(t))
+    return P.chunk_spans(docs(t), X.chunk_tokens(F.col("text"), V.CHUNK, V.OVERLAP))
+
+
+def build_postings(t):
+    return P.postings(docs(t), V.terms(t), V.CHUNK, V.OVERLAP)
+
+
+def postings(t):
+    return t.stored("postings", lambda: build_postings(t))
 
 
 def spans(t):
@@ -51,7 +59,7 @@ def spans(t):
 
 
 def build_positions(t):
-    return P.entity_positions(V.occurrences(t), V.chunks(t), docs(t), V.entities(t))
+    return P.entity_positions(postings(t), spans(t), V.entities(t))
 
 
 def positions(t):
@@ -77,12 +85,12 @@ def chunk_spans(t):
 
 @query("mention_counts", "SELECT * FROM v_count")
 def mention_counts(t):
-    return P.mention_counts(V.occurrences(t), V.chunks(t))
+    return build_postings(t).select("doc_id", "title", "chunk_no", "cnt")
 
 
 @query("first_occurrence", "SELECT * FROM v_fine")
 def first_occurrence(t):
-    return P.first_occurrence(V.occurrences(t), docs(t))
+    return P.first_occurrence(postings(t))
 
 
 @query("entity_positions", "SELECT * FROM v_pos")
@@ -139,7 +147,7 @@ def section_spans(t):
 @query("section_asof", """SELECT doc_id, title, pos, section FROM (SELECT f.doc_id, f.title, f.fine AS pos,
   greatest(0, coalesce(min(CASE WHEN s.start_offset > f.fine THEN s.idx END) - 1, max(s.idx))) AS section FROM v_fine f JOIN v_res_span s ON s.doc_id = f.doc_id GROUP BY ALL)""")
 def section_asof(t):
-    fine = P.first_occurrence(V.occurrences(t), docs(t))
+    fine = P.first_occurrence(postings(t))
     return P.section_asof(fine.withColumnRenamed("fine", "pos"), P.section_spans(resolved(t), docs(t)))
 
 

@@ -72,25 +72,25 @@ def unique_ids(t):
     return RK.unique_ids(s.withColumn("base", F.concat(L("ent_"), X.normalize_title(F.col("title")))), "base", "seen", F.floor(F.col("seen") / 100000))
 
 
-# topics are the long words of each benchmark item; candidates are the evidence of the corpus
-view_sql("v_topic_token", r"""SELECT DISTINCT item_id, token FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{8,}')) AS token FROM benchmark)""")
+# topics are the words of each benchmark item; candidates are the chunks and entities of the corpus
+view_sql("v_topic_token", r"""SELECT DISTINCT item_id, token FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS token FROM benchmark) WHERE length(token) >= 2""")
 
 
 def topics(t):
-    words = F.regexp_extract_all(F.lower("text"), L(r"([\p{L}\p{N}_]{8,})"), L(1))
+    words = F.regexp_extract_all(F.lower("text"), L(r"([\p{L}\p{N}_]+)"), L(1))
     return t("benchmark").select("item_id", F.explode(X.topic_tokens(F.array_join(words, " "))).alias("token"))
 
 
 view_sql("v_candidate", """SELECT 'd' || doc_id || ':' || chunk_no AS cid, 'chunk ' || chunk_no AS title, 'doc ' || doc_id AS topic, text FROM v_chunk
-  UNION ALL SELECT 'e' || doc_id || ':' || title, title, type, 'seen ' || frequency || ' times' FROM v_ent""")
+  UNION ALL SELECT 'e' || title, title, type, 'seen ' || sum(frequency) || ' times' FROM v_ent GROUP BY title, type""")
 
 
 def candidates(t):
     d = F.col("doc_id").cast("string")
     c = V.chunks(t).select(F.concat(L("d"), d, L(":"), F.col("chunk_no").cast("string")).alias("cid"), F.concat(L("chunk "), F.col("chunk_no").cast("string")).alias("title"),
                            F.concat(L("doc "), d).alias("topic"), "text")
-    e = V.entities(t).select(F.concat(L("e"), d, L(":"), "title").alias("cid"), "title", F.col("type").alias("topic"),
-                             F.concat(L("seen "), F.col("frequency").cast("string"), L(" times")).alias("text"))
+    one = V.entities(t).groupBy("title", "type").agg(F.sum("frequency").alias("n"))
+    e = one.select(F.concat(L("e"), "title").alias("cid"), "title", F.col("type").alias("topic"), F.concat(L("seen "), F.col("n").cast("string"), L(" times")).alias("text"))
     return c.unionByName(e)
 
 

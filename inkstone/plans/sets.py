@@ -70,11 +70,14 @@ def absorb_rooms(t):
 view_sql("v_kept_n", "SELECT s.doc_id, s.idx, count(r.title) FILTER (WHERE r.status = 'kept') AS kept_n, count(r.title) FILTER (WHERE r.status = 'demoted') AS demoted_n FROM v_section s LEFT JOIN v_room r ON r.doc_id = s.doc_id AND r.section = s.idx GROUP BY ALL")
 
 
-@query("absorb_empty", """SELECT doc_id, idx, coalesce(first_value(CASE WHEN kept_n > 0 THEN idx END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING),
-  last_value(CASE WHEN kept_n > 0 THEN idx END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), idx) AS host FROM v_kept_n""")
+@query("absorb_empty", """WITH h AS (SELECT k.doc_id, k.idx, s.name, k.demoted_n, coalesce(first_value(CASE WHEN kept_n > 0 THEN k.idx END IGNORE NULLS) OVER (PARTITION BY k.doc_id ORDER BY k.idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING),
+    last_value(CASE WHEN kept_n > 0 THEN k.idx END IGNORE NULLS) OVER (PARTITION BY k.doc_id ORDER BY k.idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), k.idx) AS host FROM v_kept_n k JOIN v_section s ON s.doc_id = k.doc_id AND s.idx = k.idx),
+  i AS (SELECT doc_id, host, row_number() OVER (PARTITION BY doc_id ORDER BY host) - 1 AS new_id FROM (SELECT DISTINCT doc_id, host FROM h)),
+  r AS (SELECT h.doc_id, m.status AS kind, i.new_id, h.idx, m.title, CAST(NULL AS BIGINT) AS n, h.host <> h.idx AS moved, m.rank FROM v_room m JOIN h ON h.doc_id = m.doc_id AND h.idx = m.section JOIN i ON i.doc_id = h.doc_id AND i.host = h.host
+    UNION ALL SELECT h.doc_id, 'absorbed', i.new_id, h.idx, h.name, h.demoted_n, true, 0 FROM h JOIN i ON i.doc_id = h.doc_id AND i.host = h.host WHERE h.host <> h.idx)
+  SELECT doc_id, kind, CAST(new_id AS INTEGER) AS new_id, CAST(row_number() OVER (PARTITION BY doc_id, new_id, kind ORDER BY moved, idx, rank, title) AS INTEGER) AS ord, idx, title, n FROM r""")
 def absorb_empty(t):
-    n = V.rooms(t).groupBy("doc_id", F.col("section").alias("idx")).agg(F.count_if(F.col("status") == "kept").alias("kept_n"))
-    return U.absorb_empty(V.sections(t).select("doc_id", "idx").join(n, ["doc_id", "idx"], "left").fillna(0, ["kept_n"]))
+    return U.absorb_empty(V.rooms(t), V.sections(t))
 
 
 def listed(t):
@@ -125,16 +128,16 @@ def export_validate(t):
     return U.export_errors(bad, spec, V.entities(t), 10)
 
 
-@query("frozen_input", """SELECT c.community, c.title, p.summary, s.size, string_agg(m.title, '|' ORDER BY m.rn) AS members, (SELECT count(*) FROM customer WHERE c_custkey NOT IN (SELECT id FROM v_member WHERE level = 0 AND degree > 5)) AS uncovered
-  FROM v_community c JOIN v_report p ON p.community = c.community JOIN (SELECT community, count(*) AS size FROM v_member GROUP BY 1) s ON s.community = c.community
-  JOIN (SELECT community, title, row_number() OVER (PARTITION BY community ORDER BY degree DESC, title) AS rn FROM v_member QUALIFY rn <= 10) m ON m.community = c.community WHERE c.level = 0 GROUP BY ALL""")
+@query("frozen_input", """WITH m AS (SELECT community, id, title FROM v_member WHERE level = 0 AND degree > 5)
+  SELECT 'entity' AS kind, id, CAST(NULL AS BIGINT) AS ord, title, type, CAST(degree AS BIGINT) AS n, 'buys for ' || type AS detail FROM v_customer
+  UNION ALL SELECT 'community', p.community, NULL, p.title, NULL, s.n, p.summary FROM v_report p JOIN (SELECT community, count(*) AS n FROM m GROUP BY 1) s ON s.community = p.community
+  UNION ALL SELECT 'member', community, row_number() OVER (PARTITION BY community ORDER BY id), title, NULL, NULL, NULL FROM m
+  UNION ALL SELECT 'uncovered', NULL, NULL, title, NULL, NULL, NULL FROM (SELECT title FROM v_customer EXCEPT SELECT title FROM m)""")
 def frozen_input(t):
-    c = V.communities(t).where("level = 0")
-    m = V.members(t)
-    payload = A.room_payload(m.where("level = 0"), c.select("community", "title"), V.reports(t)).drop("report").join(c.select("community", "title"), "community")
-    covered = m.where("level = 0 and degree > 5").select(F.col("id").alias("c_custkey"))
-    uncovered = t("customer").join(covered, "c_custkey", "left_anti").agg(F.count("*").alias("uncovered"))
-    return payload.join(F.broadcast(uncovered))  # one row
+    m = V.members(t).where("level = 0")
+    ents = m.select("id", "title", "type", "degree", F.concat(L("buys for "), "type").alias("description"))
+    # customers with few orders are in no frozen community
+    return U.frozen_input(ents, m.where("degree > 5").select("community", "id"), V.reports(t).select("community", "title", "summary"))
 
 
 @query("golden_diff", """WITH a AS (SELECT doc_id, room_id, title, sequence, source_offset, offset_confidence FROM v_export),

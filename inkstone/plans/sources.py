@@ -41,10 +41,11 @@ def snapshot_tables(t):
     return R.table_counts(tables)
 
 
-@query("entity_vectors", "SELECT l.doc_id, CAST(len(e.embedding) AS INTEGER) AS embedding_dim, quality FROM embeddings e JOIN labels l ON l.doc_id = e.vec_id")
+@query("entity_vectors", "SELECT e.vec_id AS doc_id, CAST(len(e.embedding) AS INTEGER) AS embedding_dim, quality FROM embeddings e LEFT JOIN labels l ON l.doc_id = e.vec_id")
 def entity_vectors(t):
-    ents = t("labels").join(t("embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi")
     vecs = t("embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    # the entities are the rows that have a vector; one without fails the job
+    ents = vecs.select("doc_id").join(t("labels").select("doc_id", "quality"), "doc_id", "left")
     return R.entity_vectors(ents, vecs, "doc_id", "embedding").select("doc_id", F.size("embedding").alias("embedding_dim"), "quality")
 
 
@@ -73,11 +74,12 @@ def stores_for_method(t):
     return R.stores_for_method(with_method(t("conversations")).select("conv_id", "turn", "wanted"), "wanted")
 
 
-@query("corpus_read")
+@query("corpus_read", "SELECT lang, doc_id, CAST(length(text) AS INTEGER) AS n_chars, md5(text) AS digest FROM documents WHERE text IS NOT NULL")
 def corpus_read(t):
     path = scratch(t, "corpus")
-    t("documents").select("lang", "text").write.option("lineSep", "\u0001").partitionBy("lang").text(path)
-    return R.read_whole_files(t.spark, path).select("file", F.length("text").alias("n_chars"))
+    sinks.write_records(t("documents").where("text IS NOT NULL").select("lang", "doc_id", "text"), path, "lang", "doc_id", "text")
+    back = R.read_records(t.spark, path, "lang string")
+    return back.select("lang", F.col("key").cast("long").alias("doc_id"), F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
 
 
 @query("page_split", r"""WITH s AS (SELECT doc_id, string_split_regex(text, '\[page\d+\]\n?') AS b, regexp_extract_all(text, '\[page(\d+)\]', 1) AS m FROM v_paged),
@@ -176,10 +178,38 @@ def cache_token_scan(t):
     return R.cache_tokens(cached_json(t), "j")
 
 
-@query("deep_usage_scan", """SELECT event_id, CASE WHEN event_id % 4 <> 0 THEN 'llm' ELSE 'embed' END AS kind, prompt_tokens,
-  CASE WHEN event_id % 4 <> 0 THEN completion_tokens ELSE 0 END AS completion_tokens, prompt_tokens + completion_tokens AS total_tokens FROM v_usage""")
+def nested_json(t):
+    """Responses with a usage object (details inside, a total in some) under ``event_id % 9`` wrappers, objects and lists in turn.
+
+    Beside it stand an embedding object and one with a total alone, which is none.
+    """
+    k, none = F.col("event_id") % 3, L("")
+    num = lambda c: F.col(c).cast("string")
+    total = (F.col("prompt_tokens") + F.col("completion_tokens")).cast("string")
+    usage = F.concat(L('{"prompt_tokens":'), num("prompt_tokens"), F.when(k != 0, F.concat(L(',"completion_tokens":'), num("completion_tokens"))).otherwise(none),
+                     L(',"details":{"cached_tokens":1,"parts":[{"n":2}]}'), F.when(k != 1, F.concat(L(',"total_tokens":'), total)).otherwise(none), L("}"))
+    deep = F.col("event_id") % 9
+    for i in range(8):
+        wrapped = F.concat(L("["), usage, L("]")) if i % 2 else F.concat(L('{"result":'), usage, L("}"))
+        usage = F.when(deep > i, wrapped).otherwise(usage)
+    body = F.concat(L('{"a":'), usage, L(',"b":[{"prompt_tokens":7,"total_tokens":7},{"total_tokens":9}]}'))
+    return V.usage(t).select("event_id", F.when(F.col("event_id") % 11 == 5, L('{"prompt_tokens":')).otherwise(body).alias("j"))
+
+
+view_sql("v_nested", """SELECT event_id, CASE WHEN event_id % 11 = 5 THEN '{"prompt_tokens":' ELSE '{"a":' || list_reduce(list_prepend(
+    '{"prompt_tokens":' || prompt_tokens || CASE WHEN event_id % 3 <> 0 THEN ',"completion_tokens":' || completion_tokens ELSE '' END || ',"details":{"cached_tokens":1,"parts":[{"n":2}]}'
+      || CASE WHEN event_id % 3 <> 1 THEN ',"total_tokens":' || (prompt_tokens + completion_tokens) ELSE '' END || '}',
+    list_transform(range(event_id % 9), lambda i: i::VARCHAR)), lambda x, i: CASE WHEN i::INTEGER % 2 = 1 THEN '[' || x || ']' ELSE '{"result":' || x || '}' END)
+    || ',"b":[{"prompt_tokens":7,"total_tokens":7},{"total_tokens":9}]}' END AS j FROM v_usage""")
+
+
+@query("deep_usage_scan", """WITH RECURSIVE w AS (SELECT event_id, j::JSON AS o, 0 AS depth FROM v_nested WHERE json_valid(j)
+  UNION ALL SELECT event_id, e.value, depth + 1 FROM w, json_each(w.o) e WHERE depth < 6 AND json_type(w.o) IN ('OBJECT', 'ARRAY') AND e.type IN ('OBJECT', 'ARRAY'))
+  SELECT event_id, CASE WHEN json_exists(o, '$.completion_tokens') THEN 'llm' ELSE 'embed' END AS kind, CAST(o->>'$.prompt_tokens' AS BIGINT) AS prompt_tokens,
+    coalesce(CAST(o->>'$.completion_tokens' AS BIGINT), 0) AS completion_tokens, CAST(o->>'$.total_tokens' AS BIGINT) AS total_tokens
+  FROM w WHERE json_type(o) = 'OBJECT' AND json_exists(o, '$.prompt_tokens') AND (json_exists(o, '$.completion_tokens') OR json_exists(o, '$.total_tokens'))""")
 def deep_usage_scan(t):
-    return R.deep_usage(cached_json(t), "event_id", "j")
+    return R.deep_usage(nested_json(t), "event_id", "j")
 
 
 @query("index_stats_flatten", """WITH u AS (SELECT doc_id, n_chars, unnest(['chunking', 'graph', 'reports']) AS workflow, unnest([1, 2, 3]) AS k FROM documents)
@@ -243,4 +273,7 @@ def keyed_upsert_sink(t):
     u = V.usage(t).select(F.concat(F.col("job_id").cast("string"), L(":"), "stage").alias("id"), "model",
                           (F.col("prompt_tokens") + F.col("completion_tokens")).alias("tokens"), "event_id")
     early, late = u.where(F.col("event_id") % 2 == 0), u.where(F.col("event_id") % 2 == 1)
-    return sinks.upsert(early, late, ["id"], "event_id").drop("event_id")
+    path = scratch(t, "upsert")
+    for epoch, part in enumerate((early, late)):
+        sinks.upsert_buckets(part, path, epoch, ["id"], "event_id")
+    return sinks.read_buckets(t.spark, path, u.schema).drop("event_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkstone.functions import constants as K
 from inkstone.functions import text as X
 from inkstone.functions import vectors as VEC
 
@@ -55,6 +56,17 @@ def read_whole_files(spark: SparkSession, folder: str) -> DataFrame:
         F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("file"), F.col("value").alias("text"))
 
 
+#: Ends a record of a corpus file, and parts a record's key from its text; neither occurs in text.
+RECORD_END, KEY_END = "\x1e\n", "\x1f"
+
+
+def read_records(spark: SparkSession, folder: str, parts: str) -> DataFrame:
+    """(parts.., key, text): one row per document of the corpus files in ``folder``, which ``parts`` name the partitions of."""
+    rows = spark.read.schema(f"value string, {parts}").option("lineSep", RECORD_END).text(folder)
+    return rows.select(*[c for c in rows.columns if c != "value"], F.split_part("value", F.lit(KEY_END), F.lit(1)).alias("key"),
+                       F.expr(f"substring(value, locate('{KEY_END}', value) + 1)").alias("text"))
+
+
 def captions_scan(df: DataFrame, key: str, col: str, tag: str = "figcaption") -> DataFrame:
     """Trimmed bodies of every ``<tag>..</tag>`` in order."""
     found = F.regexp_extract_all(col, F.lit(f"(?s)<{tag}>(.*?)</{tag}>"), F.lit(1))
@@ -119,15 +131,38 @@ def cache_tokens(files: DataFrame, col: str) -> DataFrame:
         F.count("*").alias("calls"), F.sum("p").alias("prompt_tokens"), F.sum("c").alias("completion_tokens"))
 
 
-def deep_usage(lines: DataFrame, key: str, col: str) -> DataFrame:
-    """Usage objects at any depth: a completion count means chat, only a total means embedding."""
-    objs = F.regexp_extract_all(col, F.lit(r'(\{[^{}]*"total_tokens"[^{}]*\})'), F.lit(1))
-    o = lines.select(key, F.explode(objs).alias("o"))
-    c = F.get_json_object("o", "$.completion_tokens").cast("long")
-    return o.select(key, F.when(c.isNotNull(), "llm").otherwise("embed").alias("kind"),
-                    F.coalesce(F.get_json_object("o", "$.prompt_tokens").cast("long"), F.lit(0)).alias("prompt_tokens"),
-                    F.coalesce(c, F.lit(0)).alias("completion_tokens"),
-                    F.get_json_object("o", "$.total_tokens").cast("long").alias("total_tokens"))
+def _children(nodes: Column) -> Column:
+    """The values inside an array of VARIANT objects and lists; other values have none."""
+    none = F.array().cast("array<variant>")
+
+    def inside(v: Column) -> Column:
+        return F.coalesce(F.map_values(F.try_variant_get(v, "$", "map<string,variant>")), F.try_variant_get(v, "$", "array<variant>"), none)
+
+    return F.flatten(F.transform(nodes, inside))
+
+
+def deep_usage(lines: DataFrame, key: str, col: str, depth: int = 6) -> DataFrame:
+    """(key, kind, prompt_tokens, completion_tokens, total_tokens) of the usage objects at most ``depth`` levels down.
+
+    Each object and list is a level; the document itself is level 0. An object with prompt and completion counts is a
+    model call, one with prompt and total counts alone an embedding call, whatever else it holds. Broken JSON has none.
+    The document is parsed once and its levels are walked inside its row.
+    """
+    levels = lines.select(key, F.array(F.try_parse_json(col)).alias("l0"))
+    for k in range(depth):
+        levels = levels.withColumn(f"l{k + 1}", _children(F.col(f"l{k}")))
+    nodes = levels.select(key, F.explode(F.concat(*[f"l{k}" for k in range(depth + 1)])).alias("o"))
+
+    def has(name: str) -> Column:  # a null count is there too
+        return F.try_variant_get("o", f"$.{name}", "variant").isNotNull()
+
+    def count(name: str) -> Column:
+        return F.try_variant_get("o", f"$.{name}", "long")
+
+    call = has("completion_tokens")
+    return nodes.where(has("prompt_tokens") & (call | has("total_tokens"))).select(
+        key, F.when(call, "llm").otherwise("embed").alias("kind"), F.coalesce(count("prompt_tokens"), F.lit(0)).alias("prompt_tokens"),
+        F.when(call, F.coalesce(count("completion_tokens"), F.lit(0))).otherwise(F.lit(0)).alias("completion_tokens"), count("total_tokens").alias("total_tokens"))
 
 
 def index_stats(docs: DataFrame, key: str, col: str) -> DataFrame:
@@ -138,14 +173,11 @@ def index_stats(docs: DataFrame, key: str, col: str) -> DataFrame:
                        F.col("w.memory_delta_bytes").alias("delta"), (F.col("w.overall") / F.col("total")).alias("share"))
 
 
-MATCH_ROW = r"^\| (\d+) \| (.+?) \| (\d+) \| `(.+?)` \| (.+?) \| (.+?) \| ([0-9.\-]+) \| (.+?) \|$"
-
-
 def md_match_rows(lines: DataFrame, col: str) -> DataFrame:
     """The eight-column match table of a markdown report; '-' becomes null."""
-    g = [F.regexp_extract(col, MATCH_ROW, i) for i in range(1, 9)]
+    g = [F.regexp_extract(col, K.MATCH_ROW, i) for i in range(1, 9)]
     text = [F.nullif(x, F.lit("-")) for x in g]
-    return lines.where(F.col(col).rlike(MATCH_ROW)).select(
+    return lines.where(F.col(col).rlike(K.MATCH_ROW)).select(
         g[0].cast("int").alias("row"), text[1].alias("path"), g[2].cast("int").alias("page"), text[3].alias("title"),
         text[4].alias("caption"), text[5].alias("tier"), text[6].cast("double").alias("score"),
         text[7].alias("match"))

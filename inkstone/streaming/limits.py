@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from inkstone.operators.folds import fold_sorted
 
@@ -88,25 +88,70 @@ def _number(e: DataFrame, heads: DataFrame, width: int, window_s: float, limit:
         F.when(over, F.greatest(F.lit(1), left.cast("int"))).alias("retry_s"))
 
 
-OUT = "k long, id long, n int, limited boolean, retry_s int"
+OUT = "k long, id long, window_start long, n int, limited boolean, retry_s int"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def rate_limit_stream(events: DataFrame, window_s: float, limit: int) -> DataFrame:
-    """The same rule on a stream of (k long, id long, ts timestamp): state is (window start, count) per key."""
-    width = int(window_s * MICRO)
+class Limiter(StatefulProcessor):
+    """Fixed windows of one key on event time.
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, count = state.get if state.exists else (-(1 << 62), 0)
+    Events wait until the watermark has passed them, so they are numbered in the order of (time, id) in whatever order
+    they arrive; those that arrive behind the watermark are dropped by Spark before they get here. A timer releases the
+    earliest waiting event; when none waits, a timer at the window's end clears the key, so idle keys leave the state.
+    """
+
+    def __init__(self, window_s: float, limit: int):
+        self.window_s, self.limit, self.width = window_s, limit, int(window_s * MICRO)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "us long, id long")
+        self.window = handle.getValueState("window", "start long, n int")
+
+    def _wake(self, us: int) -> None:
+        """One timer a key: at the first millisecond not before ``us``."""
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        self.handle.registerTimer(-(-us // 1000))
+
+    def _release(self, key: int, waiting: list[tuple[int, int]], watermark_ms: int) -> Iterator[pd.DataFrame]:
+        waiting.sort()
+        ready = bisect_right(waiting, (watermark_ms * 1000, 1 << 63))
+        start, n = self.window.get() if self.window.exists() else (-(1 << 62), 0)
         rows = []
-        for us, ident in sorted((int(u), int(i)) for pdf in batches for u, i in zip(pdf["us"], pdf["id"])):
-            if us - start >= width:
-                start, count = us, 1
+        for us, ident in waiting[:ready]:
+            start, n = (us, 1) if us - start >= self.width else (start, n + 1)
+            over = n > self.limit
+            rows.append((key, ident, start, n, over, max(1, int(self.window_s - (us - start) / MICRO)) if over else None))
+        if ready < len(waiting):
+            self.waiting.put(waiting[ready:])
+            self._wake(waiting[ready][0])
+        else:
+            self.waiting.clear()
+            if start + self.width <= watermark_ms * 1000:  # no event can come into the window any more
+                self.window.clear()
             else:
-                count += 1
-            over = count > limit
-            rows.append((key[0], ident, count, over, max(1, int(window_s - (us - start) / MICRO)) if over else None))
-        state.update((start, count))
-        yield pd.DataFrame(rows, columns=["k", "id", "n", "limited", "retry_s"]).astype({"retry_s": "Int32"})
-
-    src = events.select("k", F.unix_micros("ts").alias("us"), "id")
-    return src.groupBy("k").applyInPandasWithState(step, OUT, "start long, count long", "append", GroupStateTimeout.NoTimeout)
+                self._wake(start + self.width)
+        if rows:
+            if self.waiting.exists() or start + self.width > watermark_ms * 1000:
+                self.window.update((start, n))
+            yield pd.DataFrame(rows, columns=["k", "id", "window_start", "n", "limited", "retry_s"]).astype({"retry_s": "Int32", "n": "int32"})
+
+    def handleInputRows(self, key, rows, timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        new = [(int(u), int(i)) for pdf in rows for u, i in zip(pdf["us"], pdf["id"])]
+        held = [(int(r[0]), int(r[1])) for r in self.waiting.get()] if self.waiting.exists() else []
+        yield from self._release(int(key[0]), held + new, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = [(int(r[0]), int(r[1])) for r in self.waiting.get()] if self.waiting.exists() else []
+        yield from self._release(int(key[0]), held, timerValues.getCurrentWatermarkInMs())
+
+
+def rate_limit_stream(events: DataFrame, window_s: float, limit: int, delay: str = "0 seconds") -> DataFrame:
+    """The same rule on a stream of (k long, id long, ts timestamp); rows come out once the watermark has passed them.
+
+    ``delay`` is how late an event may arrive. The session's state store must be RocksDB (``ROCKSDB``), which holds timers.
+    """
+    src = events.withWatermark("ts", delay).withColumn("us", F.unix_micros("ts"))
+    return src.groupBy("k").transformWithStateInPandas(
+        statefulProcessor=Limiter(window_s, limit), outputStructType=OUT, outputMode="append", timeMode="EventTime")

@@ -2,9 +2,25 @@
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkstone.sources import sinks
+
+
+@contextlib.contextmanager
+def state_store(spark: SparkSession, provider: str):
+    """Streams started inside keep their state in stores of ``provider``."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, provider)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+
 
 def run_to_table(stream: DataFrame, mode: str, path: str, checkpoint: str) -> DataFrame:
     """Drain a stream with what is available now; every micro-batch replaces the result table.
@@ -36,33 +52,15 @@ def fresh_sessions(sessions: DataFrame, now, ttl_seconds: int) -> DataFrame:
     return sessions.where(F.unix_micros(F.col("ts")) >= F.unix_micros(now) - ttl_seconds * 1_000_000)
 
 
-def newest_version(spark: SparkSession, path: str, below: int | None = None) -> int | None:
-    """The highest complete version of a table (before ``below``), from what is in storage."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(folder):
-        return None
-    names = (s.getPath().getName() for s in fs.listStatus(folder))
-    done = [int(n[2:]) for n in names if n.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
-    return max((v for v in done if below is None or v < below), default=None)
+def upsert_stream(updates: DataFrame, path: str, checkpoint: str, keys: list[str], version: str) -> DataFrame:
+    """Last write wins per key: every micro-batch is merged into the buckets it touches, the others keep their files.
 
-
-def upsert_stream(updates: DataFrame, path: str, checkpoint: str, keys: list[str], version: str) -> str:
-    """Last write wins per key: every micro-batch is merged with the newest complete table before it.
-
-    That table is looked up in storage, so a restart from the checkpoint goes on where the last run ended, and a
-    replayed batch rewrites its own version only. Returns the folder of the newest version, also when nothing was new.
+    The table before a batch is looked up in storage, so a restart from the checkpoint goes on where the last run
+    ended, and a replayed batch rewrites its own version only. Returns the newest version, also when nothing was new.
     """
-    from inkstone.sources.sinks import upsert
-
-    spark = updates.sparkSession
-
     def merge(batch: DataFrame, epoch: int) -> None:
-        prev = newest_version(spark, path, epoch)
-        base = spark.read.parquet(f"{path}/v={prev}") if prev is not None else batch.limit(0)
-        upsert(base, batch, keys, version).write.mode("overwrite").parquet(f"{path}/v={epoch}")
+        sinks.upsert_buckets(batch, path, epoch, keys, version)
 
     q = updates.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return f"{path}/v={newest_version(spark, path)}"
+    return sinks.read_buckets(updates.sparkSession, path, updates.schema)

@@ -201,7 +201,7 @@ def test_upsert_stream(spark, tmp_path):
     for i in range(3):
         spark.createDataFrame([(1, i, f"s{i}"), (10 + i, i, "x")], "job_id long, v long, state string").coalesce(1).write.mode("append").parquet(src)
     s = spark.readStream.schema("job_id long, v long, state string").option("maxFilesPerTrigger", 1).parquet(src)
-    out = spark.read.parquet(US.upsert_stream(s, str(tmp_path / "t"), str(tmp_path / "c"), ["job_id"], "v"))
+    out = US.upsert_stream(s, str(tmp_path / "t"), str(tmp_path / "c"), ["job_id"], "v")
     assert {r["job_id"]: r["state"] for r in out.collect()} == {1: "s2", 10: "x", 11: "x", 12: "x"}
 
 
@@ -213,7 +213,7 @@ def test_upsert_stream_keeps_its_table_after_a_restart(spark, tmp_path):
             spark.createDataFrame(rows, "job_id long, v long, state string").coalesce(1).write.mode("append").parquet(src)
         s = spark.readStream.schema("job_id long, v long, state string").option("maxFilesPerTrigger", 1).parquet(src)
         out = US.upsert_stream(s, str(tmp_path / "t"), str(tmp_path / "c"), ["job_id"], "v")
-        return {r["job_id"]: r["state"] for r in spark.read.parquet(out).collect()}
+        return {r["job_id"]: r["state"] for r in out.collect()}
 
     assert run([(1, 5, "new"), (2, 1, "a")]) == {1: "new", 2: "a"}
     assert run([(1, 4, "late"), (3, 1, "b")]) == {1: "new", 2: "a", 3: "b"}
