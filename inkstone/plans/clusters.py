@@ -27,7 +27,7 @@ def base_cluster(t):
 
 @query("split_oversized")
 def split_oversized(t):
-    return C.split_oversized(features(t), given(t), "vec_id", max_size=60)
+    return C.split_oversized(features(t), given(t), "vec_id", max_size=20)
 
 
 @query("merge_to_k")
