@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkstone.session import cut_lineage
+from inkstone.session import cut_lineage, written
 
 
 def build(records: DataFrame, chunk: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -85,7 +85,7 @@ def _quality(und: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def improving_moves(und: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(part, v, new, gain): for each vertex the neighbouring community it gains most modularity by joining, if any.
+    """(part, v, label, new, gain): for each vertex the neighbouring community it gains most modularity by joining, if any.
 
     Neighbour weights are partial sums, so a hub is no single task. Smaller labels win ties.
     """
@@ -97,41 +97,43 @@ def improving_moves(und: DataFrame, nodes: DataFrame) -> DataFrame:
     there = F.col("c") == F.col("label")
     to = F.col("w") - F.col("k") * F.col("tc") / F.col("m2")
     stay = F.coalesce(F.max(F.when(there, F.col("w"))), F.lit(0.0)) - F.any_value("k") * (F.any_value("t") - F.any_value("k")) / F.any_value("m2")
-    best = j.groupBy("part", "v").agg(F.min(F.when(~there, F.struct((-to).alias("s"), F.col("c").alias("c")))).alias("b"), stay.alias("stay"), F.any_value("m2").alias("m2"))
+    best = j.groupBy("part", "v").agg(
+        F.min(F.when(~there, F.struct((-to).alias("s"), F.col("c").alias("c")))).alias("b"), stay.alias("stay"), F.any_value("m2").alias("m2"), F.any_value("label").alias("label"))
     gain = 2 * (-F.col("b.s") - F.col("stay")) / F.col("m2")
-    return best.where("b IS NOT NULL").select("part", "v", F.col("b.c").alias("new"), gain.alias("gain")).where(F.col("gain") > EPS)
+    return best.where("b IS NOT NULL").select("part", "v", "label", F.col("b.c").alias("new"), gain.alias("gain")).where(F.col("gain") > EPS)
 
 
 def _settle(und: DataFrame, nodes: DataFrame) -> tuple[DataFrame, bool]:
     """Moves vertices until no move gains; the nodes with their labels, and whether any moved.
 
-    Vertices move together, a share of them by hash; a part keeps its moves only if they raised its modularity, else
-    its share falls, at last to its single best move. So modularity rises in every kept round and the loop ends.
+    In a round those moves are made that are the best one of both communities they touch: no two of them have a
+    community in common, so their gains add up. A share of the others, by hash, moves with them; a part whose modularity
+    did not rise takes its round back and lowers the share, at last to none. So modularity rises and the loop ends.
     """
-    moved = False
-    state = cut_lineage(_quality(und, nodes).withColumn("share", F.lit(0.5)).withColumn("ended", F.lit(False)))
-    turn = 0
+    moved, turn = False, 0
+    state = written(_quality(und, nodes).withColumn("share", F.lit(0.5)).withColumn("ended", F.lit(False)))
     while True:
-        open_parts = state.where("NOT ended").select("part", "share")
-        cand = cut_lineage(improving_moves(und.join(open_parts.select("part"), "part", "left_semi"), nodes))
-        if cand.isEmpty():
-            return nodes, moved
         turn += 1
-        first = cand.groupBy("part").agg(F.min(F.struct((-F.col("gain")).alias("g"), F.col("v").alias("v"))).alias("b")).select("part", F.col("b.v").alias("best"))
+        live = state.where("NOT ended").select("part", "share")
+        cand = written(improving_moves(und.join(live.select("part"), "part", "left_semi"), nodes))
+        ends = cand.select("part", "v", "gain", F.explode(F.array("label", "new")).alias("c"))
+        best = ends.groupBy("part", "c").agg(F.min(F.struct((-F.col("gain")).alias("g"), "v")).alias("b")).select("part", F.col("b.v").alias("v"))
+        free = best.groupBy("part", "v").agg((F.count("*") == 2).alias("free"))
         luck = F.pmod(F.xxhash64("v", F.lit(turn)), F.lit(1 << 20)) / float(1 << 20)
-        chosen = cand.join(open_parts, "part").join(first, "part").where((F.col("v") == F.col("best")) | (luck < F.col("share"))).select("part", "v", "new")
-        trial = cut_lineage(nodes.join(chosen, ["part", "v"], "left").withColumn("label", F.coalesce("new", "label")).drop("new"))
-        after = _quality(und, trial).withColumnRenamed("q", "q1").join(cand.select("part").distinct().withColumn("tried", F.lit(True)), "part", "left")
-        s = state.join(after, "part").withColumn("up", F.col("q1") > F.col("q") + EPS)
-        state = cut_lineage(s.select(
-            "part", F.when(F.col("up"), F.col("q1")).otherwise(F.col("q")).alias("q"),
-            F.when(F.col("up"), F.least(F.lit(0.5), F.col("share") * 2 + 0.01)).when(F.col("share") < 0.001, 0.0).otherwise(F.col("share") / 4).alias("share"),
-            (F.col("ended") | F.col("tried").isNull() | (~F.col("up") & (F.col("share") == 0.0))).alias("ended"), "up"))
-        up = state.where("up").select("part")
-        if not up.isEmpty():
-            moved = True
-            nodes = cut_lineage(trial.join(up, "part", "left_semi").unionByName(nodes.join(up, "part", "left_anti")))
-        state = state.drop("up")
+        chosen = cand.join(free, ["part", "v"], "left").join(live, "part").where(F.coalesce("free", F.lit(False)) | (luck < F.col("share"))).select("part", "v", "new")
+        trial = written(nodes.join(chosen, ["part", "v"], "left").withColumn("new", F.coalesce("new", "label")))
+        tried = trial.groupBy("part").agg(F.bool_or(F.col("new") != F.col("label")).alias("tried"))
+        after = _quality(und, trial.drop("label").withColumnRenamed("new", "label")).withColumnRenamed("q", "q1").join(tried, "part")
+        up = F.col("tried") & (F.col("q1") > F.col("q") + EPS)
+        state = written(state.drop("up").join(after, "part").select(
+            "part", F.when(up, F.col("q1")).otherwise(F.col("q")).alias("q"),
+            F.when(up, F.least(F.lit(0.5), F.col("share") * 2)).when(F.col("share") < 0.05, 0.0).otherwise(F.col("share") / 4).alias("share"),
+            (F.col("ended") | ~F.col("tried") | (~up & (F.col("share") == 0.0))).alias("ended"), up.alias("up")))
+        rose, over = state.agg(F.bool_or("up"), F.bool_and("ended")).first()
+        moved = moved or bool(rose)
+        nodes = trial.join(state.select("part", "up"), "part").withColumn("label", F.when(F.col("up"), F.col("new")).otherwise(F.col("label"))).drop("new", "up")
+        if over is None or over:
+            return written(nodes), moved
 
 
 def communities(edges: DataFrame) -> DataFrame:
@@ -141,20 +143,20 @@ def communities(edges: DataFrame) -> DataFrame:
     then communities are contracted to vertices that move in the same way; both repeat until nothing moves.
     """
     e = edges.where("source <> target").groupBy("part", F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).agg(F.sum("weight").alias("weight"))
-    und = cut_lineage(e.select("part", F.inline(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("nbr"), "weight"), F.struct(F.col("b").alias("v"), F.col("a").alias("nbr"), "weight")))))
-    nodes = cut_lineage(und.groupBy("part", "v").agg(F.sum("weight").alias("k")).select("part", "v", F.col("v").alias("label"), "k", F.lit(0.0).alias("own")))
+    und = written(e.select("part", F.inline(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("nbr"), "weight"), F.struct(F.col("b").alias("v"), F.col("a").alias("nbr"), "weight")))))
+    nodes = written(und.groupBy("part", "v").agg(F.sum("weight").alias("k")).select("part", "v", F.col("v").alias("label"), "k", F.lit(0.0).alias("own")))
     while True:
         nodes, _ = _settle(und, nodes)
         ends = und.join(nodes.select("part", "v", "label"), ["part", "v"]).join(nodes.select("part", F.col("v").alias("nbr"), F.col("label").alias("c")), ["part", "nbr"])
         between = ends.groupBy("part", "label", "c").agg(F.sum("weight").alias("weight"))
-        merged = cut_lineage(between.where("label <> c").select("part", F.col("label").alias("v"), F.col("c").alias("nbr"), "weight"))
+        merged = written(between.where("label <> c").select("part", F.col("label").alias("v"), F.col("c").alias("nbr"), "weight"))
         inner = between.where("label = c").select("part", F.col("label").alias("v"), F.col("weight").alias("own"))
-        above = cut_lineage(nodes.groupBy("part", F.col("label").alias("v")).agg(F.sum("k").alias("k")).join(inner, ["part", "v"], "left").select(
+        above = written(nodes.groupBy("part", F.col("label").alias("v")).agg(F.sum("k").alias("k")).join(inner, ["part", "v"], "left").select(
             "part", "v", F.col("v").alias("label"), "k", F.coalesce("own", F.lit(0.0)).alias("own")))
         above, moved = _settle(merged, above)
         if not moved:
             return nodes.select("part", "v", "label")
-        nodes = cut_lineage(nodes.join(above.select("part", F.col("v").alias("label"), F.col("label").alias("up")), ["part", "label"]).select(
+        nodes = written(nodes.join(above.select("part", F.col("v").alias("label"), F.col("label").alias("up")), ["part", "label"]).select(
             "part", "v", F.col("up").alias("label"), "k", "own"))
 
 
@@ -167,17 +169,17 @@ def community_labels(edges: DataFrame, max_size: int) -> DataFrame:
     level, out = 0, None
     cur = communities(edges.select(F.lit("").alias("part"), "source", "target", "weight")).select(F.col("v").alias("title"), "label")
     while True:
-        cur = cut_lineage(cur)
+        cur = written(cur)
         rows = cur.withColumn("level", F.lit(level)).select("title", "level", "label")
         out = rows if out is None else out.unionByName(rows)
         big = cur.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") > max_size).select("label")
-        inside = cut_lineage(cur.join(big, "label"))
+        inside = written(cur.join(big, "label"))
         inner = edges.join(inside.select(F.col("title").alias("source"), F.col("label").alias("part")), "source").join(
             inside.select(F.col("title").alias("target"), F.col("label").alias("q")), "target").where("part = q AND source <> target").select("part", "source", "target", "weight")
-        inner = cut_lineage(inner)
+        inner = written(inner)
         if inner.isEmpty():
             return out
-        sub = cut_lineage(communities(inner))
+        sub = written(communities(inner))
         several = sub.groupBy("part").agg(F.count_distinct("label").alias("n")).where("n > 1").select("part")
         sub = sub.join(several, "part", "left_semi")
         if sub.isEmpty():

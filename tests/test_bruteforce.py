@@ -1,6 +1,7 @@
 """Operators without a SQL statement, and shared helpers, against plain Python on small inputs."""
 
 import random
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -154,12 +155,29 @@ def test_components(spark):
     assert got == want
 
 
-def test_community_labels_cover_all_and_repeat(spark):
-    e = spark.createDataFrame([(f"a{i}", f"a{j}", 1.0) for i in range(5) for j in range(i)] + [(f"b{i}", f"b{j}", 1.0) for i in range(5) for j in range(i)] + [("a0", "b0", 0.1)], "source string, target string, weight double")
-    one, two = (sorted(map(tuple, G.community_labels(e, 50).collect())) for _ in range(2))
-    assert one == two and len(one) == 10
-    by = {t: lab for t, _, lab in one}
-    assert len({by[f"a{i}"] for i in range(1, 5)}) == 1 and len({by[f"b{i}"] for i in range(1, 5)}) == 1
+def test_communities_have_no_improving_move(spark):
+    rng = random.Random(3)
+    names = [f"{p}{i}" for p in "abc" for i in range(7)]
+    w = {(a, b): float(rng.randint(1, 3)) for i, a in enumerate(names) for b in names[:i] if a[0] == b[0] or rng.random() < 0.08}
+    e = spark.createDataFrame([(a, b, x) for (a, b), x in w.items()], "source string, target string, weight double")
+    rows = G.community_labels(e, 6).collect()
+    label = {r["title"]: r["label"] for r in rows if r["level"] == 0}
+    assert set(label) == set(names) and {r["level"] for r in rows} >= {0, 1}  # communities of seven are divided
+    m2 = 2 * sum(w.values())
+    k = {n: sum(x for p, x in w.items() if n in p) for n in names}
+
+    def quality(of):
+        inside = sum(2 * x for (a, b), x in w.items() if of[a] == of[b])
+        return inside / m2 - sum(sum(k[n] for n in names if of[n] == c) ** 2 for c in set(of.values())) / m2**2
+
+    base = quality(label)
+    assert base > 0.4
+    for n in names:
+        for c in set(label.values()):
+            assert quality(label | {n: c}) <= base + 1e-9
+    for a in set(label.values()):
+        for b in set(label.values()):
+            assert quality({n: b if c == a else c for n, c in label.items()}) <= base + 1e-9
 
 
 def _events(rng, n):
@@ -176,18 +194,34 @@ def _limit(events, width, limit):
     return out
 
 
-def test_rate_limit_batch_and_stream(spark, tmp_path):
+def test_rate_limit_batch(spark):
     ev = _events(random.Random(8), 400)
     df = spark.createDataFrame(ev, "k long, id long, us long").withColumn("ts", F.timestamp_micros("us"))
     want = _limit(ev, 10**6, 3)
     for blocks in (1, 3, 64):
         got = {r["id"]: (r["n"], r["limited"], r["retry_s"]) for r in LM.rate_limit(df, "k", "ts", "id", 1.0, 3, blocks).collect()}
         assert got == want
+
+
+def test_rate_limit_stream_equals_batch_over_restarts(spark, tmp_path):
+    """Three micro-batches, each after a restart, with events up to five seconds out of order and one behind the watermark."""
+    ev = _events(random.Random(8), 400)
+    rng = random.Random(2)
+    arrival = {i: us + rng.randint(0, 4_000_000) for _, i, us in ev}
+    parts = [[e for e in ev if lo <= arrival[e[1]] < hi] for lo, hi in ((0, 15_000_000), (15_000_000, 30_000_000), (30_000_000, 10**9))]
+    parts[2] += [(1, 1000, 1_000_000), (9, 1001, 100_000_000)]  # too late; moves the watermark past all others
     src = str(tmp_path / "in")
-    df.select("k", "id", "ts").coalesce(1).write.parquet(src)
-    stream = LM.rate_limit_stream(spark.readStream.schema("k long, id long, ts timestamp").parquet(src), 1.0, 3)
-    out = US.run_to_table(stream, "append", str(tmp_path / "out"), str(tmp_path / "ck"))
-    assert {r["id"]: (r["n"], r["limited"], r["retry_s"]) for r in out.collect()} == want
+    seen = []
+    for rows in parts:
+        spark.createDataFrame(rows, "k long, id long, us long").select("k", "id", F.timestamp_micros("us").alias("ts")).coalesce(1).write.mode("append").parquet(src)
+        with US.state_store(spark, LM.ROCKSDB):
+            stream = LM.rate_limit_stream(spark.readStream.schema("k long, id long, ts timestamp").parquet(src), 1.0, 3, "5 seconds")
+            out = US.run_to_table(stream, "append", str(tmp_path / "out"), str(tmp_path / "ck"))
+        seen.append(out.count())
+    assert 0 < seen[0] < seen[1] < seen[2] == len(ev)
+    assert {r["id"]: (r["n"], r["limited"], r["retry_s"]) for r in out.collect()} == _limit(ev, 10**6, 3)
+    held = {v: spark.read.format("statestore").option("stateVarName", v).load(str(tmp_path / "ck")) for v in ("window", "waiting")}
+    assert held["window"].count() == 0 and [r["key"]["k"] for r in held["waiting"].collect()] == [9]  # idle keys are gone
 
 
 def test_rate_limit_literal(spark):
@@ -267,3 +301,92 @@ def test_same_partition(spark):
     a = spark.createDataFrame([(i, i % 3) for i in range(30)], "i long, label int")
     b = a.select("i", ((F.col("label") + 1) % 3).alias("label"))
     assert all(r["in_a"] and r["in_b"] for r in ST.same_partition(a, b, "i", "label").collect())
+
+
+def test_split_oversized_refines_all_at_once_and_leaves_copies(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.normal(size=4)], i % 3) for i in range(300)] + [(1000 + i, [1.0, 0.0, 0.0, 0.0], 7) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, vec array<double>, label int")
+    split = C.split_oversized(C.unit_features(df, "id", "vec"), df.select("id", "label"), "id", 30)
+    size = {r["label"]: r["count"] for r in split.groupBy("label").count().collect()}
+    assert size.pop("7") == 40 and sum(size.values()) == 300 and max(size.values()) <= 30
+    assert {r["label"].split(".")[0] for r in split.where("id < 1000").collect()} == {"0", "1", "2"}
+
+
+def test_blocked_products_in_many_blocks(spark, monkeypatch):
+    from inkstone.operators import blocked as B
+
+    rng = np.random.default_rng(4)
+    base = [(i, [float(np.float32(x)) for x in (np.ones(5) if i % 4 == 0 else rng.normal(size=5))]) for i in range(300)]
+    asks = [(i, [float(x) for x in rng.normal(size=5)]) for i in range(40)]
+    unit = lambda v: np.array(v) / np.linalg.norm(v)
+    want = {q: [i for _, i in sorted((-round(float(unit(v) @ unit(x)), 10), i) for i, x in base)[:7]] for q, v in asks}
+    for block in (10**6, 60):
+        monkeypatch.setattr(B, "BLOCK", block)
+        got = B.topk(spark.createDataFrame(asks, "query_id long, vector array<double>"), spark.createDataFrame(base, "base_id long, vector array<float>"), 7).collect()
+        assert {q: [r["base_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] for q in want} == want
+        home = B.nearest(spark.createDataFrame(base, "base_id long, vector array<float>"), "vector", spark.createDataFrame(asks, "label long, centroid array<double>"), "label").collect()
+        for r in home:
+            sims = {q: round(float(unit(v) @ unit(r["vector"])), 10) for q, v in asks}
+            assert r["home"] == min(sims, key=lambda q: (-sims[q], q)) and abs(r["sim"] - max(sims.values())) < 1e-9
+
+
+def test_upsert_keeps_the_files_of_untouched_buckets(spark, tmp_path):
+    from inkstone.sources import sinks
+
+    path, schema = str(tmp_path / "t"), "id long, v long, x string"
+    put = lambda rows, epoch: sinks.upsert_buckets(spark.createDataFrame(rows, schema), path, epoch, ["id"], "v", 8)
+    put([(i, 1, "a") for i in range(100)], 0)
+    put([(3, 2, "b"), (500, 2, "new")], 1)
+    held = sinks.manifest(spark, path)
+    assert len(held) == 8 and 1 <= sum(v == 1 for v in held.values()) <= 2 and set(held.values()) == {0, 1}
+    read = lambda: {r["id"]: r["x"] for r in sinks.read_buckets(spark, path, spark.createDataFrame([], schema).schema).collect()}
+    want = {i: "a" for i in range(100)} | {3: "b", 500: "new"}
+    assert read() == want
+    put([(3, 2, "b"), (500, 2, "new")], 1)  # a replayed batch
+    assert read() == want
+    put([(3, 1, "late")], 2)
+    assert read() == want
+
+
+def test_usage_objects_to_a_depth_of_six(spark):
+    from inkstone.sources import readers as R
+
+    deep = lambda n: '{"a":' * n + '{"prompt_tokens":1,"completion_tokens":2,"details":{"cached":{"n":1}}}' + "}" * n
+    lines = [(0, deep(0)), (6, deep(6)), (7, deep(7)), (10, '[{"prompt_tokens":3,"total_tokens":3},{"total_tokens":9}]'), (11, '{"prompt_tokens":'), (12, None),
+             (13, '{"prompt_tokens":4,"completion_tokens":null,"total_tokens":9}'), (14, '{"prompt_tokens":"5","completion_tokens":6,"usage":{"prompt_tokens":1,"completion_tokens":1,"total_tokens":2}}')]
+    got = sorted(map(tuple, R.deep_usage(spark.createDataFrame(lines, "k int, j string"), "k", "j").collect()), key=repr)
+    assert got == sorted([(0, "llm", 1, 2, None), (6, "llm", 1, 2, None), (10, "embed", 3, 0, 3), (13, "llm", 4, 0, 9), (14, "llm", 5, 6, None), (14, "llm", 1, 1, 2)], key=repr)
+
+
+def test_entity_without_a_vector_fails(spark):
+    from inkstone.sources import readers as R
+
+    ents, vecs = spark.createDataFrame([(1,), (2,)], "id long"), spark.createDataFrame([(1, [0.5])], "id long, v array<double>")
+    try:
+        R.entity_vectors(ents, vecs, "id", "v").collect()
+        raise AssertionError("a missing vector must fail")
+    except Exception as e:  # noqa: BLE001
+        assert "entity without vector: 2" in str(e)
+
+
+def test_postings_against_plain_search(spark):
+    from inkstone.operators import positions as P
+
+    rng = random.Random(6)
+    docs = [(i, "".join(rng.choice(["ab", "a", "é", " ", " ", "\n", "anan", "."]) for _ in range(120))) for i in range(25)] + [(90, None), (91, ""), (92, "anananan " * 9000)]
+    titles = ["a", "ab", "anan", "é", "zz", "ab a", "anan."]
+    got = {(r["doc_id"], r["title"], r["chunk_no"]): (r["at"], r["cnt"], r["fine"]) for r in P.postings(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(t,) for t in titles], "title string"), 7, 2).collect()}
+    want = {}
+    for d, text in docs:
+        tokens = list(re.finditer(r"[^ \t\n\r\f]+[ \t\n\r\f]*", text or ""))
+        for c, s in enumerate(range(0, len(tokens), 5)):
+            lo, hi = tokens[s].start(), tokens[min(s + 7, len(tokens)) - 1].end()
+            for t in titles:
+                forms = {t, t.replace(" ", ""), t.rstrip(".")}
+                words = [m.start() + lo for f in forms for m in re.finditer(rf"(?<![^\W\d_]){re.escape(f)}(?![^\W\d_])", text[lo:hi])]
+                words += [at for f in forms for at in range(lo, hi - len(f) + 1) if text.startswith(f, at) and not (at and text[at - 1].isalpha()) and not text[at + len(f):at + len(f) + 1].isalpha()]
+                if words:
+                    want[(d, t, c)] = (min(words), sum(text[lo:hi].count(f) for f in forms), min(text.find(f) for f in forms if f in text))
+    assert got == want

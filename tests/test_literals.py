@@ -95,15 +95,14 @@ def test_split_pages_last_body_wins(spark):
 
 
 def test_chunk_spans(spark):
-    d = spark.createDataFrame([(1, "xx abc")], "doc_id long, text string")
-    c = spark.createDataFrame([(1, 0, " abc"), (1, 1, "zz")], "doc_id long, chunk_no int, text string")
-    assert {r["chunk_no"]: (r["cs"], r["ce"]) for r in P.chunk_spans(c, d).collect()} == {0: (3, 7), 1: (-1, -1)}
+    d = spark.createDataFrame([(1, "xx abc", [(0, " abc"), (1, "zz")])], "doc_id long, text string, chunks array<struct<chunk_no:int,text:string>>")
+    assert {r["chunk_no"]: (r["cs"], r["ce"]) for r in P.chunk_spans(d, F.col("chunks")).collect()} == {0: (3, 7), 1: (-1, -1)}
 
 
 def test_mention_counts_sum_overlapping_variants(spark):
-    o = spark.createDataFrame([(1, "X.", 0)], "doc_id long, title string, chunk_no int")
-    c = spark.createDataFrame([(1, 0, "X. X")], "doc_id long, chunk_no int, text string")
-    assert P.mention_counts(o, c).first()["cnt"] == 3
+    d = spark.createDataFrame([(1, "X. X")], "doc_id long, text string")
+    t = spark.createDataFrame([("X.",)], "title string")
+    assert P.postings(d, t, 10, 0).first()["cnt"] == 3
 
 
 @pytest.mark.parametrize("starts, want", [([0, 2, 4], [0, 0, 1, 1, 2, 2]), ([0, -1, 5], [1, 1, 1, 1, 1, 2]), ([3, 4, 9], [0, 0, 0, 0, 1, 1])])
