@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkstone.llm.common import slices
+from inkstone.llm.common import slices, store
 
 Q = 8
 PIECE, STEP, MIN_PIECE = 64, 32, 24
@@ -41,13 +41,16 @@ def points(text: str) -> np.ndarray:
 
 
 def qgrams(x: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the Q characters from each place on."""
+    """64-bit hashes of the Q characters from each place on, of two halves that are hashed alike; Q is a power of two."""
     if len(x) < Q:
         return np.empty(0, np.uint64)
-    h = np.zeros(len(x) - Q + 1, np.uint64)
-    for i in range(Q):
-        h = (h ^ x[i:len(x) - Q + 1 + i]) * _MIX
-        h ^= h >> np.uint64(29)
+    h, step = x.astype(np.uint64), 1
+    while step < Q:
+        left = h[:-step] * _MIX
+        left += h[step:]
+        left ^= left >> np.uint64(29)
+        h, step = left, 2 * step
+    h *= _MIX
     return h
 
 
@@ -66,7 +69,8 @@ class Index:
             for s in starts:
                 self.item.append(item)
                 self.text.append(t[s:s + PIECE])
-        grams = [qgrams(points(t)) for t in self.text]
+        self.points = [points(t) for t in self.text]
+        grams = [qgrams(p) for p in self.points]
         key = np.concatenate(grams) if grams else np.empty(0, np.uint64)
         piece = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
         at = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.empty(0, np.int64)
@@ -125,7 +129,7 @@ class Index:
             return []
         found: set[int] = set()
         for piece, diagonal in self.candidates(x).tolist():
-            if self.item[piece] not in found and aligned(points(self.text[piece]), x, diagonal, int(self.edits[piece])):
+            if self.item[piece] not in found and aligned(self.points[piece], x, diagonal, int(self.edits[piece])):
                 found.add(self.item[piece])
         return sorted(found)
 
@@ -160,6 +164,8 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         part = sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         index = Index([(r.item_id, r.text) for r in part.orderBy("item_id", "text").toLocalIterator()])
         found = scan(found, index)
+        if blocks > 1:  # what this block matched is written before the next block is read
+            found = store(found, "matches")
     return found.select("doc_id", F.array_sort(F.array_distinct("items")).alias("items"))
 
 
