@@ -8,7 +8,7 @@ PAGE_RANGE_COMMENT = r"<!--\s*page\s+0*(\d+)[–\-]\d+\s*-->"
 PAGE_BREAK_COMMENT = r"<!--\s*PageBreak\s*-->"
 
 # ---- captions
-INLINE_CAPTION = r"(?mdi)^(?:그림\s*\d+[.\s]|Figure\s*\d+[.\s])|(?:\|.*\|.{0,100})$"
+INLINE_CAPTION = r"(?mdi)^(그림\s*\d+[\.\s]|Figure\s*\d+[\.\s])|(\|.*\|.{0,100})$"
 CAPTION_BAR = r"\s*[|￨ㅣ]\s*"
 SENTENCE_END = r"(?:다|음|함|임|됨|요|이다|지도|문서)\.?$|[.。!?]$"
 CAPTION_REGIONS = (

@@ -73,34 +73,35 @@ def largest_component(edges: DataFrame) -> DataFrame:
 EPS = 1e-12  # of modularity: less is rounding
 
 
-def _quality(und: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(part, q): modularity of each part's labels. ``nodes`` (part, v, label, k, own): degree and weight of self-loops."""
-    ends = und.join(nodes.select("part", F.col("v").alias("nbr"), F.col("label").alias("c")), ["part", "nbr"]).join(
-        nodes.select("part", "v", "label"), ["part", "v"])
-    inner = ends.where("c = label").groupBy("part").agg(F.sum("weight").alias("w"))
-    tot = nodes.groupBy("part", "label").agg(F.sum("k").alias("t"), F.sum("own").alias("o"))
-    per = tot.groupBy("part").agg(F.sum("t").alias("m2"), F.sum(F.col("t") * F.col("t")).alias("t2"), F.sum("o").alias("o"))
-    return per.join(inner, "part", "left").select(
-        "part", ((F.coalesce("w", F.lit(0.0)) + F.col("o")) / F.col("m2") - F.col("t2") / (F.col("m2") * F.col("m2"))).alias("q"))
+NODE = ["part", "v", "label", "k", "own", "m2"]  # degree, twice the weight of own loops, the part's sum of degrees
 
 
-def improving_moves(und: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(part, v, label, new, gain): for each vertex the neighbouring community it gains most modularity by joining, if any.
+SMALL = 1_000_000  # vertices up to which their labels are sent to every task instead of being joined by shuffle
 
-    Neighbour weights are partial sums, so a hub is no single task. Smaller labels win ties.
+
+def moves(und: DataFrame, nodes: DataFrame, few: bool = False) -> DataFrame:
+    """``nodes`` (part, v, label, k, own, m2) with ``t``, the degrees of its community, ``stay``, the weight of its edges inside,
+    and ``new`` and ``gain``: the neighbouring community it gains most modularity by joining, null if it gains by none.
+
+    Neighbour weights are partial sums, so a hub is no single task. Smaller labels win ties. ``few`` says that there are
+    no more than ``SMALL`` vertices.
     """
-    link = und.join(nodes.select("part", F.col("v").alias("nbr"), F.col("label").alias("c")), ["part", "nbr"]).groupBy("part", "v", "c").agg(F.sum("weight").alias("w"))
-    tot = nodes.groupBy("part", "label").agg(F.sum("k").alias("t"))
-    m2 = tot.groupBy("part").agg(F.sum("t").alias("m2"))
-    own = nodes.join(tot, ["part", "label"]).join(m2, "part").select("part", "v", "label", "k", "t", "m2")
-    j = link.join(own, ["part", "v"]).join(tot.select("part", F.col("label").alias("c"), F.col("t").alias("tc")), ["part", "c"])
+    send = F.broadcast if few else lambda df: df
+    n = nodes.join(send(nodes.groupBy("part", "label").agg(F.sum("k").alias("t"))), ["part", "label"])
+    link = und.join(send(n.select("part", F.col("v").alias("nbr"), F.col("label").alias("c"), F.col("t").alias("tc"))), ["part", "nbr"])
+    link = link.groupBy("part", "v", "c").agg(F.sum("weight").alias("w"), F.any_value("tc").alias("tc"))
     there = F.col("c") == F.col("label")
-    to = F.col("w") - F.col("k") * F.col("tc") / F.col("m2")
-    stay = F.coalesce(F.max(F.when(there, F.col("w"))), F.lit(0.0)) - F.any_value("k") * (F.any_value("t") - F.any_value("k")) / F.any_value("m2")
-    best = j.groupBy("part", "v").agg(
-        F.min(F.when(~there, F.struct((-to).alias("s"), F.col("c").alias("c")))).alias("b"), stay.alias("stay"), F.any_value("m2").alias("m2"), F.any_value("label").alias("label"))
-    gain = 2 * (-F.col("b.s") - F.col("stay")) / F.col("m2")
-    return best.where("b IS NOT NULL").select("part", "v", "label", F.col("b.c").alias("new"), gain.alias("gain")).where(F.col("gain") > EPS)
+    other = F.when(~there, F.struct((F.col("k") * F.col("tc") / F.col("m2") - F.col("w")).alias("s"), F.col("c").alias("c")))
+    per = n.join(link, ["part", "v"], "left").groupBy("part", "v").agg(
+        *[F.any_value(x).alias(x) for x in (*NODE[2:], "t")], F.coalesce(F.max(F.when(there, F.col("w"))), F.lit(0.0)).alias("stay"), F.min(other).alias("b"))
+    gain = 2 * (F.col("k") * (F.col("t") - F.col("k")) / F.col("m2") - F.col("stay") - F.col("b.s")) / F.col("m2")
+    return per.withColumn("gain", gain).select(*NODE, "t", "stay", F.when(F.col("gain") > EPS, F.col("b.c")).alias("new"), "gain")
+
+
+def quality(view: DataFrame) -> DataFrame:
+    """(part, q, open): modularity of each part, and whether any of its vertices can gain, from what ``moves`` gives."""
+    m2 = F.max("m2")
+    return view.groupBy("part").agg(((F.sum("stay") + F.sum("own")) / m2 - F.sum(F.col("k") * F.col("t")) / (m2 * m2)).alias("q"), F.bool_or(F.col("new").isNotNull()).alias("open"))
 
 
 def _settle(und: DataFrame, nodes: DataFrame) -> tuple[DataFrame, bool]:
@@ -111,29 +112,35 @@ def _settle(und: DataFrame, nodes: DataFrame) -> tuple[DataFrame, bool]:
     did not rise takes its round back and lowers the share, at last to none. So modularity rises and the loop ends.
     """
     moved, turn = False, 0
-    state = written(_quality(und, nodes).withColumn("share", F.lit(0.5)).withColumn("ended", F.lit(False)))
+    few = nodes.count() <= SMALL
+    cur = written(moves(und, nodes, few))
+    state = written(quality(cur).select("part", "q", F.lit(0.5).alias("share"), (~F.col("open")).alias("ended"), F.lit(False).alias("up")))
     while True:
+        over = state.agg(F.bool_and("ended")).first()[0]
+        if over is None or over:
+            return cur.select(*NODE), moved
         turn += 1
-        live = state.where("NOT ended").select("part", "share")
-        cand = written(improving_moves(und.join(live.select("part"), "part", "left_semi"), nodes))
+        cand = cur.where("new IS NOT NULL").join(state.where("NOT ended").select("part", "share"), "part")
         ends = cand.select("part", "v", "gain", F.explode(F.array("label", "new")).alias("c"))
         best = ends.groupBy("part", "c").agg(F.min(F.struct((-F.col("gain")).alias("g"), "v")).alias("b")).select("part", F.col("b.v").alias("v"))
         free = best.groupBy("part", "v").agg((F.count("*") == 2).alias("free"))
         luck = F.pmod(F.xxhash64("v", F.lit(turn)), F.lit(1 << 20)) / float(1 << 20)
-        chosen = cand.join(free, ["part", "v"], "left").join(live, "part").where(F.coalesce("free", F.lit(False)) | (luck < F.col("share"))).select("part", "v", "new")
-        trial = written(nodes.join(chosen, ["part", "v"], "left").withColumn("new", F.coalesce("new", "label")))
-        tried = trial.groupBy("part").agg(F.bool_or(F.col("new") != F.col("label")).alias("tried"))
-        after = _quality(und, trial.drop("label").withColumnRenamed("new", "label")).withColumnRenamed("q", "q1").join(tried, "part")
-        up = F.col("tried") & (F.col("q1") > F.col("q") + EPS)
+        chosen = cand.join(free, ["part", "v"], "left").where(F.coalesce("free", F.lit(False)) | (luck < F.col("share"))).select("part", "v", F.col("new").alias("to"))
+        trial = written(moves(und, cur.select(*NODE).join(chosen, ["part", "v"], "left").withColumn("label", F.coalesce("to", "label")).select(*NODE), few))
+        after = quality(trial).withColumnRenamed("q", "q1")
+        up = ~F.col("ended") & (F.col("q1") > F.col("q") + EPS)
         state = written(state.drop("up").join(after, "part").select(
             "part", F.when(up, F.col("q1")).otherwise(F.col("q")).alias("q"),
             F.when(up, F.least(F.lit(0.5), F.col("share") * 2)).when(F.col("share") < 0.05, 0.0).otherwise(F.col("share") / 4).alias("share"),
-            (F.col("ended") | ~F.col("tried") | (~up & (F.col("share") == 0.0))).alias("ended"), up.alias("up")))
-        rose, over = state.agg(F.bool_or("up"), F.bool_and("ended")).first()
-        moved = moved or bool(rose)
-        nodes = trial.join(state.select("part", "up"), "part").withColumn("label", F.when(F.col("up"), F.col("new")).otherwise(F.col("label"))).drop("new", "up")
-        if over is None or over:
-            return written(nodes), moved
+            (F.col("ended") | (up & ~F.col("open")) | (~up & (F.col("share") == 0.0))).alias("ended"), up.alias("up"), (up | F.col("ended")).alias("taken")))
+        some, every = state.agg(F.bool_or("up"), F.bool_and("taken")).first()
+        moved = moved or some
+        if every:
+            cur = trial
+        elif some:
+            kept = state.where("up").select("part")
+            cur = written(trial.join(kept, "part", "left_semi").unionByName(cur.join(kept, "part", "left_anti")))
+        state = state.drop("taken")
 
 
 def communities(edges: DataFrame) -> DataFrame:
@@ -144,20 +151,20 @@ def communities(edges: DataFrame) -> DataFrame:
     """
     e = edges.where("source <> target").groupBy("part", F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).agg(F.sum("weight").alias("weight"))
     und = written(e.select("part", F.inline(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("nbr"), "weight"), F.struct(F.col("b").alias("v"), F.col("a").alias("nbr"), "weight")))))
-    nodes = written(und.groupBy("part", "v").agg(F.sum("weight").alias("k")).select("part", "v", F.col("v").alias("label"), "k", F.lit(0.0).alias("own")))
+    m2 = und.groupBy("part").agg(F.sum("weight").alias("m2"))
+    nodes = written(und.groupBy("part", "v").agg(F.sum("weight").alias("k")).join(m2, "part").select("part", "v", F.col("v").alias("label"), "k", F.lit(0.0).alias("own"), "m2"))
     while True:
         nodes, _ = _settle(und, nodes)
         ends = und.join(nodes.select("part", "v", "label"), ["part", "v"]).join(nodes.select("part", F.col("v").alias("nbr"), F.col("label").alias("c")), ["part", "nbr"])
-        between = ends.groupBy("part", "label", "c").agg(F.sum("weight").alias("weight"))
-        merged = written(between.where("label <> c").select("part", F.col("label").alias("v"), F.col("c").alias("nbr"), "weight"))
+        between = written(ends.groupBy("part", "label", "c").agg(F.sum("weight").alias("weight")))
         inner = between.where("label = c").select("part", F.col("label").alias("v"), F.col("weight").alias("own"))
-        above = written(nodes.groupBy("part", F.col("label").alias("v")).agg(F.sum("k").alias("k")).join(inner, ["part", "v"], "left").select(
-            "part", "v", F.col("v").alias("label"), "k", F.coalesce("own", F.lit(0.0)).alias("own")))
-        above, moved = _settle(merged, above)
+        above = nodes.groupBy("part", F.col("label").alias("v")).agg(F.sum("k").alias("k"), F.max("m2").alias("m2")).join(inner, ["part", "v"], "left")
+        above = written(above.select("part", "v", F.col("v").alias("label"), "k", F.coalesce("own", F.lit(0.0)).alias("own"), "m2"))
+        above, moved = _settle(between.where("label <> c").select("part", F.col("label").alias("v"), F.col("c").alias("nbr"), "weight"), above)
         if not moved:
             return nodes.select("part", "v", "label")
-        nodes = written(nodes.join(above.select("part", F.col("v").alias("label"), F.col("label").alias("up")), ["part", "label"]).select(
-            "part", "v", F.col("up").alias("label"), "k", "own"))
+        up = above.select("part", F.col("v").alias("label"), F.col("label").alias("up"))
+        nodes = written(nodes.join(up, ["part", "label"]).withColumn("label", F.col("up")).select(*NODE))
 
 
 def community_labels(edges: DataFrame, max_size: int) -> DataFrame:

@@ -49,7 +49,7 @@ def component_count(t):
 
 @query("community_labels")
 def community_labels(t):
-    return G.community_labels(V.graph(t), max_size=50)
+    return G.community_labels(V.graph(t), max_size=300)
 
 
 @query("community_hierarchy", """SELECT c.community, c.level, c.title, p.title AS parent_title, coalesce(k.n, 0) AS n_children, k.a AS first_child, k.b AS last_child FROM v_community c LEFT JOIN v_community p ON p.community = c.parent

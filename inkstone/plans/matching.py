@@ -158,17 +158,25 @@ view_sql("v_box_pair", """SELECT a.image, a.idx, b.x0, b.y0, b.x1, b.y1, (a.x1 -
   FROM v_box a JOIN v_box b ON b.image = a.image AND b.idx <> a.idx AND least(a.x1, b.x1) > greatest(a.x0, b.x0) AND least(a.y1, b.y1) > greatest(a.y0, b.y0)""")
 
 
-@query("box_merge_flags", """WITH u AS (SELECT image, idx, min(x0) AS ux0, min(y0) AS uy0, max(x1) AS ux1, max(y1) AS uy1 FROM v_box_pair WHERE ratio > 0.5 GROUP BY ALL HAVING count(*) >= 2 AND bool_and(area_a >= area_b)),
+FLAGS = """WITH u AS (SELECT image, idx, min(x0) AS ux0, min(y0) AS uy0, max(x1) AS ux1, max(y1) AS uy1 FROM v_box_pair WHERE ratio > 0.5 GROUP BY ALL HAVING count(*) >= 2 AND bool_and(area_a >= area_b)),
   b AS (SELECT v_box.*, u.ux0, (x1 - x0) * (y1 - y0) AS area, unnest([0, 1, 2, 3]) AS r, unnest([x0, x0, ux1, x0]) AS bx0, unnest([uy1, y0, y0, y0]) AS by0, unnest([x1, x1, x1, ux0]) AS bx1, unnest([y1, uy0, y1, y1]) AS by1 FROM v_box JOIN u ON u.image = v_box.image AND u.idx = v_box.idx),
   g AS (SELECT *, (bx1 - bx0) * (by1 - by0) AS barea FROM b WHERE bx1 - bx0 >= 40 AND by1 - by0 >= 40), m AS (SELECT *, row_number() OVER (PARTITION BY image, idx ORDER BY barea DESC, r) AS rn FROM g QUALIFY rn = 1)
   SELECT v.image, v.idx, CASE WHEN m.barea >= 0.25 * m.area THEN bx0 ELSE v.x0 END AS x0, CASE WHEN m.barea >= 0.25 * m.area THEN by0 ELSE v.y0 END AS y0, CASE WHEN m.barea >= 0.25 * m.area THEN bx1 ELSE v.x1 END AS x1,
   CASE WHEN m.barea >= 0.25 * m.area THEN by1 ELSE v.y1 END AS y1, CASE WHEN u.idx IS NULL THEN 'kept' WHEN m.barea >= 0.25 * m.area THEN 'band' ELSE 'drop' END AS rule1
-  FROM v_box v LEFT JOIN u ON u.image = v.image AND u.idx = v.idx LEFT JOIN m ON m.image = v.image AND m.idx = v.idx""")
+  FROM v_box v LEFT JOIN u ON u.image = v.image AND u.idx = v.idx LEFT JOIN m ON m.image = v.image AND m.idx = v.idx"""
+view_sql("v_box_flag", FLAGS)
+
+
+@query("box_merge_flags", FLAGS)
 def box_merge_flags(t):
     return M.merged_boxes(boxes(t))
 
 
-@query("box_cleanup")
+@query("box_cleanup", """WITH RECURSIVE l AS (SELECT *, (x1 - x0) * (y1 - y0) AS area FROM v_box_flag WHERE rule1 <> 'drop'),
+  c AS (SELECT a.image, list({'small': a.idx, 'big': b.idx} ORDER BY a.idx, b.idx) AS p FROM l a JOIN l b ON b.image = a.image AND b.idx <> a.idx AND b.area > a.area AND least(a.x1, b.x1) > greatest(a.x0, b.x0) AND least(a.y1, b.y1) > greatest(a.y0, b.y0)
+    AND (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) >= 0.8 * greatest(1, least(a.area, b.area)) GROUP BY a.image),
+  r AS (SELECT image, p, 1 AS k, CAST([] AS INTEGER[]) AS gone FROM c UNION ALL SELECT image, p, k + 1, CASE WHEN list_contains(gone, p[k].big) THEN gone ELSE list_append(gone, p[k].small) END FROM r WHERE k <= len(p))
+  SELECT image, idx, x0, y0, x1, y1, rule1 FROM l ANTI JOIN (SELECT image, unnest(gone) AS idx FROM r WHERE k > len(p)) g USING (image, idx)""")
 def box_cleanup(t):
     return M.box_cleanup(boxes(t))
 
@@ -187,7 +195,14 @@ def caption_box_match(t):
     return M.caption_boxes(b, caps)
 
 
-@query("box_merge")
+NEAR = "greatest(a.x0 - b.x1, b.x0 - a.x1, a.y0 - b.y1, b.y0 - a.y1) <= 4"
+
+
+@query("box_merge", f"""WITH RECURSIVE r AS (SELECT image, list({{'idx': idx, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}} ORDER BY idx) AS l, 0 AS step FROM v_box GROUP BY image
+  UNION ALL SELECT image, list_append(list_filter(l, lambda x: x.idx <> p.a.idx AND x.idx <> p.b.idx),
+      {{'idx': p.a.idx, 'x0': least(p.a.x0, p.b.x0), 'y0': least(p.a.y0, p.b.y0), 'x1': greatest(p.a.x1, p.b.x1), 'y1': greatest(p.a.y1, p.b.y1)}}), step + 1
+    FROM (SELECT image, l, step, flatten(list_transform(l, lambda a: list_transform(list_filter(l, lambda b: a.idx < b.idx AND {NEAR}), lambda b: {{'a': a, 'b': b}})))[1] AS p FROM r) WHERE p IS NOT NULL)
+  SELECT image, CAST(row_number() OVER (PARTITION BY image ORDER BY u.idx) - 1 AS INTEGER) AS idx, u.x0 AS x0, u.y0 AS y0, u.x1 AS x1, u.y1 AS y1 FROM (SELECT image, unnest(l) AS u FROM (SELECT image, arg_max(l, step) AS l FROM r GROUP BY image))""")
 def box_merge(t):
     return M.box_merge(boxes(t), 4)
 

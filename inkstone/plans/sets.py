@@ -62,12 +62,18 @@ def keyed_replace(t):
     return m.unionByName(U.strict_total(m, ["tokens", "calls"]).select(L("TOTAL").alias("method"), "tokens", "calls", L(None).cast("string").alias("age")))
 
 
-@query("absorb_rooms")
-def absorb_rooms(t):
-    return U.absorb_rooms(V.rooms(t), V.sections(t), min_kept=2, max_rooms=10)
+view_sql("v_kept_n", "SELECT s.doc_id, s.idx, count(r.title) FILTER (WHERE r.status = 'kept') AS kept_n, count(r.title) FILTER (WHERE r.status = 'demoted') AS demoted_n FROM v_section s LEFT JOIN v_room r ON r.doc_id = s.doc_id AND r.section = s.idx GROUP BY ALL")
 
 
-view_sql("v_kept_n", "SELECT s.doc_id, s.idx, count(r.title) FILTER (WHERE r.status = 'kept') AS kept_n, count(r.title) FILTER (WHERE r.status = 'demoted') AS demoted_n FROM v_section s LEFT JOIN v_room r ON r.doc_id = s.doc_id AND r.section = s.idx GROUP BY ALL")
+@query("absorb_rooms", """WITH RECURSIVE s AS (SELECT doc_id, list({'lo': idx, 'host': idx, 'n': kept_n} ORDER BY idx) AS l, 0 AS step FROM v_kept_n GROUP BY doc_id
+  UNION ALL SELECT doc_id, CASE WHEN i > 1 THEN list_concat(list_append(l[:i - 2], {'lo': l[i - 1].lo, 'host': l[i - 1].host, 'n': l[i - 1].n + l[i].n}), l[i + 1:])
+      ELSE list_prepend({'lo': l[1].lo, 'host': l[2].host, 'n': l[1].n + l[2].n}, l[3:]) END, step + 1
+    FROM (SELECT *, list_min(list_transform(l, lambda x: x.n)) AS least_n, list_position(list_transform(l, lambda x: x.n), list_min(list_transform(l, lambda x: x.n))) AS i FROM s) WHERE len(l) > 1 AND (len(l) > 10 OR least_n < 2)),
+  f AS (SELECT doc_id, x.lo AS lo, x.host AS host, new_id FROM (SELECT doc_id, unnest(l) AS x, unnest(range(len(l))) AS new_id FROM (SELECT doc_id, arg_max(l, step) AS l FROM s GROUP BY doc_id)))
+  SELECT r.doc_id, CAST(new_id AS INTEGER) AS new_id, host, section, title, status, CAST(row_number() OVER (PARTITION BY r.doc_id, new_id, status ORDER BY section, rank) AS INTEGER) AS rank
+  FROM v_room r ASOF JOIN f ON f.doc_id = r.doc_id AND r.section >= f.lo""")
+def absorb_rooms(t):
+    return U.absorb_rooms(V.rooms(t), V.sections(t), min_kept=2, max_rooms=10)
 
 
 @query("absorb_empty", """WITH h AS (SELECT k.doc_id, k.idx, s.name, k.demoted_n, coalesce(first_value(CASE WHEN kept_n > 0 THEN k.idx END IGNORE NULLS) OVER (PARTITION BY k.doc_id ORDER BY k.idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING),

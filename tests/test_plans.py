@@ -24,6 +24,20 @@ def test_rank_limit_is_partial(spark, name):
     assert "WindowGroupLimit" in plan(QUERIES[name](spark, SF))
 
 
+@pytest.mark.parametrize("name", ["entity_positions", "mention_counts", "first_occurrence", "entity_pages", "entity_hits", "candidate_score", "chunk_spans"])
+def test_texts_are_not_shuffled(spark, name):
+    """No exchange below or above the scan of a text carries a text column."""
+    for line in plan(QUERIES[name](spark, SF)).split("== Physical Plan ==")[-1].splitlines():
+        if "Exchange" in line and "Project" not in line:
+            assert not re.search(r"hashpartitioning\([^)]*\btext#", line)
+
+
+@pytest.mark.parametrize("name", ["match_cascade", "match_collisions", "caption_box_match", "local_context", "vector_topk", "orphan_home", "cluster_quality", "provenance_reports", "frozen_input", "absorb_empty"])
+def test_no_product_of_rows(spark, name):
+    text = plan(QUERIES[name](spark, SF))
+    assert "CartesianProduct" not in text and not re.search(r"BroadcastNestedLoopJoin (?!BuildRight, Inner\b)", text)
+
+
 def test_scan_is_pruned_and_filtered(spark):
     text = plan(QUERIES["entity_hits"](spark, SF))
     assert re.search(r"PushedFilters: \[[^\]]*EqualTo\(role,user\)", text)

@@ -18,6 +18,15 @@ def test_query(spark, con, name):
         assert len(df.take(1)) == 1
 
 
+@pytest.mark.parametrize("name", ["entity_positions", "candidate_topk", "vector_topk", "local_context"])
+def test_query_on_more_rows(spark, name):
+    """Rounding and ties that the smallest tables don't show."""
+    from compare import duck
+
+    sf = "/root/testdata/sf0.01"
+    assert compare(QUERIES[name](spark, sf), duck(sf), SQL[name]) is None
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
