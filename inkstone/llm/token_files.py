@@ -31,7 +31,9 @@ BLOCK = 128
 PERCENTILE = 90
 #: Ids of a segment; a longer document is a segment of its own.
 SEGMENT = 1 << 18
-CACHE = 500_000
+#: Words, and parts of words, that a worker remembers: about 200 bytes each.
+CACHE = 1_000_000
+ENDS = frozenset(".,;:!?")
 #: Words that need no normalisation but lower case, and the parts the vocabulary's pattern cuts them in.
 PLAIN = re.compile(r"[\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
 PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
@@ -52,19 +54,23 @@ def encode_blocks(ids: np.ndarray) -> tuple[bytes, bytes]:
     rest = x - low[:, None]
     ordered = np.partition(rest, (BLOCK * PERCENTILE) // 100, axis=1)[:, (BLOCK * PERCENTILE) // 100]
     width = np.ceil(np.log2(ordered.astype(np.float64) + 1)).astype(np.int64)
-    out: list[bytes] = [b""] * count
+    over = np.where(width[:, None] < 32, rest >> np.minimum(width, 31).astype(np.uint32)[:, None], np.uint32(0))
+    row, col = np.nonzero(over)
+    wrong = np.bincount(row, minlength=count)
+    sizes = HEAD.size + BLOCK // 8 * width + 5 * wrong
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    out = np.empty(int(sizes.sum()), np.uint8)
+    out[starts[:, None] + np.arange(4)] = low.astype("<u4").view(np.uint8).reshape(count, 4)
+    out[starts + 4], out[starts + 5], out[starts + 6] = width, wrong, BLOCK
+    out[starts[-1] + 6] = n - BLOCK * (count - 1)
     for w in np.unique(width):
         at = np.flatnonzero(width == w)
-        r = rest[at]
-        packed = pack_bits(r, int(w))
-        over = r >> np.uint32(w) if w < 32 else np.zeros_like(r)
-        patched = over.any(axis=1)
-        for k, b in enumerate(at):
-            values = BLOCK if b < count - 1 else n - BLOCK * (count - 1)
-            where = np.flatnonzero(over[k]).astype(np.uint8) if patched[k] else np.empty(0, np.uint8)
-            out[b] = HEAD.pack(int(low[b]), int(w), len(where), values) + packed[k].tobytes() + where.tobytes() + over[k][where].astype("<u4").tobytes()
-    starts = np.concatenate([[0], np.cumsum([len(p) for p in out])[:-1]]).astype("<u4")
-    return b"".join(out), starts.tobytes()
+        out[(starts[at] + HEAD.size)[:, None] + np.arange(BLOCK // 8 * w)] = pack_bits(rest[at], int(w))
+    place = (starts + HEAD.size + BLOCK // 8 * width)[row]
+    rank = np.arange(len(row)) - np.repeat(np.cumsum(wrong) - wrong, wrong)
+    out[place + rank] = col
+    out[(place + wrong[row] + 4 * rank)[:, None] + np.arange(4)] = over[row, col].astype("<u4").view(np.uint8).reshape(-1, 4)
+    return out.tobytes(), starts.astype("<u4").tobytes()
 
 
 def pack_bits(rows: np.ndarray, width: int) -> np.ndarray:
@@ -136,7 +142,11 @@ class WordIds:
             self.parts.clear()
         whole = []
         for w in new:
-            if PLAIN.fullmatch(w) and "<|" not in w:
+            if w.isascii() and w.isalpha():
+                self.known[w] = self.part(w.lower())
+            elif w[-1] in ENDS and w[:-1].isascii() and w[:-1].isalpha():  # as the pattern cuts it
+                self.known[w] = self.part(w[:-1].lower()) + self.part(w[-1])
+            elif PLAIN.fullmatch(w) and "<|" not in w:
                 low = w.lower()
                 self.known[w] = self.part(low) if low.isalpha() else b"".join([self.part(p) for p in PARTS.findall(low)])
             else:
