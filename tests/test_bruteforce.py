@@ -2,6 +2,9 @@
 
 import random
 import re
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -26,6 +29,18 @@ def test_contains_join(spark):
     assert got == {(i, t) for i, s in texts for t in titles if t in s}
 
 
+def test_text_slices_in_a_fresh_process():
+    # a worker that has loaded nothing else: candidate_score and candidate_topk failed there, pyarrow.compute was not imported
+    # (pa.array would import pandas, which imports it)
+    code = """import struct
+import pyarrow as pa
+from inkstone.operators.contains import text_slices
+t = pa.Array.from_buffers(pa.string(), 3, [pa.py_buffer(bytes([5])), pa.py_buffer(struct.pack("4i", 0, 2, 2, 3)), pa.py_buffer(b"abc")])
+print([r for s in text_slices([pa.RecordBatch.from_arrays([t], names=["t"])], "t") for r in s.column("t").to_pylist()])"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=Path(__file__).resolve().parents[1])
+    assert done.stdout.strip() == "['ab', None, 'c']", done.stderr
+
+
 def test_full_rank(spark):
     rng = random.Random(2)
     rows = [(rng.choice([0, 0, 0, 1]), rng.randint(0, 9), i) for i in range(500)]
