@@ -405,3 +405,18 @@ def test_postings_against_plain_search(spark):
                 if words:
                     want[(d, t, c)] = (min(words), sum(text[lo:hi].count(f) for f in forms), min(text.find(f) for f in forms if f in text))
     assert got == want
+
+
+def test_match_score_of_small_documents(spark):
+    figs = [(1, 1, 1, "ab", "ab x", 0), (1, 2, 2, "", "", 1), (1, 3, 9, "c", "c", 2), (2, 1, 1, "zz", "zz", 3)]
+    nodes = [(1, "abc", 4, 0), (1, "q", 2, 1), (1, "far", 0, 2), (2, "zz", 0, 3), (2, "gone", 1, 7)]
+    hits = [(1, "abc", 1), (1, "q", 3), (1, "far", 6), (2, "zz", 2), (2, "gone", 1), (3, "abc", 1)]
+    vectors = [(0, [1.0, 0.0]), (1, [0.0, 2.0]), (2, [3.0, 4.0]), (3, None), (4, [1.0, 1.0])]
+    frames = [spark.createDataFrame(rows, kinds) for rows, kinds in (
+        (figs, "doc_id long, row int, page int, caption string, cap_title string, vec_id long"), (hits, "doc_id long, title string, page int"),
+        (nodes, "doc_id long, title string, degree int, vec_id long"), (vectors, "vec_id long, vector array<double>"))]
+    got = {(r["doc_id"], r["row"], r["title"]): round(r["score"], 6) for r in M.match_score(*frames).collect()}
+    # cosine, + 0.5 for a name that starts a caption word or is started by one, - 0.1 of the degree's share
+    assert got == {(1, 1, "abc"): 1.4, (1, 2, "abc"): -0.1, (1, 2, "q"): 0.95, (2, 1, "zz"): 0.5}
+    tiers = {(r["doc_id"], r["row"]): (r["tier"], r["match"]) for r in M.match_cascade(*frames).collect()}
+    assert tiers == {(1, 1): ("local", "abc"), (1, 2): ("unplaced", None), (1, 3): ("cascade", "far"), (2, 1): ("local", "zz")}

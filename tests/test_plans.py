@@ -50,3 +50,8 @@ def test_no_local_checkpoint_in_sources():
 
     for p in (Path(__file__).resolve().parents[1] / "inkstone").rglob("*.py"):
         assert "localCheckpoint" not in p.read_text()
+
+
+@pytest.mark.parametrize("name", ["match_score", "match_cascade", "page_window_candidates"])
+def test_pairs_of_figure_and_entity_are_not_shuffled(spark, name):
+    assert not re.search(r"Exchange hashpartitioning\(doc_id#\d+L?, (row#\d+, )?title#", plan(QUERIES[name](spark, SF)).split("== Physical Plan ==")[-1])
