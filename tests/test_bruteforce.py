@@ -346,6 +346,32 @@ def test_blocked_products_in_many_blocks(spark, monkeypatch):
             assert r["home"] == min(sims, key=lambda q: (-sims[q], q)) and abs(r["sim"] - max(sims.values())) < 1e-9
 
 
+def test_best_rows_hold_few_scores():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from inkstone.operators import blocked as B
+
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(9000, 4)).round()  # many equal vectors, some without length
+    base[17] = np.nan
+    ids = rng.permutation(9000)
+    block = rng.normal(size=(1500, 4))
+    block /= np.linalg.norm(block, axis=1, keepdims=True)
+    batches = [pa.RecordBatch.from_arrays([pa.array(ids[i:i + 5000]), pa.array(list(base[i:i + 5000]))], names=["base_id", "vector"]) for i in (0, 5000)]
+    tracemalloc.start()
+    scores, found = B.best_rows(iter(batches), block, 6)
+    assert tracemalloc.get_traced_memory()[1] < 100e6  # all pairs of a slice as lists took 593 MB
+    tracemalloc.stop()
+    unit = base / np.maximum(np.linalg.norm(base, axis=1, keepdims=True), 1e-12)
+    for q in range(0, 1500, 50):
+        s = np.round(unit @ block[q], B.DIGITS)
+        s[np.isnan(s)] = -np.inf
+        order = np.lexsort((ids, -s))[:6]
+        assert found[q].tolist() == ids[order].tolist() and np.allclose(scores[q], s[order])
+
+
 def test_upsert_keeps_the_files_of_untouched_buckets(spark, tmp_path):
     from inkstone.sources import sinks
 
