@@ -55,3 +55,13 @@ def test_no_local_checkpoint_in_sources():
 @pytest.mark.parametrize("name", ["match_score", "match_cascade", "page_window_candidates"])
 def test_pairs_of_figure_and_entity_are_not_shuffled(spark, name):
     assert not re.search(r"Exchange hashpartitioning\(doc_id#\d+L?, (row#\d+, )?title#", plan(QUERIES[name](spark, SF)).split("== Physical Plan ==")[-1])
+
+
+def test_edges_and_entities_are_dealt_by_document_once(spark):
+    from inkstone.plans import views as V
+    from inkstone.plans.registry import Tables
+
+    t = Tables(spark, SF)
+    for df in (V.build_edges(t), V.build_entities(t)):
+        assert re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan(df).split("== Physical Plan ==")[-1]) and not re.search(
+            r"Exchange hashpartitioning\(doc_id#\d+L?, [a-z_]+#", plan(df).split("== Physical Plan ==")[-1])
