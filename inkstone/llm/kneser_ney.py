@@ -1,7 +1,7 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of character n-grams from trusted text.
 
-Trusted are documents that a label calls good and not toxic. By hash, half of them train the model (at most
-TRAIN_DOCS of a language), the other half set the threshold: a document is rejected when its perplexity is above the
+Trusted are documents that a label calls good and not toxic. By hash, half of them train the model,
+the other half set the threshold: a document is rejected when its perplexity is above the
 QUANTILE of its language's trusted documents by more than MARGIN. Counts, continuation counts, discounts and back-off weights are joins and
 aggregates of n-gram tables sharded by key. Documents ask for their distinct n-grams block by block, the answers come from one
 join with the model and return to the block.
@@ -18,13 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkstone.llm.common import blocks, slices, store
 
 ORDER, BITS = 4, 15
-TRAIN_DOCS = 5_000
 QUANTILE, MARGIN = 0.99, 0.03
 #: Short texts: so many characters at the language's median are added before the comparison.
 PRIOR_CHARS = 200
@@ -189,16 +188,8 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``classify`` with the column ``row``, the key of the row."""
     trusted = store(trusted_ids(labels), "trusted")
-    # the sample is bounded by TRAIN_DOCS a language, so its ids and its model are small: the rows with the smallest hashes;
-    # a count by language gives a hash above which none of them lies (but for a chance of one in a million), and only
-    # the rows below it are ranked
-    picks = docs.select("doc_id", F.coalesce("lang", F.lit("und")).alias("lang")).join(trusted.where("trains").select("doc_id"), "doc_id")
-    picks = store(picks.withColumn("h", F.xxhash64("doc_id", F.lit(7))), "picks")
-    share = picks.groupBy("lang").agg((F.lit(TRAIN_DOCS + 5 * TRAIN_DOCS**0.5) / F.count("*")).alias("share"))
-    low = (F.shiftright("h", 11) + F.lit(1 << 52)) / float(1 << 53) < F.col("share")
-    place = Window.partitionBy("lang").orderBy("h", "doc_id")
-    sample = picks.join(share, "lang").where(low).withColumn("r", F.row_number().over(place)).where(F.col("r") <= TRAIN_DOCS)
-    sample = store(sample.select("doc_id").distinct(), "sample")
+    # every trusted document of the training half
+    sample = store(docs.select("doc_id").join(trusted.where("trains").select("doc_id"), "doc_id").distinct(), "sample")
     few = sample.count()
     if not few:
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row"), F.coalesce("lang", F.lit("und")).alias("lang"), F.lit(None).cast("long").alias("n_chars"),

@@ -75,3 +75,14 @@ def test_without_labels_everything_stays(spark, make):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r.kept for r in K.classify(make([(1, "a"), (2, None)]), none).collect()] == [True, True]
     assert K.classify(make([]), none).count() == 0
+
+
+def test_every_trusted_document_of_the_training_half_trains(spark, monkeypatch):
+    seen = []
+    count = K.count_ngrams
+    monkeypatch.setattr(K, "TRAIN_DOCS", 3, raising=False)  # a bound of earlier versions
+    monkeypatch.setattr(K, "count_ngrams", lambda docs: seen.extend(r[0] for r in docs.select("doc_id").collect()) or count(docs))
+    docs = spark.createDataFrame([(i, f"text number {i} of some", "en") for i in range(40)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    K.verdicts(docs, labels).collect()
+    assert sorted(seen) == sorted(r["doc_id"] for r in K.trusted_ids(labels).where("trains").collect()) and len(seen) > 3
