@@ -184,3 +184,23 @@ def test_unknown_member_titles_count_nowhere(spark):
     members = table([(5, "a", 3), (5, "b", 2), (5, "ghost", 9)], "community long, title string, degree int")
     got = RT.provenance(cites, ["q"], ents, table([], "hr long, source string, target string"), table([], "hr long, title string"), table([(5, 5)], "hr long, community long"), members).collect()
     assert [(r.rank, r.title, r.entities_total) for r in sorted(got)] == [(1, "a", 2), (2, "b", 2)]
+
+
+def test_placed(spark):
+    from inkstone.operators import positions as P
+
+    index = spark.createDataFrame([(1, "a", 0, 5, 2, 3, 0), (1, "a", 1, 40, 2, 3, 30), (1, "a", 2, 70, 1, 3, -1), (1, "b", 1, 30, 1, 30, 30)],
+                                  "doc_id long, title string, chunk_no int, at int, cnt int, fine int, cs int")
+    ents = spark.createDataFrame([(1, "a", 4), (1, "c", 1), (2, "d", 0)], "doc_id long, title string, degree int")
+    secs = spark.createDataFrame([(1, 0, 0), (1, 1, 10), (1, 2, 30), (1, 3, 20)], "doc_id long, idx int, start_offset int")
+    got = {r["title"]: r for r in P.placed(index, ents, secs).collect()}
+    assert sorted(got) == ["a", "b", "c", "d"]
+    a, b, c = got["a"], got["b"], got["c"]
+    assert (a["n_text_units"], a["pos_first"], a["pos_mode"], a["pos_centroid"], a["pos_first_fine"], a["graph_degree"], a["section"]) == (3, 0, 0, 15.0, 3, 4, 0)
+    assert (b["pos_mode"], b["section"], b["graph_degree"]) == (30, 3, 0)  # starts count by their running maximum
+    assert (c["n_text_units"], c["pos_first"], c["pos_mode"], c["pos_first_fine"], c["fine_matched"], c["section"]) == (0, -1, -1, -1, False, None)
+    occ = spark.createDataFrame([(1, "a", 0), (1, "c", 1), (2, "d", 0)], "doc_id long, title string, chunk_no int")
+    spans = spark.createDataFrame([(1, 0, 0, 25), (1, 1, 25, 60)], "doc_id long, chunk_no int, cs int, ce int")
+    ends = secs.where("idx < 3").selectExpr("*", "CASE idx WHEN 0 THEN 10 WHEN 1 THEN 30 ELSE 60 END AS end_offset")
+    rows = {r["title"]: (r["section"], r["method"], r["ratio"]) for r in P.assign_sections(P.placed(index, ents, secs), lambda: (occ, spans, ends)).collect()}
+    assert rows == {"a": (0, "fine_pos", 1.0), "b": (3, "fine_pos", 1.0), "c": (2, "chunk_overlap", 0.8571), "d": (0, "chunk_overlap", 0.0)}

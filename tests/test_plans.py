@@ -65,3 +65,21 @@ def test_edges_and_entities_are_dealt_by_document_once(spark):
     for df in (V.build_edges(t), V.build_entities(t)):
         assert re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan(df).split("== Physical Plan ==")[-1]) and not re.search(
             r"Exchange hashpartitioning\(doc_id#\d+L?, [a-z_]+#", plan(df).split("== Physical Plan ==")[-1])
+
+
+def test_positions_and_sections_are_dealt_by_document_once(spark):
+    from inkstone.plans import positions as PP
+    from inkstone.plans.registry import Tables
+
+    t = Tables(spark, SF)
+    text = plan(PP.build_members(t)).split("== Physical Plan ==")[-1]
+    assert "Join" not in text and set(re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", re.sub(r"#\d+L?", "", text))) == {"doc_id"}
+    assert "Join" not in plan(PP.assigned(t)) and "Join" not in plan(PP.ordered(t))
+
+
+def test_words_of_a_chunk_are_found_once(spark):
+    from inkstone.plans import views as V
+    from inkstone.plans.registry import Tables
+
+    text = plan(V.build_mentions(Tables(spark, SF))).split("== Physical Plan ==")[-1]
+    assert not re.search(r"Filter [^\n]*regexp_extract_all\(text", text.split("Scan parquet")[0])
