@@ -6,7 +6,8 @@ contexts. The weights of all depths give the probability of a byte behind DEPTH
 byte runs. Scored is the text in lower case (A-Z), with one end byte.
 
 Runs of DEPTH + 1 bytes are counted per block of documents; counts are summed by run, trees are built by shards of the last two
-context bytes, and the probabilities return to the blocks that asked for them.
+context bytes, and the probabilities return to the blocks that asked for them. A block is a run of documents of one scan
+task; its documents are written once, compressed, and meet their probabilities by the number of the block.
 
 Defined cases: a null text is an empty text; a null id counts as an empty id for the fold; repeated rows keep a row each;
 without training texts every bit has probability 1/2 and the base is log10(0.1 / 0.1).
@@ -17,18 +18,21 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkstone.llm.common import blocks, id_remainder, store
+from inkstone.llm.common import SLICE_CHARS, id_remainder, slices, store
 
 DEPTH = 5
 #: A byte that UTF-8 never uses stands before and after every text.
 EDGE = b"\xff"
+#: Size of a block in UTF-8 bytes: large ones ask for fewer runs in all. A task holds the runs of a block, and one piece of its texts.
 BLOCK_CHARS = 32_000_000
 PIECE_BYTES = 2_000_000
 END_WORD = -1
@@ -81,31 +85,66 @@ def merge_counts(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray
     return keys, np.bincount(back, np.concatenate([p[1] for p in parts]), len(keys)).astype(np.int64)
 
 
-def asked(table: pa.Table) -> pa.Table:
-    """(block, key, n) of a block: every run and word of its documents, with its count in the training ones."""
-    texts = [(t or "").encode().lower() for t in table.column("text").to_pylist()]
-    train = np.array(table.column("train").to_pylist(), bool)
+def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, docs): the rows in compressed pieces; the pieces of a block follow one another."""
+    task, number, size = TaskContext.get().partitionId(), 0, 0
+    for piece in slices(batches, chars=min(SLICE_CHARS, BLOCK_CHARS)):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, piece.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_batch(piece)
+        if size and size + piece.column("text").nbytes > BLOCK_CHARS * 5 // 4:
+            number, size = number + 1, 0
+        size += piece.column("text").nbytes
+        yield pa.RecordBatch.from_arrays([pa.array([task << 32 | number]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "docs"])
+
+
+def unpack(docs: bytes) -> pa.Table:
+    return pa.ipc.open_stream(docs).read_all()
+
+
+def lowered(table: pa.Table) -> list[bytes]:
+    return [(t or "").encode().lower() for t in table.column("text").to_pylist()]
+
+
+def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, key, n): every run and word of a block's documents, with its count in the training ones.
+
+    A block whose pieces are read by two tasks asks for some keys twice; its counts are parts then.
+    """
+    rows = ((b, d) for batch in batches for b, d in zip(batch.column("block").to_pylist(), batch.column("docs")))
+    for block, held in groupby(rows, key=lambda r: r[0]):
+        keys, counts = counted(unpack(d.as_py()) for _, d in held)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), block)), pa.array(keys), pa.array(counts)], names=["block", "key", "n"])
+
+
+def counted(tables: Iterator[pa.Table]) -> tuple[np.ndarray, np.ndarray]:
+    """Every run and word of some documents, with its count in the training ones."""
     parts: list[tuple[np.ndarray, np.ndarray]] = []
-    for at, code, text in pieces(texts):
-        keys, counts = np.unique(code, return_counts=True)
-        learn = train[at + text]
-        if not learn.all():
-            counts = np.zeros(len(keys), np.int64)
-            own, n = np.unique(code[learn], return_counts=True)
-            counts[np.searchsorted(keys, own)] = n
-        parts.append((keys, counts))
-        if len(parts) > 8:
-            parts = [merge_counts(parts)]
     words: Counter[bytes] = Counter()
-    others: set[bytes] = set()
-    for t, learn in zip(texts, train):
-        words.update(t.split()) if learn else others.update(t.split())
-    for w in others:
-        words.setdefault(w, 0)
+    trained = 0
+    for table in tables:
+        texts = lowered(table)
+        train = np.array(table.column("train").to_pylist(), bool)
+        trained += int(train.sum())
+        for at, code, text in pieces(texts):
+            keys, counts = np.unique(code, return_counts=True)
+            learn = train[at + text]
+            if not learn.all():
+                counts = np.zeros(len(keys), np.int64)
+                own, n = np.unique(code[learn], return_counts=True)
+                counts[np.searchsorted(keys, own)] = n
+            parts.append((keys, counts))
+            if len(parts) > 8:
+                parts = [merge_counts(parts)]
+        for t, learn in zip(texts, train):
+            if learn:
+                words.update(t.split())
+            else:
+                for w in t.split():
+                    words.setdefault(w, 0)
     keys, counts = merge_counts(parts)
     keys = np.concatenate([keys, np.fromiter(map(word_key, words), np.int64, len(words)), [END_WORD]])
-    counts = np.concatenate([counts, np.fromiter(words.values(), np.int64, len(words)), [int(train.sum())]])
-    return pa.table({"block": pa.array(np.full(len(keys), table.column("block")[0].as_py())), "key": pa.array(keys), "n": pa.array(counts)})
+    return keys, np.concatenate([counts, np.fromiter(words.values(), np.int64, len(words)), [trained]])
 
 
 def level(keys: np.ndarray, n: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -237,17 +276,21 @@ def answer(docs: pa.Table, known: pa.Table) -> pa.Table:
     order = np.argsort(known.column("key").to_numpy())
     keys, values = known.column("key").to_numpy()[order], known.column("value").to_numpy()[order]
     first = np.searchsorted(keys, 0)
+    end = int(np.searchsorted(keys[:first], END_WORD))
+    held: dict[bytes, int] = {}
+    return pa.concat_tables(_answer(unpack(d.as_py()), keys, values, first, end, held) for d in docs.column("docs"))
+
+
+def _answer(docs: pa.Table, keys: np.ndarray, values: np.ndarray, first: int, end: int, held: dict[bytes, int]) -> pa.Table:
     run_keys, run_values = keys[first:], values[first:]
-    texts = [(t or "").encode().lower() for t in docs.column("text").to_pylist()]
+    texts = lowered(docs)
     score = np.zeros(len(texts))
     for at, code, text in pieces(texts):
         where, hit = find(run_keys, code)
         if not hit.all():
             raise ValueError("a byte run of a block has no probability")
         score[at:at + text[-1] + 1] = np.bincount(text, run_values[where], text[-1] + 1)
-    held: dict[bytes, int] = {}
     n_tokens, n_known, base = [], [], []
-    end = int(np.searchsorted(keys[:first], END_WORD))
     for t in texts:
         ws = t.split()
         at = np.fromiter((held[w] if w in held else held.setdefault(w, int(np.searchsorted(keys[:first], word_key(w)))) for w in ws), np.int64, len(ws))
@@ -262,8 +305,9 @@ def answer(docs: pa.Table, known: pa.Table) -> pa.Table:
 def score(docs: DataFrame, train: F.Column) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of whole texts, learning from the rows where ``train`` holds."""
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), train.alias("train"))
-    d = blocks(src, BLOCK_CHARS)
-    wanted = store(d.groupBy("block").applyInArrow(asked, "block long, key long, n long"), "wanted")
+    size = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    d = store(src.coalesce(max(1, -(-int(size) // BLOCK_CHARS))).mapInArrow(pack, "block long, docs binary"), "blocks")
+    wanted = store(d.mapInArrow(asked, "block long, key long, n long"), "wanted")
     counts = store(wanted.groupBy("key").agg(F.sum("n").alias("n")), "counts")
     n, v = counts.where("key < 0 AND n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     values = probabilities(counts).unionByName(counts.where("key < 0").select("key", F.col("n").cast("double").alias("value")))

@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 from conftest import ODD
+from pyspark.sql import functions as F
 
 from inkstone.llm import context_tree as T
 
@@ -94,3 +95,14 @@ def test_empty_and_untrained(make):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
     r = T.cross_validated(make([(held, "ab")])).first()
     assert r.held_out and r.n_known == 0 and r.train_tokens == 0 and math.isclose(r.score, 24 * math.log10(0.5)) and math.isclose(r.base_score, 0, abs_tol=1e-12)
+
+
+def test_blocks_keep_texts_compressed(spark, make, samples):
+    """Texts are written once in compressed pieces; a block is bounded, and small scan tasks share one."""
+    rows = [(i, (t or "") * 40) for i, t in samples[:40]] + [(None, None)]
+    d = make(rows).withColumn("train", F.lit(True)).coalesce(1)
+    got = d.mapInArrow(T.pack, "block long, docs binary").collect()
+    assert sum(len(r.docs) for r in got) < sum(len(t.encode()) for _, t in rows if t) / 2
+    back = [t for r in got for t in T.unpack(bytes(r.docs)).column("text").to_pylist()]
+    assert sorted(back, key=repr) == sorted((t for _, t in rows), key=repr)
+    assert "text" not in T.cross_validated(make(rows))._jdf.queryExecution().executedPlan().toString()
