@@ -34,7 +34,7 @@ DEPTH = 5
 EDGE = b"\xff"
 #: Size of a block in UTF-8 bytes: large ones ask for fewer runs in all. A task holds the runs of a block, and one piece of its texts.
 BLOCK_CHARS = 32_000_000
-PIECE_BYTES = 2_000_000
+PIECE_BYTES = 1_000_000
 END_WORD = -1
 HALF = math.log(0.5)
 
@@ -114,7 +114,9 @@ def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = ((b, d) for batch in batches for b, d in zip(batch.column("block").to_pylist(), batch.column("docs")))
     for block, held in groupby(rows, key=lambda r: r[0]):
         keys, counts = counted(unpack(d.as_py()) for _, d in held)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), block)), pa.array(keys), pa.array(counts)], names=["block", "key", "n"])
+        for at in range(0, len(keys), 100_000):
+            k = keys[at:at + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), block)), pa.array(k), pa.array(counts[at:at + 100_000])], names=["block", "key", "n"])
 
 
 def counted(tables: Iterator[pa.Table]) -> tuple[np.ndarray, np.ndarray]:
@@ -134,7 +136,7 @@ def counted(tables: Iterator[pa.Table]) -> tuple[np.ndarray, np.ndarray]:
                 own, n = np.unique(code[learn], return_counts=True)
                 counts[np.searchsorted(keys, own)] = n
             parts.append((keys, counts))
-            if len(parts) > 8:
+            if len(parts) > 4:
                 parts = [merge_counts(parts)]
         for t, learn in zip(texts, train):
             if learn:
