@@ -5,7 +5,7 @@ independent trees a node picks one of the minwise tokens of its members (with ch
 too), and members with equal tokens go to the same child. Nodes end at DEPTH, whatever their size: large ones are left to
 the pivots and the pair comparison of links.py, because every further level would part more pairs at the threshold in all
 trees. Of 100,000 simulated pairs at the threshold, all trees missed 10 at depth 3, 490 at 6 and 2,275 at 9. Links are
-confirmed on full sets.
+confirmed on full sets. In large nodes sets are compared by what they differ in from the node's pivot (``differing``).
 
 Defined cases: a text with fewer words than a shingle is one shingle of all its words; without words the set is empty and
 linked with nothing; rows of a null id are linked with nothing and kept, with a null class; rows that repeat an
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkstone.llm.common import slices, store
@@ -32,6 +32,8 @@ TOKENS, BITS = 64, 64
 SKETCH_LIMIT = 22
 #: Ids of a semi-join that are sent to every task: 8 bytes each.
 BROADCAST_IDS = 2_000_000
+#: Shingles of pivots that are sent to every task, 8 bytes each; more are joined by a shuffle.
+BROADCAST_ITEMS = 4_000_000
 
 _M1, _M2, _GOLD = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 _KNOWN: dict[bytes, int] = {}
@@ -173,6 +175,44 @@ def nodes(reps: DataFrame, threshold: int) -> DataFrame:
     return out.drop("m").join(met, "id").select("bucket", "id", "n", "sketch", "far")
 
 
+def differing(at: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """(id, j): pairs that hold every link between ids of one pivot and different groups ``g``, from (p, pg, id, g) and (doc_id, items).
+
+    With x and y as their differences from the pivot's set, of sizes a and b, and n and m the sizes of the sets, a link means
+    |x ^ y| <= r (n + m), r = (100 - threshold) / (100 + threshold), so x and y share (a + b - r (n + m)) / 2 items at least.
+    Two ids that are linked to the pivot are in one group; of any other pair one, x, is not: a > r (n + p). Hence y shares
+    more than half of b + r (p - m), and each shares all but (100 / threshold - 1) of its set's size. Both have one of
+    their first items in common then, rare ones first (prefix filter); items of one set alone are left out before.
+    """
+    keep, sum_ = 100 - threshold, 100 + threshold
+    ref = store(at.select("p").distinct().join(sets, F.col("p") == F.col("doc_id")).groupBy("p").agg(F.min("items").alias("r")), "pivot-sets")
+    few = (ref.agg(F.sum(F.size("r"))).first()[0] or 0) <= BROADCAST_ITEMS
+    d = F.concat(F.array_except("items", "r"), F.array_except("r", "items"))
+    own = at.join(sets, F.col("id") == F.col("doc_id")).join(F.broadcast(ref) if few else ref, "p")
+    own = store(own.select("p", "pg", "id", "g", F.xxhash64("items").alias("s"), F.size("items").alias("n"), F.size("r").alias("pn"), d.alias("d")), "differences")
+    far = sum_ * F.size("d") > keep * (F.col("n") + F.col("pn"))
+    to_pivot = own.where(~far & (F.col("g") != F.col("pg"))).select("id", F.col("p").alias("j"))
+    items = own.select("p", "id", "s", F.explode("d").alias("item"))
+    often = items.groupBy("p", "item").agg(F.count("*").alias("m")).where("m > 1")
+    first = items.join(often, ["p", "item"]).groupBy("p", "id", "s").agg(F.array_sort(F.collect_list(F.struct("m", "item"))).alias("o"))
+    sized = own.select("p", "id", "s", "g", "n", "pn", F.size("d").alias("a"), far.alias("far"))
+    rows = store(sized.join(first, ["p", "id", "s"]).select("p", "pn", "far", "o.item", F.struct("id", "g", "n", "a", F.size("o").alias("k")).alias("x")), "prefixes")
+    least = F.col("x.a") - F.floor(keep * F.col("x.n") / threshold)
+    half = F.floor((sum_ * F.col("x.a") + keep * (F.col("pn") - F.col("x.n"))) / (2 * sum_)) + 1
+
+    def prefix(needed: Column) -> Column:
+        return F.explode(F.slice("item", 1, F.greatest(F.col("x.k") - needed + 1, F.lit(0)).cast("int"))).alias("item")
+
+    probe = rows.where("far").select("p", "x", prefix(F.greatest(least, F.lit(1))))
+    index = rows.select("p", F.col("x").alias("y"), prefix(F.greatest(least, half)))
+    size = F.col("x.n") + F.col("y.n")
+    apart = sum_ * (F.col("x.a") + F.col("y.a")) - keep * size
+    pairs = probe.join(index, ["p", "item"]).where(
+        (F.col("x.g") != F.col("y.g")) & (threshold * F.greatest("x.n", "y.n") <= 100 * F.least("x.n", "y.n"))
+        & (sum_ * F.abs(F.col("x.a") - F.col("y.a")) <= keep * size) & (2 * sum_ * F.least("x.k", "y.k") >= apart))
+    return pairs.select("x.id", F.col("y.id").alias("j")).unionByName(to_pivot)
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row per row of ``docs``: linked when 100 * intersection >= threshold * union."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -211,7 +251,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80) -> Dat
         common = F.size(F.array_intersect("x", "y"))
         return both.where(100 * common >= threshold * (F.size("x") + F.size("y") - common)).select("a", "b").distinct()
 
-    label = grouped(nodes(reps, threshold), near, sharp, verify, "far", common)
+    def beyond(large: DataFrame) -> DataFrame:
+        pivot = large.groupBy("bucket").agg(F.min(F.struct("x.far", "x.id", "g")).alias("p"))
+        at = store(large.join(pivot, "bucket").select(F.col("p.id").alias("p"), F.col("p.g").alias("pg"), "x.id", "g").distinct(), "pivoted")
+        return differing(at, fetched(at.select(F.col("id").alias("doc_id")).distinct(), "pivoted-sets"), threshold)
+
+    label = grouped(nodes(reps, threshold), near, sharp, verify, "far", common, beyond)
     shared = classes.where("m > 1").select("k1", "k2", "rep")
     rows = sig.join(shared, ["k1", "k2"], "left").select("doc_id", "n", F.when(F.expr("n > 0 AND doc_id IS NOT NULL"), F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("id"))
     out = rows.join(label, "id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("doc_id")).alias("component_id"))

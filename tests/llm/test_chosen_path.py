@@ -3,6 +3,7 @@ import random
 from conftest import ODD
 
 from inkstone.llm import chosen_path as C
+from inkstone.llm import links
 
 
 def shingles(text, width):
@@ -74,3 +75,37 @@ def test_large_nodes_and_pivots(make, monkeypatch):
 def test_empty(make):
     assert C.near_duplicates(make([])).count() == 0
     assert C.near_duplicates(make([(5, None)])).first().component_id == 5
+
+
+def variants(n, changes):
+    """A text and ``n`` copies with some words changed: most are linked to the text, many not to each other."""
+    rnd = random.Random(9)
+    base = [f"w{k}" for k in range(120)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, n):
+        t = list(base)
+        for k in rnd.sample(range(len(t)), rnd.choice(changes)):
+            t[k] = f"v{rnd.randrange(40)}"
+        rows.append((i, " ".join(t)))
+    return rows
+
+
+def test_large_nodes_match_all_pairs(make, monkeypatch):
+    monkeypatch.setattr(links, "LARGE", 2)
+    check(make, corpus(3), 2, 80)
+    check(make, [(i + 1000, t) for i, t in variants(150, (5, 8, 12, 14, 16, 30))], 2, 80)
+
+
+def test_large_nodes_compare_few_pairs(make, monkeypatch):
+    compared, store = [], C.store
+
+    def counted(df, name):
+        out = store(df, name)
+        if name == "candidates":
+            compared.append(out.count())
+        return out
+
+    monkeypatch.setattr(C, "store", counted)
+    rows = variants(400, (3, 5, 14, 15))
+    check(make, rows, 2, 80)
+    assert sum(compared) < 8 * len(rows)
