@@ -18,7 +18,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -122,31 +122,29 @@ def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def counted(tables: Iterator[pa.Table]) -> tuple[np.ndarray, np.ndarray]:
     """Every run and word of some documents, with its count in the training ones."""
     parts: list[tuple[np.ndarray, np.ndarray]] = []
-    words: Counter[bytes] = Counter()
     trained = 0
     for table in tables:
         texts = lowered(table)
         train = np.array(table.column("train").to_pylist(), bool)
         trained += int(train.sum())
         for at, code, text in pieces(texts):
-            keys, counts = np.unique(code, return_counts=True)
-            learn = train[at + text]
-            if not learn.all():
-                counts = np.zeros(len(keys), np.int64)
-                own, n = np.unique(code[learn], return_counts=True)
-                counts[np.searchsorted(keys, own)] = n
-            parts.append((keys, counts))
+            # one sort serves the runs and their training counts: the lowest bit says training
+            both = np.sort(code << 1 | train[at + text])
+            first = np.flatnonzero(np.concatenate([[True], both[1:] >> 1 != both[:-1] >> 1]))
+            parts.append((both[first] >> 1, np.add.reduceat(both & 1, first)))
             if len(parts) > 4:
                 parts = [merge_counts(parts)]
+        # words are kept as keys too, so only a piece's words are strings
+        words: Counter[bytes] = Counter()
         for t, learn in zip(texts, train):
             if learn:
                 words.update(t.split())
             else:
                 for w in t.split():
                     words.setdefault(w, 0)
+        parts.append((np.fromiter(map(word_key, words), np.int64, len(words)), np.fromiter(words.values(), np.int64, len(words))))
     keys, counts = merge_counts(parts)
-    keys = np.concatenate([keys, np.fromiter(map(word_key, words), np.int64, len(words)), [END_WORD]])
-    return keys, np.concatenate([counts, np.fromiter(words.values(), np.int64, len(words)), [trained]])
+    return np.append(keys, END_WORD), np.append(counts, trained)
 
 
 def level(keys: np.ndarray, n: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -279,23 +277,28 @@ def answer(docs: pa.Table, known: pa.Table) -> pa.Table:
     keys, values = known.column("key").to_numpy()[order], known.column("value").to_numpy()[order]
     first = np.searchsorted(keys, 0)
     end = int(np.searchsorted(keys[:first], END_WORD))
-    held: dict[bytes, int] = {}
-    return pa.concat_tables(_answer(unpack(d.as_py()), keys, values, first, end, held) for d in docs.column("docs"))
+    return pa.concat_tables(_answer(unpack(d.as_py()), keys, values, first, end) for d in docs.column("docs"))
 
 
-def _answer(docs: pa.Table, keys: np.ndarray, values: np.ndarray, first: int, end: int, held: dict[bytes, int]) -> pa.Table:
+def _answer(docs: pa.Table, keys: np.ndarray, values: np.ndarray, first: int, end: int) -> pa.Table:
     run_keys, run_values = keys[first:], values[first:]
     texts = lowered(docs)
     score = np.zeros(len(texts))
     for at, code, text in pieces(texts):
-        where, hit = find(run_keys, code)
+        # in ascending order the search walks the table once
+        order = np.argsort(code)
+        where, hit = find(run_keys, code[order])
         if not hit.all():
             raise ValueError("a byte run of a block has no probability")
-        score[at:at + text[-1] + 1] = np.bincount(text, run_values[where], text[-1] + 1)
+        value = np.empty(len(code))
+        value[order] = run_values[where]
+        score[at:at + text[-1] + 1] = np.bincount(text, value, text[-1] + 1)
+    held = dict.fromkeys(chain.from_iterable(t.split() for t in texts))
+    held = dict(zip(held, np.searchsorted(keys[:first], np.fromiter(map(word_key, held), np.int64, len(held))).tolist()))
     n_tokens, n_known, base = [], [], []
     for t in texts:
         ws = t.split()
-        at = np.fromiter((held[w] if w in held else held.setdefault(w, int(np.searchsorted(keys[:first], word_key(w)))) for w in ws), np.int64, len(ws))
+        at = np.fromiter(map(held.__getitem__, ws), np.int64, len(ws))
         c = values[np.append(at, end)]
         n_tokens.append(len(c))
         n_known.append(int((c > 0).sum()))
@@ -309,11 +312,11 @@ def score(docs: DataFrame, train: F.Column) -> DataFrame:
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), train.alias("train"))
     size = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     d = store(src.coalesce(max(1, -(-int(size) // BLOCK_CHARS))).mapInArrow(pack, "block long, docs binary"), "blocks")
-    wanted = store(d.mapInArrow(asked, "block long, key long, n long"), "wanted")
-    counts = store(wanted.groupBy("key").agg(F.sum("n").alias("n")), "counts")
+    wanted = store(d.mapInArrow(asked, "block long, key long, n long"), "wanted", "zstd")
+    counts = store(wanted.groupBy("key").agg(F.sum("n").alias("n")), "counts", "zstd")
     n, v = counts.where("key < 0 AND n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     values = probabilities(counts).unionByName(counts.where("key < 0").select("key", F.col("n").cast("double").alias("value")))
-    known = wanted.select("block", "key").join(store(values, "values"), "key")
+    known = wanted.select("block", "key").join(store(values, "values", "zstd"), "key")
     kinds = "doc_id long, train boolean, n_tokens long, n_known long, base double, score double"
     out = d.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(answer, kinds)
     total = math.log10(n + 0.1 * (v + 1))

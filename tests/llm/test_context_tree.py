@@ -2,6 +2,8 @@ import math
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 from conftest import ODD
 from pyspark.sql import functions as F
 
@@ -106,3 +108,24 @@ def test_blocks_keep_texts_compressed(spark, make, samples):
     back = [t for r in got for t in T.unpack(bytes(r.docs)).column("text").to_pylist()]
     assert sorted(back, key=repr) == sorted((t for _, t in rows), key=repr)
     assert "text" not in T.cross_validated(make(rows))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_words_of_a_piece_are_searched_at_once(monkeypatch):
+    texts = [" ".join(f"word{i}x{k}" for k in range(200)) for i in range(10)] + ["", None]
+    docs = pa.table({"doc_id": list(range(12)), "text": pa.array(texts, pa.string()), "train": [i % 3 != 0 for i in range(12)]})
+    keys, counts = T.counted(iter([docs]))
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, docs.schema) as out:
+        out.write_table(docs)
+    held = pa.table({"docs": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+    searches, plain = [], np.searchsorted
+
+    def counting(*args, **more):
+        searches.append(args)
+        return plain(*args, **more)
+
+    monkeypatch.setattr(T.np, "searchsorted", counting)
+    got = T.answer(held, pa.table({"key": keys, "value": counts.astype(float)})).to_pydict()
+    assert len(searches) < 10  # one for each of the 2,000 words before
+    assert got["n_tokens"] == [201] * 10 + [1, 1]
+    assert got["n_known"] == [1 if i % 3 == 0 else 201 for i in range(10)] + [1, 1]
