@@ -195,6 +195,29 @@ def test_communities_have_no_improving_move(spark):
             assert quality({n: b if c == a else c for n, c in label.items()}) <= base + 1e-9
 
 
+def test_small_parts_are_divided_in_one_task_as_by_joins(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = []
+    for part in ("", "é/x"):
+        for _ in range(60):
+            c, far = rng.randrange(3), rng.random() < 0.2
+            rows.append((part, f"{rng.choice('aÀ한')}{c}{rng.randrange(3)}", f"{rng.choice('aÀ한')}{rng.randrange(3) if far else c}{rng.randrange(3)}", float(rng.randint(1, 5))))
+    e = spark.createDataFrame([*rows, ("", None, "a00", 1.0), ("", "a00", "a00", 1.0)], "part string, source string, target string, weight double")
+
+    def jobs(name, run):
+        spark.sparkContext.setJobGroup(name, name)
+        out = sorted(map(tuple, run().collect()))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+    got, few = jobs("in-task", lambda: G.communities(e))
+    monkeypatch.setattr(G, "IN_TASK", 0)
+    want, _ = jobs("by-joins", lambda: G.communities(e))
+    assert got == want and len({x[2] for x in got}) > 2
+    # the rounds of joins take a dozen jobs each
+    assert few < 30
+
+
 def _events(rng, n):
     return [(rng.choice([1, 1, 1, 2]), i, rng.randint(0, 40 * 10**6)) for i in range(n)]
 
